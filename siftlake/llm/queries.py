@@ -19,6 +19,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.drop("ids").withColumnRenamed("queue", "source_queue")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near copies and its number of links."""
+    from siftlake.llm.ngram_join import ngram_join
+
+    return ngram_join(tables_dir(spark, sf_dir, "documents")).drop("text_key", "class_key")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's group of equal texts and whether it stays."""
     from siftlake.llm.exact_dedup import exact_dedup
@@ -26,13 +33,20 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(tables_dir(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without passages of 200 bytes that stand elsewhere."""
+    from siftlake.llm.substring_dedup import digests, substring_dedup
+
+    return digests(substring_dedup(tables_dir(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 SQL = {
     "op7_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-               row_number() OVER (w ORDER BY doc_id DESC) = 1 AS kept, sha AS text_sha256
+               row_number() OVER (PARTITION BY sha ORDER BY doc_id DESC) = 1 AS kept, sha AS text_sha256
         FROM (SELECT doc_id, sha256(coalesce(text, '')) AS sha FROM documents)
         WINDOW w AS (PARTITION BY sha)
-    """.replace("(w ORDER BY doc_id DESC)", "(PARTITION BY sha ORDER BY doc_id DESC)"),
+    """,
 }
 
 
