@@ -228,6 +228,17 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, blo
     return joined.mapInArrow(run, f"{schema}, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
 
 
+def whole_characters(column: str) -> F.Column:
+    """UTF-8 bytes as text without the characters of which only part is left.
+
+    A character stands if its bytes follow each other whole; bytes are looked at as Latin-1 characters to find those.
+    """
+    lead2, lead3, lead4, rest = "[\u00c2-\u00df]", "[\u00e0-\u00ef]", "[\u00f0-\u00f4]", "[\u0080-\u00bf]"
+    good = f"([\u0000-\u007f]+|{lead2}{rest}|{lead3}{rest}{{2}}|{lead4}{rest}{{3}})|[\u0080-\u00ff]"
+    whole = F.regexp_replace(F.decode(column, "ISO-8859-1"), good, "$1")
+    return F.when(F.is_valid_utf8(F.col(column).cast("string")), F.col(column).cast("string")).otherwise(F.decode(F.encode(whole, "ISO-8859-1"), "UTF-8"))
+
+
 def digests(cut: DataFrame) -> DataFrame:
     """The report of substring_dedup without texts: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
