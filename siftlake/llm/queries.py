@@ -34,6 +34,14 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(tables_dir(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts, base rules and the verdict of the line labeller."""
+    from siftlake.llm.quality_rules import quality_rules, train_on
+
+    docs = tables_dir(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_rules(docs, train_on(docs, tables_dir(spark, sf_dir, "labels")))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without passages of 200 bytes that stand elsewhere."""
     from siftlake.llm.substring_dedup import digests, substring_dedup
