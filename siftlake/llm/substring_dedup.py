@@ -32,7 +32,7 @@ from siftlake.llm.suffix_sort import repeated
 LENGTH = 200
 GRAM = 32
 #: Bytes of a block, and runs in a bucket beyond which it is cut into single windows.
-BLOCK_BYTES, MOST_RUNS = 1 << 22, 50_000
+BLOCK_BYTES, MOST_RUNS = 1 << 20, 50_000
 
 
 def gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
@@ -87,7 +87,7 @@ RUNS = pa.schema([("doc_key", pa.int64()), ("first", pa.int32()), ("windows", pa
 def anchored(texts: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in slices(batch, "text", 1 << 20):
+            for some in slices(batch, "text", 1 << 19):
                 text, first, windows, anchor, span = anchor_runs(*bytes_of(some.column("text")), length, gram)
                 keys = some.column("doc_key").to_numpy()[text]
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(first.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(span.view(np.int64))], schema=RUNS)
@@ -124,8 +124,8 @@ def sorted_block(length: int):
         column = table.column("bytes").combine_chunks()
         raw, at = bytes_of(pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column)
         counts = np.maximum(np.diff(at) - length + 1, 0)
-        owner = np.repeat(np.arange(len(counts)), counts)
-        starts = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + at[:-1][owner]
+        owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        starts = (np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts - at[:-1], counts)).astype(np.int32)
         hit = repeated(raw, starts, length) & table.column("single").to_numpy()[owner]
         owner, starts = owner[hit], starts[hit]
         new = np.ones(len(starts), bool)
@@ -193,7 +193,7 @@ def kept_bytes(raw: bytes, first: list[int], windows: list[int], length: int) ->
 
 
 def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, most_runs: int = MOST_RUNS) -> DataFrame:
-    """docs with kept (binary), n_bytes, n_removed, n_spans: what is left of each text's UTF-8 bytes.
+    """docs without text, with kept (binary), n_bytes, n_removed, n_spans: what is left of each text's UTF-8 bytes.
 
     Every byte covered by a string of length bytes that also starts anywhere else (the same text included, overlaps count)
     goes; strings are judged on the input and never cross texts. Null text is empty and loses nothing, as does a text shorter
@@ -205,10 +205,10 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, blo
     texts = docs.select(key.alias("doc_key"), text_or_empty("text").alias("text"))
     found = marks(texts, length, gram, block_bytes, most_runs)
     spans = found.groupBy("doc_key").agg(F.collect_list(F.struct("first", "windows")).alias("marks"))
-    names = [c for c in docs.columns if c not in ("kept", "n_bytes", "n_removed", "n_spans")]
-    base = docs.select(*names).withColumn("__key", key)
+    names = [c for c in docs.columns if c not in ("text", "kept", "n_bytes", "n_removed", "n_spans")]
+    base = docs.select(*names, text_or_empty("text").cast("binary").alias("kept"), key.alias("__key"))
     joined = base.join(spans.withColumnRenamed("doc_key", "__key"), "__key", "left").drop("__key")
-    joined = joined.select(*names, text_or_empty("text").cast("binary").alias("kept"), "marks")
+    joined = joined.select(*names, "kept", "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

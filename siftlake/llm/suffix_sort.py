@@ -39,18 +39,25 @@ def words8(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def dense(keys: list[np.ndarray]) -> np.ndarray:
-    """Ranks from 0 of the rows of keys, most significant first; equal rows share a rank."""
-    order = np.lexsort(keys[::-1])
-    step = np.zeros(len(order), bool)
-    for k in keys:
-        s = k[order]
-        step[1:] |= s[1:] != s[:-1]
-    out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(step)
+def dense(key: np.ndarray) -> np.ndarray:
+    """Ranks from 0 of the values of key; equal values share a rank."""
+    order = np.argsort(key, kind="stable")
+    sorted_key = key[order]
+    step = np.zeros(len(key), np.uint64)
+    step[1:] = sorted_key[1:] != sorted_key[:-1]
+    out = np.empty(len(key), np.uint64)
+    out[order] = np.cumsum(step, dtype=np.uint64)
     return out
 
 
+def prefix_ranks(text: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Ranks of the places by their first `size` bytes, eight bytes at a time."""
+    rank = dense(words8(text, at))
+    for k in range(8, size, 8):
+        rank = dense(rank << U64(32) | dense(words8(text, at + k)))
+    return rank
+
+
 def sample_ranks(text: np.ndarray, size: int, period: int) -> np.ndarray:
     """At each sampled place below size, the rank of its suffix among those of all sampled places; -1 elsewhere.
 
@@ -60,12 +67,12 @@ def sample_ranks(text: np.ndarray, size: int, period: int) -> np.ndarray:
     inside = np.zeros(period, bool)
     inside[list(cover(period))] = True
     at = np.flatnonzero(np.resize(inside, size))
-    rank = np.full(size, -1, np.int64)
-    rank[at] = dense([words8(text, at + k) for k in range(0, period, 8)])
+    rank = np.full(size, -1, np.int32)
+    rank[at] = prefix_ranks(text, at, period)
     seen = period
     while len(at) and rank[at].max() + 1 < len(at):
         later = np.where(at + seen < size, rank[np.minimum(at + seen, size - 1)] + 1, 0)
-        rank[at] = dense([rank[at].astype(U64) << U64(32) | later.astype(U64)])
+        rank[at] = dense(rank[at].astype(U64) << U64(32) | later.astype(U64))
         seen *= 2
     return rank
 
@@ -105,52 +112,56 @@ def merge_ties(tied: np.ndarray, first: np.ndarray, last: np.ndarray, rank: np.n
 def repeated(text: np.ndarray, starts: np.ndarray, depth: int, period: int = PERIOD, bucket: int = BUCKET) -> np.ndarray:
     """Whether the depth bytes from each start also stand at another of the starts.
 
-    Sorts the suffixes from the starts, a bucket of suffixes with near first bytes at a time (a bucket larger than `bucket`
-    only where so many share their first 8 bytes). Memory: the ranks of the sample, and one bucket.
+    Sorts the suffixes from the starts, one bucket at a time: the suffixes whose first two bytes lie in one range, about
+    `bucket` of them (more only where so many share both bytes). Memory: the ranks of the sample, and one bucket.
     """
-    size = len(text)
-    padded = np.concatenate([text, np.zeros(2 * period + depth, np.uint8)])
     out = np.zeros(len(starts), bool)
     if len(starts) < 2:
         return out
-    rank = np.concatenate([sample_ranks(padded, size, period), np.full(period, -1, np.int64)])
-    head = words8(padded, starts)
-    order = np.argsort(head, kind="stable")
-    head = head[order]
-    edge = np.append(np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]])), len(head))
+    size = len(text)
+    padded = np.concatenate([text, np.zeros(2 * period + depth, np.uint8)])
+    rank = np.concatenate([sample_ranks(padded, size, period), np.full(period, -1, np.int32)])
+    lead = padded[starts].astype(np.uint16) << 8 | padded[starts + 1]
+    upto = np.cumsum(np.bincount(lead, minlength=1 << 16))
     a = 0
-    while a < len(head):
-        b = int(edge[max(np.searchsorted(edge, a + bucket, side="right") - 1, np.searchsorted(edge, a, side="right"))])
-        mine = order[a:b]
-        at = starts[mine]
-        prefix = dense([head[a:b], *(words8(padded, at + k) for k in range(8, period, 8))])
-        by = np.argsort(prefix, kind="stable")
-        mine, at, prefix = mine[by], at[by], prefix[by]
-        new = np.concatenate([[True], prefix[1:] != prefix[:-1]])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(at))
-        group = np.cumsum(new) - 1
-        tie = (last - first)[group] > 1
-        mine, at, group = mine[tie], at[tie], group[tie]
+    while a < 1 << 16:
+        before = int(upto[a - 1]) if a else 0
+        b = max(a + 1, int(np.searchsorted(upto, before + bucket, side="right")))
+        if upto[b - 1] > before:
+            mine = np.flatnonzero((lead >= a) & (lead < b))
+            out[mine] = bucket_repeats(padded, starts[mine].astype(np.int64), depth, rank, period)
         a = b
-        if not len(at):
-            continue
-        first = np.searchsorted(group, group, side="left")
-        last = np.searchsorted(group, group, side="right")
-        done = merge_ties(at.copy(), first, last, rank, period)
-        same = np.flatnonzero(group[1:] == group[:-1])
-        hit = np.zeros(len(at), bool)
-        for p in range(0, len(same), 1 << 14):
-            pair = same[p : p + (1 << 14)]
-            equal = np.ones(len(pair), bool)
-            for k in range(period, depth, 8):
-                k = min(k, depth - 8)
-                left = np.flatnonzero(equal)
-                if not len(left):
-                    break
-                equal[left] = words8(padded, done[pair[left]] + k) == words8(padded, done[pair[left] + 1] + k)
-            hit[pair[equal]] = True
-            hit[pair[equal] + 1] = True
-        back = np.argsort(at, kind="stable")
-        out[mine[back[np.searchsorted(at[back], done[hit])]]] = True
+    return out
+
+
+def bucket_repeats(text: np.ndarray, at: np.ndarray, depth: int, rank: np.ndarray, period: int) -> np.ndarray:
+    """repeated, of the suffixes of one bucket."""
+    prefix = prefix_ranks(text, at, period)
+    mine = np.argsort(prefix, kind="stable")
+    new = np.ones(len(at), bool)
+    new[1:] = prefix[mine[1:]] != prefix[mine[:-1]]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(at))
+    group = np.cumsum(new) - 1
+    tie = (last - first)[group] > 1
+    mine, group = mine[tie], group[tie]
+    out = np.zeros(len(at), bool)
+    if not len(mine):
+        return out
+    first, last = np.searchsorted(group, group, side="left"), np.searchsorted(group, group, side="right")
+    tied = at[mine]
+    done = merge_ties(tied.copy(), first, last, rank, period)
+    same = np.flatnonzero(group[1:] == group[:-1])
+    hit = np.zeros(len(done), bool)
+    for p in range(0, len(same), 1 << 14):
+        pair = same[p : p + (1 << 14)]
+        for k in range(period, depth, 8):
+            if not len(pair):
+                break
+            k = min(k, depth - 8)
+            pair = pair[words8(text, done[pair] + k) == words8(text, done[pair + 1] + k)]
+        hit[pair] = True
+        hit[pair + 1] = True
+    back = np.argsort(tied, kind="stable")
+    out[mine[back[np.searchsorted(tied[back], done[hit])]]] = True
     return out
