@@ -118,7 +118,7 @@ def fit(features: np.ndarray, width: int, labels: np.ndarray, first: np.ndarray,
     return np.append(weight, np.float32(bias)), chain
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, penalty: float = 1e-3, weight: np.ndarray | None = None) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 20, penalty: float = 1e-3, weight: np.ndarray | None = None) -> np.ndarray:
     """Coefficients (the last is the constant) of a ridge logistic regression, by Newton's method."""
     x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
     w = np.zeros(x.shape[1])
@@ -128,6 +128,6 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, penalty: float = 1e
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (k * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (k * (y - p)) - ridge @ w)
         w += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-3:
             break
     return w

@@ -18,13 +18,13 @@ from pyspark.sql import functions as F
 
 from siftlake.llm.crf import Chain, fit
 from siftlake.llm.shared import U64, bytes_of, mix, slices, span_hashes, text_or_empty, words_of
-from siftlake.llm.toxicity import distinct_rows, is_first, surprise
+from siftlake.llm.toxicity import distinct_rows, is_first, runs, surprise
 
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: The least share of characters in content lines, and the labelled rows of each class that training reads at most.
-CONTENT_SHARE, MOST_ROWS = 0.5, 4000
+CONTENT_SHARE, MOST_ROWS = 0.5, 2000
 SYMBOLS = np.zeros(256, bool)
-SYMBOLS[list(b"[#*$%&|<>]"[1:-1])] = True
+SYMBOLS[list(b"#*$%&|<>")] = True
 UPPER, LOWER, DIGIT, PUNCT = (np.zeros(256, bool) for _ in range(4))
 UPPER[ord("A") : ord("Z") + 1] = True
 LOWER[ord("a") : ord("z") + 1] = True
@@ -131,6 +131,10 @@ class Counted:
         out[words == 0] = 0
         return out
 
+    def summary(self) -> tuple[np.ndarray, np.ndarray]:
+        """Traits of all lines, and the number of lines of each text."""
+        return self.traits(), np.diff(self.lines_before)
+
     def line_chars(self) -> np.ndarray:
         return self.points[self.line_z] - self.points[self.line_a]
 
@@ -164,9 +168,10 @@ def train(texts: list[bytes], good: np.ndarray, epochs: int = 40) -> Labeller:
     none[-1] = -1
     if not bad.any() or bad.all():
         return Labeller(none, Chain())
-    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    c = Counted(np.frombuffer(b"".join(texts), np.uint8), at)
-    traits, owner = c.traits(), np.repeat(np.arange(len(texts)), np.diff(c.lines_before))
+    counted = [Counted(np.frombuffer(b"".join(some), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in some])])).summary() for some in runs(texts)]
+    traits = np.concatenate([t for t, _ in counted])
+    lines = np.concatenate([n for _, n in counted])
+    before, owner = np.concatenate([[0], np.cumsum(lines)]), np.repeat(np.arange(len(texts)), lines)
     yes, no = np.zeros(WIDTH), np.zeros(WIDTH)
     for k in range(traits.shape[1]):
         pairs = np.unique(traits[:, k] * len(texts) + owner)
@@ -178,7 +183,7 @@ def train(texts: list[bytes], good: np.ndarray, epochs: int = 40) -> Labeller:
     if not labels.any():
         return Labeller(none, Chain())
     use = ((np.bincount(owner, labels, len(texts)) > 0) | ~bad)[owner]
-    weight, chain = fit(traits[use], WIDTH, labels[use].astype(np.int8), is_first(c.lines_before, c.n_lines)[use], epochs, rate=0.3, penalty=1e-4)
+    weight, chain = fit(traits[use], WIDTH, labels[use].astype(np.int8), is_first(before, len(owner))[use], epochs, rate=0.3, penalty=1e-4)
     return Labeller(weight, chain)
 
 
@@ -188,8 +193,8 @@ def train_on(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Label
     pick = lambda which: told.where(F.col("quality") == which).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     some = pick(1).unionByName(pick(0)).withColumnRenamed("doc_id", "__id")
     rows = docs.join(F.broadcast(some), docs["doc_id"] == some["__id"]).select(F.xxhash64("__id").alias("h"), "__id", text_or_empty("text").cast("binary").alias("t"), "quality")
-    got = rows.orderBy("h", "__id", "t").limit(2 * most).collect()
-    return train([bytes(r["t"]) for r in got], np.array([r["quality"] for r in got], np.int64))
+    got = rows.orderBy("h", "__id", "t").limit(2 * most).toArrow()
+    return train(got.column("t").to_pylist(), got.column("quality").to_numpy())
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

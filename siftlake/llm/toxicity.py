@@ -21,7 +21,7 @@ from siftlake.llm.crf import Chain, fit, logistic
 from siftlake.llm.shared import U64, bytes_of, mix, slices, span_hashes, text_or_empty
 
 #: Labelled rows of each class that training reads at most, chosen by the hash of doc_id.
-MOST_TOXIC, MOST_CLEAN = 2000, 5000
+MOST_TOXIC, MOST_CLEAN = 1500, 3500
 TABLE_BITS = 18
 #: Features: the token's form and its first 4, 5 and 6 bytes.
 PREFIXES = (4, 5, 6)
@@ -114,6 +114,20 @@ class Tagger:
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def runs(texts: list[bytes], most: int = 1 << 21) -> Iterator[list[bytes]]:
+    """Successive texts, about so many bytes at a time."""
+    some: list[bytes] = []
+    size = 0
+    for t in texts:
+        some.append(t)
+        size += len(t)
+        if size >= most:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def distinct_rows(texts: list[bytes]) -> list[int]:
     """Rows that are no near copies of rows before them: none of 8 minima over their 3-grams of tokens was seen."""
     seen, out = set(), []
@@ -146,15 +160,23 @@ def train(texts: list[bytes], toxic: np.ndarray, epochs: int = 12) -> Tagger:
     empty = Tagger(np.zeros((1 << TABLE_BITS) + 1, np.float32), Chain(), np.zeros(0))
     if not toxic.any() or toxic.all():
         return empty
-    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    raw = lower_case(np.frombuffer(b"".join(texts), np.uint8))
-    starts, stops, before = tokens(raw, at)
-    owner = np.repeat(np.arange(len(texts)), np.diff(before))
-    hashes = features(raw, starts, stops)
-    evidence = np.zeros(len(starts), bool)
+    sizes, parts = [], []
+    for some in runs(texts):
+        raw = lower_case(np.frombuffer(b"".join(some), np.uint8))
+        starts, stops, before = tokens(raw, np.concatenate([[0], np.cumsum([len(t) for t in some])]))
+        sizes.append(np.diff(before))
+        parts.append(features(raw, starts, stops))
+    before = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    hashes = [np.concatenate([p[:, k] for p in parts]) for k in range(1 + len(PREFIXES))]
+    del parts
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(before))
+    evidence = np.zeros(len(owner), bool)
     n_toxic, n_clean = toxic.sum(), (~toxic).sum()
-    for k in range(hashes.shape[1]):
-        kinds, ids = np.unique(hashes[:, k], return_inverse=True)
+    columns = np.empty((len(owner), len(hashes)), np.int32)
+    for k in range(len(hashes)):
+        columns[:, k] = slots(hashes[k])
+        kinds, ids = np.unique(hashes[k], return_inverse=True)
+        hashes[k] = None
         pairs = np.unique(ids.astype(np.int64) * len(texts) + owner)
         bad = toxic[pairs % len(texts)]
         yes = np.bincount(pairs[bad] // len(texts), minlength=len(kinds))
@@ -167,8 +189,7 @@ def train(texts: list[bytes], toxic: np.ndarray, epochs: int = 12) -> Tagger:
     use = (has | ~toxic)[owner]
     if not labels.any():
         return empty
-    first = is_first(before, len(starts))
-    columns = slots(hashes)
+    first = is_first(before, len(owner))
     weight, chain = fit(columns[use], 1 << TABLE_BITS, labels[use].astype(np.int8), first[use], epochs)
     tagger = Tagger(weight, chain, np.zeros(0))
     odds = chain.marginals(weight[columns].sum(axis=1) + weight[-1], first)
@@ -182,8 +203,8 @@ def train_on(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, m
     pick = lambda which, n: told.where(F.col("toxic") == which).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     some = pick(1, most_toxic).unionByName(pick(0, most_clean)).withColumnRenamed("doc_id", "__id")
     rows = docs.join(F.broadcast(some), docs["doc_id"] == some["__id"]).select(F.xxhash64("__id").alias("h"), "__id", text_or_empty("text").cast("binary").alias("t"), "toxic")
-    got = rows.orderBy("h", "__id", "t").limit(most_toxic + most_clean).collect()
-    return train([bytes(r["t"]) for r in got], np.array([r["toxic"] for r in got], np.int64))
+    got = rows.orderBy("h", "__id", "t").limit(most_toxic + most_clean).toArrow()
+    return train(got.column("t").to_pylist(), got.column("toxic").to_numpy())
 
 
 def held_out(doc_id: F.Column) -> F.Column:
