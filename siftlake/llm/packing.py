@@ -18,13 +18,16 @@ left share the windows by their renormalised targets; each phase has the closed
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -36,26 +39,41 @@ WINDOW = 4096
 END_ID = 2
 #: Sources beyond this many share queues by hash, so that the ring's state stays small.
 MAX_QUEUES = 512
-MAX_WORDS = 400_000
+MAX_WORDS = 800_000
 
 _coders: dict[str, "WordCoder"] = {}
 
 
-class WordCoder:
-    """Ids of a tokenizer that never joins text across a space or a line feed, by a bounded cache of words.
+class WordCoder(dict):
+    """Ids of the word-level BPE vocabulary, by a bounded cache of words (little-endian unsigned 16-bit ids of each).
 
-    The tokenizer's own pattern drops white space and matches within words, so a text's ids are its words' ids on end. It
-    lower-cases, so an ASCII word shares the ids of its lower-case form, and a word of ASCII letters with one final full stop
-    or comma has its letters' ids and then the mark's.
+    The tokenizer's pattern drops white space and matches within words, so a text's ids are those of its words on end. Words
+    of printable characters below U+0250, which its normaliser only lower-cases, are cut by its pattern and coded by tiktoken:
+    a piece is its bytes and MARK, which stands for the vocabulary's word end, so that ranks are ids. All other words, and
+    those in which its special tokens could stand, go through the tokenizer itself.
     """
 
+    MARK = "\0"
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.mark = {m: self._encode([m])[0] for m in ".,"}
+        spec = json.loads(self.tokenizer.to_str())
+        vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
+        pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
+        self.pieces = regex.compile(pattern).findall
+        byte = {c: b for b, c in byte_characters().items()}
+        special = {x["content"] for x in spec["added_tokens"]}
+        ranks = {self.MARK.encode(): max(vocab.values()) + 1}
+        for token, i in vocab.items():
+            if token not in special:
+                ends = token.endswith(suffix)
+                ranks[bytes(byte[c] for c in (token[: -len(suffix)] if ends else token)) + self.MARK.encode() * ends] = i
+        self.coder = tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.plain = regex.compile("[!-~\u00a1-\u012f\u0131-\u024f]+").fullmatch
 
     @classmethod
     def at(cls, path: str) -> "WordCoder":
@@ -63,32 +81,26 @@ class WordCoder:
             _coders[path] = cls(path)
         return _coders[path]
 
-    def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").astype("<u2").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def learn(self, new: set[str]) -> None:
-        if len(self.known) + len(new) > MAX_WORDS:
-            self.known.clear()
-        form = {}
-        for w in new:
-            stem = w[:-1] if w[-1:] in self.mark else w
-            form[w] = (stem.lower(), w[-1:]) if stem.isascii() and stem.isalpha() and stem is not w else (w.lower() if w.isascii() else w, "")
-        base = list({f for f, _ in form.values()} - self.known.keys())
-        self.known.update(zip(base, self._encode(base)))
-        self.known.update((w, self.known[f] + (self.mark[m] if m else b"")) for w, (f, m) in form.items() if w not in self.known)
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= MAX_WORDS:
+            self.clear()
+        if self.plain(word) and "<|" not in word:
+            low = word.lower()
+            ids = self.coder((low if low.isalpha() else self.MARK.join(self.pieces(low))) + self.MARK)
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        out = self[word] = array("H", ids).tobytes()
+        return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 16-bit ids of each text."""
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        asked = set(itertools.chain.from_iterable(words))
-        new = asked - self.known.keys()
-        if new:
-            if len(self.known) + len(new) > MAX_WORDS:
-                self.known.clear()
-                new = asked
-            self.learn(new)
-        known = self.known.__getitem__
-        return [b"".join(map(known, w)) for w in words]
+        return [b"".join(map(self.__getitem__, t.replace("\n", " ").split(" "))) for t in texts]
+
+
+def byte_characters() -> dict[int, str]:
+    """The printable character by which byte-level vocabularies write each byte."""
+    own = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(other)}
 
 
 TOKENISED = pa.schema([("doc_id", pa.int64()), ("queue", pa.string()), ("part", pa.int64()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
