@@ -31,7 +31,8 @@ def parts(text: Column) -> Column:
     """kind, tokens: 0 all words, 1 neighbouring words, 2 to 5 quarters and 6 the middle half, cut by characters."""
     n = F.length(text)
     words = tokens(text)
-    pairs = F.when(F.size(words) > 1, F.transform(F.slice(words, F.lit(2), F.size(words) - 1), lambda w, i: F.concat_ws(" ", F.element_at(words, i + 1), w))).otherwise(F.array().cast("array<string>"))
+    most = F.greatest(F.size(words) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(words, F.lit(1), most), F.slice(words, F.lit(2), most), lambda a, b: F.concat_ws(" ", a, b))
     cut = lambda a, b: tokens(F.substring(text, F.floor(n * a / 4).cast("int") + 1, F.floor(n * b / 4).cast("int") - F.floor(n * a / 4).cast("int")))
     middle = [(0, 1), (1, 2), (2, 3), (3, 4), (1, 3)]
     return F.array(F.struct(F.lit(0).alias("kind"), words.alias("tokens")), F.struct(F.lit(1).alias("kind"), pairs.alias("tokens")), *(F.struct(F.lit(k + 2).alias("kind"), cut(a, b).alias("tokens")) for k, (a, b) in enumerate(middle)))

@@ -11,11 +11,11 @@ MIB, UNITS = 1024 * 1024, ("KB", "MB", "GB", "TB")
 
 
 def format_bytes(n: Column) -> Column:
-    """Bytes whole, larger sizes with one decimal on base 1024, terabytes without bound."""
+    """Bytes whole, larger sizes with one decimal (halves to even) on base 1024, terabytes without bound."""
     out = F.concat(n.cast("bigint").cast("string"), F.lit(" B"))
     chain = F.when(n < 1024, out)
     for k, unit in enumerate(UNITS, 1):
-        one = F.format_string(f"%.1f {unit}", n / float(1024**k))
+        one = F.format_string(f"%.1f {unit}", F.bround(n / float(1024**k), 1))
         chain = chain.when(n < 1024 ** (k + 1), one) if unit != "TB" else chain.otherwise(one)
     return chain
 

@@ -71,8 +71,8 @@ def cluster_reviewed(nodes: DataFrame, edges: DataFrame, distinct_pairs: DataFra
     """cluster, but no cluster takes a node that was reviewed as distinct from one that it has (node_a, node_b)."""
     found = settled(components(edges), "components")
     pairs = distinct_pairs.select("node_a", "node_b").distinct()
-    touched = pairs.join(found.select(F.col("node").alias("node_a"), "root"), "node_a").join(found.select(F.col("node").alias("node_b"), F.col("root").alias("root_b")), "node_b")
-    touched = settled(touched.where("root = root_b").select("root", "node_a", "node_b"), "touched")
+    touched = pairs.join(found.select(F.col("node").alias("node_a"), F.col("root").alias("root_a")), "node_a").join(found.select(F.col("node").alias("node_b"), F.col("root").alias("root_b")), "node_b")
+    touched = settled(touched.where("root_a = root_b").select(F.col("root_a").alias("root"), "node_a", "node_b"), "touched")
     marked = touched.select("root").distinct()
     root_of = edges.where("a != b").join(found.withColumnRenamed("node", "a"), "a")
     free = cluster(nodes, root_of.join(marked, "root", "left_anti").select("a", "b"))
@@ -101,8 +101,8 @@ def cluster_reviewed(nodes: DataFrame, edges: DataFrame, distinct_pairs: DataFra
         return pd.DataFrame(out, columns=["node", "keeper"])
 
     mine = nodes.join(found, "node").join(marked, "root", "left_semi")
-    mine = mine.withColumn("place", F.row_number().over(W.partitionBy("root").orderBy("rank"))).select("root", "node", "place")
+    mine = mine.withColumn("place", F.row_number().over(W.partitionBy("root").orderBy("rank"))).select(F.col("root").alias("web"), "node", "place")
     links = root_of.join(marked, "root", "left_semi").select("root", F.lit("edge").alias("kind"), "a", "b")
     links = links.union(touched.select("root", F.lit("apart"), F.col("node_a"), F.col("node_b")))
-    bound = mine.groupBy("root").cogroup(links.groupBy("root")).applyInPandas(greedy, "node string, keeper string")
+    bound = mine.groupBy("web").cogroup(links.groupBy("root")).applyInPandas(greedy, "node string, keeper string")
     return free.union(bound)

@@ -200,7 +200,28 @@ _rule_order = {
     "smallest": "CASE WHEN pixels > 0 THEN pixels ELSE size END, size", "shortest_path": "depth, length(path)",
 }
 
+_hex = lambda c: f"lower(lpad(hex(CAST(CASE WHEN {c} < 0 THEN CAST({c} AS HUGEINT) + 18446744073709551616 ELSE {c} END AS UBIGINT)), 16, '0'))"
+
 SQL: dict[str, str] = {
+    "near_dup_edges_verified": f"""WITH {REC}, {CODES}, {PAIRS},
+        cls AS (SELECT phash, dhash, tiles, aspect, min(path) AS p FROM (SELECT DISTINCT r.path, phash, dhash, tiles, CASE WHEN width > 0 AND height > 0 THEN width / height END AS aspect FROM rec r JOIN fp USING (doc_id) WHERE phash IS NOT NULL) GROUP BY phash, dhash, tiles, aspect)
+        SELECT a.p AS path_a, b.p AS path_b FROM cls a JOIN cls b ON a.p <= b.p
+        WHERE bit_count(xor(a.phash, b.phash)) <= 6 AND coalesce(bit_count(xor(a.dhash, b.dhash)) <= 10, TRUE)
+          AND coalesce(abs(a.aspect - b.aspect) <= 0.15, TRUE) AND a.tiles IS NOT NULL AND b.tiles IS NOT NULL
+          AND list_max([bit_count(xor(a.tiles[i], b.tiles[i])) for i in range(1, 6)]) <= 8
+          AND list_sum([CAST(bit_count(xor(a.tiles[i], b.tiles[i])) AS INTEGER) for i in range(1, 6)]) <= 25""",
+    "tagged_codes": f"""WITH {CODES} SELECT doc_id, 't2:' || {" || ',' || ".join(_hex(f"tiles[{i}]") for i in range(1, 6))} AS text, TRUE AS same, TRUE AS other_tag_is_null FROM fp WHERE tiles IS NOT NULL""",
+    "next_unreviewed": f"""WITH {STATE}, u AS (SELECT ord, CASE WHEN NOT is_reviewed THEN ord END AS o FROM state WHERE kind = 'low_resolution')
+        SELECT ord, coalesce(min(o) OVER (ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), min(o) OVER ()) AS next_ord FROM u""",
+    "path_functions": """SELECT page_id, string_split(url, '/')[-1] AS name, regexp_replace(url, '/[^/]*$', '') AS parent,
+        CAST(len(list_filter(string_split(url, '/'), lambda x: x <> '')) AS BIGINT) AS depth,
+        substr(trim(regexp_replace(url, '[^\\pL\\pN._\\- ()\\[\\]]', '_', 'g')), 1, 40) AS safe, sha256(CAST(page_id AS VARCHAR) || chr(0) || url) AS thumbnail FROM pages""",
+    "format_bytes": """WITH n AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) * pow(1000.0, doc_id % 5) AS BIGINT) AS n FROM documents)
+        SELECT doc_id, CASE WHEN n < 1024 THEN CAST(n AS VARCHAR) || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0)
+        WHEN n < 1099511627776 THEN printf('%.1f GB', n / 1073741824.0) ELSE printf('%.1f TB', n / 1099511627776.0) END AS text FROM n""",
+    "undo_plan": f"""WITH {PREFLIGHT}, it AS (SELECT *, CAST(regexp_extract(path, 'doc(\\d+)', 1) AS BIGINT) AS o FROM pln WHERE ok),
+        there AS (SELECT destination AS path FROM it WHERE o % 7 <> 0 UNION SELECT path FROM pln WHERE CAST(regexp_extract(path, 'doc(\\d+)', 1) AS BIGINT) % 11 = 0)
+        SELECT destination AS source, path AS destination, CASE WHEN it.destination NOT IN (SELECT path FROM there) THEN 'quarantined file is missing' WHEN path IN (SELECT path FROM there) THEN 'original location is occupied' END AS error FROM it""",
     "near_dup_clusters": f"WITH RECURSIVE {REC}, {CODES}, {PAIRS}, {clusters(False)} SELECT group_id, path, is_keep, size FROM sim",
     "near_dup_edges": f"WITH {CODES}, c AS (SELECT DISTINCT phash AS c FROM fp WHERE phash IS NOT NULL) SELECT a.c AS code_a, b.c AS code_b, CAST(bit_count(xor(a.c, b.c)) AS BIGINT) AS distance FROM c a JOIN c b ON a.c < b.c WHERE bit_count(xor(a.c, b.c)) <= 6",
     "near_dup_classes": f"WITH {CODES} SELECT doc_id, phash AS code, lower(lpad(hex(CAST(CASE WHEN phash < 0 THEN CAST(phash AS HUGEINT) + 18446744073709551616 ELSE phash END AS UBIGINT)), 16, '0')) AS hex FROM fp WHERE phash IS NOT NULL",

@@ -284,7 +284,7 @@ def smart_select_review_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def effective_selection(spark: SparkSession, sf: str) -> DataFrame:
-    return X.effective_selection(reviewed_state(spark, sf))
+    return X.effective_selection(settled(reviewed_state(spark, sf), "state"))
 
 
 @query
@@ -340,7 +340,7 @@ def reviewer_decisions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def next_unreviewed(spark: SparkSession, sf: str) -> DataFrame:
-    return X.next_unreviewed(reviewed_state(spark, sf).where(F.col("kind") != S.EXACT)).drop("group_id").join(reviewed_state(spark, sf).where(F.col("kind") == S.LOW_RESOLUTION).select("ord", "path"), "ord").groupBy("path").agg(F.max("next_ord").alias("next_ord"))
+    return X.next_unreviewed(reviewed_state(spark, sf).where(F.col("kind") == S.LOW_RESOLUTION)).select("ord", "next_ord")
 
 
 @query
@@ -396,7 +396,8 @@ def cache_rename_hits(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def cache_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    new = scanned(spark, sf).where(C.cacheable()).select("path", "size", "sha256", F.lit("v2").alias("algorithm_version"))
+    unknown = {"phash": F.lit(None).cast("bigint"), "dhash": F.lit(None).cast("bigint"), "face_detection_signature": F.lit(None).cast("string")}
+    new = scanned(spark, sf).withColumns(unknown).where(C.cacheable()).select("path", "size", "sha256", F.lit("v2").alias("algorithm_version"))
     return C.upsert(cached(spark, sf).select("path", "size", "sha256", "algorithm_version"), new)
 
 
@@ -543,7 +544,7 @@ def action_plan(spark: SparkSession, sf: str) -> DataFrame:
 def undo_plan(spark: SparkSession, sf: str) -> DataFrame:
     members, selected, errors = planned(spark, sf)
     plan = T.action_plan(members, selected, errors, "quarantine")
-    items = plan.withColumn("item_ord", F.crc32("path").cast("bigint"))
+    items = plan.withColumn("item_ord", F.regexp_extract("path", r"doc(\d+)", 1).cast("bigint"))
     there = items.where("item_ord % 7 != 0").select(F.col("destination").alias("path")).union(items.where("item_ord % 11 = 0").select("path"))
     return T.undo_plan(items, there).select("source", "destination", "error")
 
