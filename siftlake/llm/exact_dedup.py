@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.llm.shared import new_path, text_or_empty, written
+from siftlake.llm.shared import free_name, new_path, text_or_empty, written
 
 COLUMNS = "digest binary, keep_id bigint, group_size bigint"
 
@@ -90,9 +90,10 @@ def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 
     Rows equal in every way are interchangeable: doc_id and digest pick the survivors, one row of each.
     """
-    kept = (index or new_index(docs.sparkSession)).ingest(docs).where("kept").select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("__key"))
-    here = docs.withColumn("__key", row_key(F.col("doc_id").cast("bigint"), F.sha2(text_or_empty("text"), 256)))
-    return here.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    own = free_name(docs, "__key")
+    kept = (index or new_index(docs.sparkSession)).ingest(docs).where("kept").select(row_key(F.col("doc_id"), F.col("text_sha256")).alias(own))
+    here = docs.withColumn(own, row_key(F.col("doc_id").cast("bigint"), F.sha2(text_or_empty("text"), 256)))
+    return here.join(kept, own, "left_semi").dropDuplicates([own]).select(*docs.columns)
 
 
 def row_key(doc_id: F.Column, digest: F.Column) -> F.Column:

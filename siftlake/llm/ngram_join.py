@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.llm.components import components
-from siftlake.llm.shared import U64, bytes_of, mix, slices, span_hashes, text_or_empty, words_of, written
+from siftlake.llm.shared import U64, bytes_of, free_name, mix, slices, span_hashes, text_or_empty, words_of, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -245,9 +245,10 @@ def drop_near_copies(docs: DataFrame, n: int = WORDS, threshold: float = THRESHO
 
     Of rows that repeat doc_id and text one stays.
     """
+    own = free_name(docs, "__key")
     key = lambda i, t: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("-")), t.cast("string"))
     found = ngram_join(docs, n, threshold)
     heads = found.where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_key") == F.col("class_key")))
-    heads = heads.select(key(F.col("doc_id"), F.col("text_key")).alias("__key"))
-    here = docs.withColumn("__key", key(F.col("doc_id").cast("bigint"), F.xxhash64(text_or_empty("text"))))
-    return here.join(heads, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    heads = heads.select(key(F.col("doc_id"), F.col("text_key")).alias(own))
+    here = docs.withColumn(own, key(F.col("doc_id").cast("bigint"), F.xxhash64(text_or_empty("text"))))
+    return here.join(heads, own, "left_semi").dropDuplicates([own]).select(*docs.columns)

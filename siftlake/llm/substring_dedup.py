@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm.shared import BASE_A, BASE_B, TILE, U64, bytes_of, mix, powers, prefix_sums, slices, span_hashes, text_or_empty, written
+from siftlake.llm.shared import BASE_A, BASE_B, TILE, U64, bytes_of, free_name, mix, powers, prefix_sums, slices, span_hashes, text_or_empty, written
 from siftlake.llm.suffix_sort import repeated
 
 LENGTH = 200
@@ -204,17 +204,17 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, blo
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))), F.col("doc_id").isNull(), text_or_empty("text"))
     texts = docs.select(key.alias("doc_key"), text_or_empty("text").alias("text"))
     found = marks(texts, length, gram, block_bytes, most_runs)
-    spans = found.groupBy("doc_key").agg(F.collect_list(F.struct("first", "windows")).alias("marks"))
-    names = [c for c in docs.columns if c not in ("text", "kept", "n_bytes", "n_removed", "n_spans")]
-    base = docs.select(*names, text_or_empty("text").cast("binary").alias("kept"), key.alias("__key"))
-    joined = base.join(spans.withColumnRenamed("doc_key", "__key"), "__key", "left").drop("__key")
-    joined = joined.select(*names, "kept", "marks")
+    own, windows = free_name(docs, "__key"), free_name(docs, "__marks")
+    spans = found.groupBy(F.col("doc_key").alias(own)).agg(F.collect_list(F.struct("first", "windows")).alias(windows))
+    names = [c for c in docs.columns if c.lower() not in ("text", "kept", "n_bytes", "n_removed", "n_spans")]
+    base = docs.select(*names, text_or_empty("text").cast("binary").alias("kept"), key.alias(own))
+    joined = base.join(spans, own, "left").select(*names, "kept", windows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch, "kept", 1 << 21):
                 before, n_spans, after = some.column("kept").to_pylist(), [], []
-                spans_of = some.column("marks").to_pylist()
+                spans_of = some.column(windows).to_pylist()
                 for raw, found_here in zip(before, spans_of):
                     if found_here:
                         raw, n = kept_bytes(raw, [m["first"] for m in found_here], [m["windows"] for m in found_here], length)
