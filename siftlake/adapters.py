@@ -41,7 +41,7 @@ def parts(text: Column) -> Column:
 def document_codes(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, phash, dhash, tiles; null where a part has no words."""
     docs = table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    each = docs.select("doc_id", F.explode(parts(F.col("text"))).alias("p")).select("doc_id", "p.kind", F.explode("p.tokens").alias("token"))
+    each = docs.select("doc_id", F.explode(parts(F.col("text"))).alias("p")).select("doc_id", "p.kind", "p.tokens")
     codes = simhash(each, ["doc_id", "kind"])
     of = lambda k: F.max(F.when(F.col("kind") == k, F.col("code")))
     wide = codes.groupBy("doc_id").agg(of(0).alias("phash"), of(1).alias("dhash"), *(of(k).alias(f"t{k}") for k in range(2, 7)))
@@ -84,7 +84,8 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
 def conversation_sequences(spark: SparkSession, folder: str) -> DataFrame:
     """id, duration (all characters), frames: a code for each turn in order, null where a turn has no words."""
     turns = table(spark, folder, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
-    codes = simhash(turns.select("conv_id", "turn", F.explode(tokens(F.col("text"))).alias("token")), ["conv_id", "turn"])
+    said = turns.groupBy("conv_id", "turn").agg(F.flatten(F.collect_list(tokens(F.col("text")))).alias("tokens"))
+    codes = simhash(said, ["conv_id", "turn"])
     whole = turns.groupBy("conv_id", "turn").agg(F.sum(F.length("text")).alias("chars")).join(codes, ["conv_id", "turn"], "left")
     listed = whole.groupBy("conv_id").agg(F.sum("chars").cast("double").alias("duration"), F.array_sort(F.collect_list(F.struct("turn", "code"))).alias("x"), F.count("code").alias("n"), F.count("*").alias("m"))
     frames = F.when(F.col("n") == F.col("m"), F.transform("x", lambda s: s["code"]))

@@ -69,14 +69,15 @@ def sample_times(duration: Column, most: int = 8) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: i * duration / n)
 
 
-def simhash(tokens: DataFrame, keys: list[str], token: str = "token", out: str = "code") -> DataFrame:
-    """One code for each value of keys: bit b is set if more than half of its distinct tokens' md5 codes have it.
+def simhash(rows: DataFrame, keys: list[str], tokens: str = "tokens", out: str = "code") -> DataFrame:
+    """One code for each row with tokens (an array), known by keys: bit b is set if more than half of its distinct tokens' md5 codes have it.
 
-    tokens may repeat. Counts of two bits share a long, so 32 sums of a hash aggregation are all the state there is.
+    A row's tokens are made distinct in place and summed before the shuffle, which then moves one row for each. Counts of two
+    bits share a long, so 32 sums of a hash aggregation are all the state there is. Rows without tokens have no code.
     """
-    h = from_hex(F.substring(F.md5(F.col(token)), 1, 16))
     lanes = F.lit(0x0000000100000001)
-    marked = tokens.select(*keys, token).distinct().select(*keys, h.alias("__h"))
+    each = rows.select(*keys, F.explode(F.array_distinct(tokens)).alias("__t"))
+    marked = each.select(*keys, from_hex(F.substring(F.md5("__t"), 1, 16)).alias("__h"))
     sums = [F.sum(F.shiftrightunsigned("__h", b).bitwiseAND(lanes)).alias(f"__{b}") for b in range(32)]
     counted = marked.groupBy(*keys).agg(F.count("*").alias("__n"), *sums)
     low = lambda b: F.col(f"__{b}").bitwiseAND(F.lit(0xFFFFFFFF))
