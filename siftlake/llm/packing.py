@@ -39,7 +39,7 @@ WINDOW = 4096
 END_ID = 2
 #: Sources beyond this many share queues by hash, so that the ring's state stays small.
 MAX_QUEUES = 512
-MAX_WORDS = 800_000
+MAX_WORDS = 250_000
 
 _coders: dict[str, "WordCoder"] = {}
 

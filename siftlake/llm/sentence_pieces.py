@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding in batched numpy.
 
-Texts are cut into words before each white-space mark; no piece of the vocabulary spans such a cut. Words of equal length
+Texts are cut into words where no piece of the vocabulary spans: before white-space marks, and between letters and others. Words of equal length
 advance together: for each end place, the hashes of the substrings that end there (from prefix sums) probe the sorted keys of
 the pieces, the best score over all starts is one vectorised maximum, and its argument is the backpointer (Viterbi).
 
@@ -39,6 +39,20 @@ def codes(words: list[str]) -> np.ndarray:
     return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1)
 
 
+def cutter(pieces: list[str]) -> re.Pattern:
+    """Cuts a text where no piece spans: before white-space marks, and between letters and other characters.
+
+    Letters that a piece joins with another character (but a mark before them) do not count as letters.
+    """
+    letter = re.compile(r"[^\W\d_]")
+    mixed = {c for p in pieces if len(p) > 1 for c, d in [*zip(p, p[1:]), *zip(p[1:], p)] if letter.match(c) and not letter.match(d) and d != SPACE}
+    odd = "".join(map(re.escape, sorted(mixed)))
+    joined = {c for p in pieces for c, d in [*zip(p, p[1:]), *zip(p[1:], p)] if c not in mixed and letter.match(c) and d in mixed}
+    if joined:  # then such letters would have to count as others too, and so on: cut at marks alone
+        return re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+    return re.compile(f"{SPACE}*[^\\W\\d_{odd}]+|{SPACE}*(?:[^\\w{SPACE}]+|[\\d_{odd}]+)+|{SPACE}+")
+
+
 class Pieces:
     """A vocabulary file: sorted hashes of its pieces, their scores and bytes."""
 
@@ -57,6 +71,7 @@ class Pieces:
         if any(SPACE in piece.lstrip(SPACE) for _, piece, _ in named):
             raise ValueError("a piece spans words")
         self.longest = max(len(piece) for _, piece, _ in named)
+        self.cut = cutter([piece for _, piece, _ in named])
         self.up = np.concatenate([[U64(1)], np.cumprod(np.full(4096, BASE_A, U64))])
         self.down = np.concatenate([[U64(1)], np.cumprod(np.full(4096, pow(BASE_A, -1, 1 << 64), U64))])
         keys, ids, values = [], [], []
@@ -209,13 +224,11 @@ class Pieces:
                         out += [int(ids[r, a])] if ids[r, a] >= 0 else self.byte_ids[list(w[a:b].encode("utf-8", "replace"))].tolist()
                     known[w] = np.array(out, "<i4").tobytes()
 
-    CUT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-
     def encode(self, texts: list[str], method: str | None = None) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         method = method or ("merges" if self.by_merges else "viterbi")
         known = self.known[method]
-        cut = [self.CUT.findall(self.prefix + t.replace(" ", SPACE)) if t else [] for t in texts]
+        cut = [self.cut.findall(self.prefix + t.replace(" ", SPACE)) if t else [] for t in texts]
         asked = set(itertools.chain.from_iterable(cut))
         new = asked - known.keys()
         if len(known) + len(new) > MOST_WORDS:

@@ -21,7 +21,7 @@ from siftlake.llm.crf import Chain, fit, logistic
 from siftlake.llm.shared import U64, bytes_of, mix, slices, span_hashes, text_or_empty
 
 #: Labelled rows of each class that training reads at most, chosen by the hash of doc_id.
-MOST_TOXIC, MOST_CLEAN = 1500, 3500
+MOST_TOXIC, MOST_CLEAN = 1200, 3000
 TABLE_BITS = 18
 #: Features: the token's form and its first 4, 5 and 6 bytes.
 PREFIXES = (4, 5, 6)
