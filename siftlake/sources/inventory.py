@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from siftlake import schema as S
 from siftlake.functions.paths import excluded, hidden, in_package, suffix
 
-# Names that are always left out.
-ALWAYS_EXCLUDED = (".git", ".dedupe", "*.photoslibrary", "node_modules", ".trash", ".ds_store", "__macosx", "for deletion", "_dedupe review", "dedupe review", "_dedupe quarantine", "dedupe quarantine")
+# Names that are always left out, the folders of this engine among them.
+ALWAYS_EXCLUDED = (".git", ".siftlake", "*.photoslibrary", "node_modules", ".trash", ".ds_store", "__macosx", "for deletion", "_siftlake review", "siftlake review", "_siftlake quarantine", "siftlake quarantine")
 LISTED = "path string, root string, relative string, size bigint, mtime double, mtime_ns bigint, device bigint, inode bigint, is_symlink boolean, scan_ord bigint"
 
 
