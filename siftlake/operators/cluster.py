@@ -44,10 +44,10 @@ def cluster(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     better = F.col("a_rank") > F.col("b_rank")
     down = ranked.select(F.when(better, F.col("a")).otherwise(F.col("b")).alias("hi"), F.greatest("a_rank", "b_rank").alias("hi_rank"), F.when(better, F.col("b")).otherwise(F.col("a")).alias("lo"))
     down = settled(down.distinct(), "cluster-edges")
-    open_edges, keepers = down.select("hi", "lo"), None
+    open_edges, keepers, size = down.select("hi", "lo"), None, down.count()
     while True:
         heads = open_edges.select(F.col("hi").alias("node")).distinct().join(open_edges.select(F.col("lo").alias("node")).distinct(), "node", "left_anti")
-        heads = settled(heads, "keepers")
+        heads = settled(heads, "keepers", size)
         if heads.isEmpty():
             break
         keepers = heads if keepers is None else keepers.union(heads)
@@ -57,13 +57,13 @@ def cluster(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         lone = open_edges.select(F.col("hi").alias("node")).union(open_edges.select(F.col("lo").alias("node"))).distinct()
         lone = lone.join(gone, "node", "left_anti").join(left.select(F.col("hi").alias("node")).union(left.select(F.col("lo").alias("node"))).distinct(), "node", "left_anti")
         keepers = keepers.union(lone)
-        open_edges = settled(left, "open-edges")
+        open_edges = settled(left, "open-edges", size)
     if keepers is None:
         return nodes.select("node", F.col("node").alias("keeper")).limit(0)
-    keepers = settled(keepers, "all-keepers")
+    keepers = settled(keepers, "all-keepers", 2 * size)
     taken = down.join(keepers.select(F.col("node").alias("hi")), "hi", "left_semi").join(keepers.select(F.col("node").alias("lo")), "lo", "left_anti")
     own = taken.groupBy("lo").agg(F.max(F.struct("hi_rank", "hi")).alias("best")).select(F.col("lo").alias("node"), F.col("best.hi").alias("keeper"))
-    own = settled(own, "taken")
+    own = settled(own, "taken", size)
     return own.union(own.select(F.col("keeper").alias("node"), "keeper").distinct())
 
 

@@ -14,6 +14,7 @@ from siftlake import schema as S
 from siftlake.functions.paths import depth
 from siftlake.functions.report import signature_version
 from siftlake.operators.cluster import keep_rank
+from siftlake.storage import settled
 
 
 def of_group():
@@ -29,10 +30,12 @@ def buckets(records: DataFrame, *keys: str, least: int = 2) -> DataFrame:
 def exact_members(records: DataFrame, root: str | None = None) -> DataFrame:
     """group_key, path and record columns of records with equal content: size, then the first bytes, then all bytes narrow them.
 
+    What has an equal size is written once, so that records is read twice: for its sizes, and for the rest of those.
+
     Empty files and records without a hash are in no group; repeated paths count once. With root, groups stay within its values.
     """
     own = [root] if root else []
-    near = buckets(records.where("size > 0").dropDuplicates(["path"]), *own, "size")
+    near = settled(buckets(records.where("size > 0"), *own, "size"), "equal-sizes").dropDuplicates(["path"])
     near = buckets(near, *own, "size", "partial_hash").where("sha256 IS NOT NULL")
     return buckets(near, *own, "sha256").withColumn("group_key", F.concat_ws("|", *own, "sha256"))
 
@@ -51,6 +54,7 @@ def build_groups(members: DataFrame, kind: str, first: Column | None = None) ->
     own = W.partitionBy("group_key")
     tie = first if first is not None else F.col("path")
     best = F.row_number().over(own.orderBy(keep_rank().desc(), tie))
+    members = settled(members, "members")
     out = members.withColumn("is_keep", best == 1).join(group_ids(members, kind), "group_key")
     out = out.withColumn("ord", F.row_number().over(own.orderBy("path")).cast("bigint"))
     return out.withColumns({"kind": F.lit(kind), "is_selected": ~F.col("is_keep"), "is_reviewed": F.lit(False), "sel_ord": F.col("ord")}).drop("group_key")

@@ -16,6 +16,7 @@ from siftlake.functions.codes import hamming
 from siftlake.functions.paths import in_roots, name
 from siftlake.operators.groups import of_group
 from siftlake.operators.ranking import folder_numbers, unique_names
+from siftlake.storage import settled
 
 
 def validated(records: DataFrame, now: DataFrame, roots: tuple[str, ...] = ()) -> DataFrame:
@@ -63,7 +64,7 @@ def preflight(members: DataFrame, selected: DataFrame, now: DataFrame, roots: tu
     now as for validated, with sha256, phash and frames as they are now.
     """
     records = members.dropDuplicates(["path"])
-    own = validated(records, now, roots)
+    own = settled(validated(records, now, roots), "validated")
     seen = now.select("path", F.col("sha256").alias("now_sha256"), F.col("phash").alias("now_phash"), F.col("frames").alias("now_frames"), F.col("size").alias("now_size"), F.col("device").alias("now_device"))
     checked = selected.select("path").join(own.join(records.select("path", "sha256"), "path"), "path", "left").join(seen, "path", "left")
     error = F.when(F.col("sha256").isNull() & F.col("error").isNull() & F.col("now_size").isNull(), "selection is not present in the scan result").otherwise(F.col("error"))

@@ -525,8 +525,8 @@ def validate_identity(spark: SparkSession, sf: str) -> DataFrame:
 def planned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = A.records(spark, sf).withColumns({"inode": F.col("doc_id") * 10, "frames": F.lit(None).cast("array<bigint>")})
     members = settled(SC.ordered_groups(G.build_groups(G.exact_members(rows), S.EXACT)), "members")
-    selected = X.effective_selection(members)
-    return members, selected, T.preflight(members, selected, settled(present(spark, sf), "present"))
+    selected = settled(X.effective_selection(members), "selected")
+    return members, selected, settled(T.preflight(members, selected, settled(present(spark, sf), "present")), "errors")
 
 
 @query
@@ -543,7 +543,7 @@ def action_plan(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def undo_plan(spark: SparkSession, sf: str) -> DataFrame:
     members, selected, errors = planned(spark, sf)
-    plan = T.action_plan(members, selected, errors, "quarantine")
+    plan = settled(T.action_plan(members, selected, errors, "quarantine"), "plan")
     items = plan.withColumn("item_ord", F.regexp_extract("path", r"doc(\d+)", 1).cast("bigint"))
     there = items.where("item_ord % 7 != 0").select(F.col("destination").alias("path")).union(items.where("item_ord % 11 = 0").select("path"))
     return T.undo_plan(items, there).select("source", "destination", "error")

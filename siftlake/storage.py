@@ -25,8 +25,28 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[0]
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as Parquet and read again. The table stays until the folder is emptied: results may still read it."""
-    path = f"{shared_dir(df.sparkSession)}/siftlake/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
+#: Rows of a file of a table whose size is known beforehand.
+FILE_ROWS = 50_000
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/siftlake/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def settled(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df, written once as Parquet and read again. The table stays until clean_up: results may still read it.
+
+    rows: at most so many are expected; then there is no more than a file for each FILE_ROWS of them. Small rounds on many
+    partitions would else write a file, and open and rename it, for each.
+    """
+    path = new_path(df.sparkSession, name)
+    out = df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))
+    out.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Removes the tables of this session; results that were not stored elsewhere can no longer be read."""
+    jvm, folder = spark.sparkContext._jvm, f"{shared_dir(spark)}/siftlake/{spark.sparkContext.applicationId}"
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
