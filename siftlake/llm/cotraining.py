@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from siftlake.llm.crf import logistic
 from siftlake.llm.quality_rules import DIGIT, LOWER, PUNCT, SYMBOLS, UPPER, Counted
-from siftlake.llm.shared import U64, bytes_of, mix, slices, text_or_empty
+from siftlake.llm.shared import U64, bytes_of, mix, slices, small_batches, text_or_empty
 
 #: Labelled rows of each class and unlabelled rows that training reads at most, chosen by the hash of doc_id.
 MOST_LABELLED, MOST_UNLABELLED = 3000, 6000
@@ -165,6 +165,7 @@ def quality(docs: DataFrame, views: Views) -> DataFrame:
     Null text, language and source are empty; a null n_chars is the text's. Repeated rows get equal results and an empty table
     gives no rows. Columns that docs has besides are not looked at.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(views)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

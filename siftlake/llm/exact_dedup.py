@@ -50,9 +50,10 @@ class DigestIndex:
             ),
             "digests",
         )
+        size = rows.count()
         best = F.max(F.struct("doc_id", "row_tag"))
         heads = rows.groupBy("digest").agg(best.alias("best"), F.count("*").alias("n"))
-        heads = written(heads, "heads")
+        heads = written(heads, "heads", size)
         known = self.rows().hint("merge")
         fresh = heads.join(known, "digest", "left_anti").select("digest", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"))
         before = known.select("digest", F.col("keep_id").alias("old_id"), F.col("group_size").alias("old_n"), F.lit(True).alias("seen"))
@@ -64,6 +65,7 @@ class DigestIndex:
                 F.when(F.col("seen").isNull(), F.col("best.row_tag")).alias("keep_tag"),
             ),
             "verdicts",
+            size,
         )
         self.append(fresh)
         return rows.join(verdicts, "digest", "left").select(

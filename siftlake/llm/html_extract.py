@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm.shared import slices, text_or_empty
+from siftlake.llm.shared import slices, small_batches, text_or_empty
 
 #: A path is content from this share of the page's greatest path score; weight of the smoothing window around a block.
 THRESHOLD, WINDOW = 0.25, (0.25, 0.5, 0.25)
@@ -204,6 +204,7 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     The whole html is read; null is empty. Columns of pages named text or n_chars are replaced. Repeated rows get equal
     results and an empty table gives no rows.
     """
+    small_batches(pages.sparkSession)
     names = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

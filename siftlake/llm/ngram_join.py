@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm.components import components
-from siftlake.llm.shared import U64, bytes_of, free_name, mix, slices, span_hashes, text_or_empty, words_of, written
+from siftlake.operators.components import components
+from siftlake.llm.shared import U64, bytes_of, free_name, mix, slices, small_batches, span_hashes, text_or_empty, words_of, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -174,18 +174,20 @@ def ngram_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, re
     is its own class. A text of fewer than n words is one n-gram. Rows that repeat are partners of each other. A null doc_id
     sorts before all others. An empty table gives no rows; other columns are not looked at.
     """
+    small_batches(docs.sparkSession)
     banding = Banding(*choose_bands(threshold, recall))
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty("text").alias("text")).withColumn("text_key", F.xxhash64("text"))
     rows = signed(base, banding, n)
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.count("*").alias("n_copies"), F.first("grams").alias("grams"), F.first("bands").alias("bands"))
-    nodes = written(nodes, "nodes")
+    size = rows.count()
+    nodes = written(nodes, "nodes", size)
 
     keyed = nodes.select("node", F.explode("bands").alias("band"))
     leaders = keyed.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("band", "leader")
     stars = keyed.join(leaders, "band").where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
     found = components(stars)
 
-    members = written(found.join(nodes, "node").select("root", "node", "rep", "n_copies", "grams", "bands"), "members")
+    members = written(found.join(nodes, "node").select("root", "node", "rep", "n_copies", "grams", "bands"), "members", size)
     sizes = members.groupBy("root").agg(F.count("*").alias("m"), F.sum("grams").alias("g"))
     chunks = sizes.select("root", F.ceil(F.greatest(F.col("m") / CHUNK_NODES, F.col("g") / CHUNK_GRAMS)).cast("int").alias("chunks"))
     placed = members.join(chunks, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
@@ -225,9 +227,9 @@ def ngram_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, re
     summed = checked.groupBy("node").agg(F.sum("links").alias("links"), F.min("parent").alias("parent"), F.first("many").alias("many"))
     labels = summed.join(forest, "node", "left").select("node", "links", F.when(F.col("many"), F.coalesce("root", "node")).otherwise(F.col("parent")).alias("label"))
     named = nodes.join(labels, "node", "left").select("node", "rep", "n_copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "node").alias("label"))
-    named = written(named, "named")
+    named = written(named, "named", size)
     classes = named.groupBy("label").agg(F.min("rep").alias("head"), F.sum("n_copies").alias("class_size"))
-    about = written(named.join(classes, "label").select("node", "head", "class_size", "n_copies", (F.col("links") + F.col("n_copies") - 1).alias("n_links")), "classes")
+    about = written(named.join(classes, "label").select("node", "head", "class_size", "n_copies", (F.col("links") + F.col("n_copies") - 1).alias("n_links")), "classes", size)
     own = F.struct("doc_id", "text_key")
     return rows.select("doc_id", "text_key", "node").join(about, "node", "left").select(
         "doc_id",

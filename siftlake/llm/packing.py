@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftlake.llm.shared import slices, text_or_empty, written
+from siftlake.llm.shared import slices, small_batches, text_or_empty, written
 
 WINDOW = 4096
 END_ID = 2
@@ -185,7 +185,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shares: dict[str
     repeated rows are packed as often as they occur, and an empty table gives no rows. Other columns are not looked at.
     ids: little-endian unsigned 32-bit, null if not with_ids.
     """
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     shares = {k: Fraction(v) for k, v in (shares or {}).items()}
     rows = tokenised(docs, tokenizer, end_id)
     each = rows.groupBy("queue", "part").agg(F.sum("n_tokens").alias("n"))
@@ -193,7 +193,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shares: dict[str
     order = sorted(names)
     plan = phases(window, [names[q] for q in order], [shares.get(q, Fraction(0)) if shares else Fraction(names[q]) for q in order])
     place = {q: s for s, q in enumerate(order)}
-    offsets = written(each.withColumn("earlier", F.sum("n").over(W.partitionBy("queue").orderBy("part").rowsBetween(W.unboundedPreceding, -1))).select("queue", "part", F.coalesce("earlier", F.lit(0)).alias("earlier")), "offsets")
+    offsets = written(each.withColumn("earlier", F.sum("n").over(W.partitionBy("queue").orderBy("part").rowsBetween(W.unboundedPreceding, -1))).select("queue", "part", F.coalesce("earlier", F.lit(0)).alias("earlier")), "offsets", each.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.llm.crf import Chain, fit
-from siftlake.llm.shared import U64, bytes_of, mix, slices, span_hashes, text_or_empty, words_of
+from siftlake.llm.shared import U64, bytes_of, mix, slices, small_batches, span_hashes, text_or_empty, words_of
 from siftlake.llm.toxicity import distinct_rows, is_first, runs, surprise
 
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -207,6 +207,7 @@ def quality_rules(docs: DataFrame, labeller: Labeller, content_share: float = CO
     the base rule fails, else whether content lines hold content_share of the lines' characters. Repeated rows get equal
     results, an empty table gives no rows, and other columns are not looked at.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(labeller)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm.shared import BASE_A, U64, mix, slices, text_or_empty
+from siftlake.llm.shared import BASE_A, U64, mix, slices, small_batches, text_or_empty
 
 SPACE = "▁"
 #: Words that a task remembers; cells of the matrices that one batch of words of a length may fill.
@@ -254,6 +254,7 @@ def encoded(docs: DataFrame, model: str, methods: tuple[str | None, ...] = (None
     Null text is empty and has no ids. A white-space mark U+2581 in a text decodes to a space, so such a text does not come
     back whole. Repeated rows get equal results; an empty table gives no rows; other columns are not looked at.
     """
+    small_batches(docs.sparkSession)
     heads = ["" if k == 0 else f"{m}_" for k, m in enumerate(methods)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,37 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-U64 = np.uint64
-_fallback: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests on one machine), a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _fallback:
-        holder = tempfile.TemporaryDirectory(prefix="siftlake-")
-        atexit.register(holder.cleanup)
-        _fallback.append(holder.name)
-    return _fallback[0]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/siftlake/{name}-{uuid.uuid4().hex[:12]}"
+from siftlake.storage import new_path
+from siftlake.storage import settled as written
 
+__all__ = ["new_path", "written"]
+U64 = np.uint64
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read again: cuts the lineage, and later reads agree with each other.
 
-    The table stays until the session ends, for the caller's result may still read it.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def small_batches(spark: SparkSession) -> None:
+    """Rows of Arrow batches to 1,000, unless the session has chosen a number: texts are long, and a batch is held on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
 
 
 def free_name(df: DataFrame, name: str) -> str:

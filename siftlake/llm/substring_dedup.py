@@ -18,7 +18,6 @@ that length can be split between:
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm.shared import BASE_A, BASE_B, TILE, U64, bytes_of, free_name, mix, powers, prefix_sums, slices, span_hashes, text_or_empty, written
+from siftlake.llm.shared import BASE_A, BASE_B, TILE, U64, bytes_of, free_name, mix, powers, prefix_sums, slices, small_batches, span_hashes, text_or_empty, written
 from siftlake.llm.suffix_sort import repeated
 
 LENGTH = 200
@@ -159,13 +158,15 @@ def marks(texts: DataFrame, length: int, gram: int, block_bytes: int, most_runs:
     """doc_key, first, windows: runs of window starts whose strings also start elsewhere."""
     rows = anchored(texts, length, gram)
     again = rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    runs = written(rows.join(again, "anchor"), "repeated-anchors")
+    size = rows.count()
+    runs = written(rows.join(again, "anchor"), "repeated-anchors", size)
+    size = runs.count()
     place = F.struct("doc_key", "first", "windows")
-    spans = written(runs.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(place).alias("place")), "spans")
+    spans = written(runs.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(place).alias("place")), "spans", size)
     whole = runs.join(spans.where("n > 1").select("anchor", "span"), ["anchor", "span"]).select("doc_key", "first", "windows")
     kinds = spans.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("rarest"))
     mixed = spans.join(kinds.where("kinds > 1 AND rarest = 1"), "anchor")
-    mixed = written(mixed.select("anchor", "place.*", "kinds", (F.col("n") == 1).alias("single")), "mixed")
+    mixed = written(mixed.select("anchor", "place.*", "kinds", (F.col("n") == 1).alias("single")), "mixed", size)
     load = mixed.agg(F.sum(F.col("windows") + length).alias("b")).head()["b"] or 0
     blocks = max(1, -(-load // block_bytes))
     large = F.col("kinds") > most_runs
@@ -201,6 +202,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, blo
     no rows. Columns of docs that have the names of the results are replaced; all others are returned. Texts are known by a
     64-bit hash of doc_id and text; equal strings within a block are compared byte by byte, whole runs by 128 bits of hashes.
     """
+    small_batches(docs.sparkSession)
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))), F.col("doc_id").isNull(), text_or_empty("text"))
     texts = docs.select(key.alias("doc_key"), text_or_empty("text").alias("text"))
     found = marks(texts, length, gram, block_bytes, most_runs)

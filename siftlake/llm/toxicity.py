@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.llm.crf import Chain, fit, logistic
-from siftlake.llm.shared import U64, bytes_of, mix, slices, span_hashes, text_or_empty
+from siftlake.llm.shared import U64, bytes_of, mix, slices, small_batches, span_hashes, text_or_empty
 
 #: Labelled rows of each class that training reads at most, chosen by the hash of doc_id.
 MOST_TOXIC, MOST_CLEAN = 1200, 3000
@@ -217,6 +217,7 @@ def toxicity(docs: DataFrame, tagger: Tagger, with_text: bool = False) -> DataFr
     Whole texts are scored; null text is empty and gets the score of no evidence. Columns of docs named like the results are
     replaced. Repeated rows get equal results; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("score", "predicted", "spans") and (with_text or c != "text")]
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
 
