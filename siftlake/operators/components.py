@@ -13,16 +13,17 @@ def _digest(edges: DataFrame) -> tuple[int, int]:
     return row["n"], row["h"] or 0
 
 
-def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, about: int | None = None, most_rounds: int = 100) -> DataFrame:
     """node, root for every node of the undirected edges (a, b); root is the least node of its component.
 
     Large-star and small-star rounds: each replaces a node's edges by edges to its least neighbour, so the number of rounds
     grows with the logarithm of a component's size and the edges never grow beyond the input's. Minima are combined before
     they are shuffled; the joins back are ones that adaptive execution can split at a hot node. Every round is written to
     the shared folder. Loops are ignored and no edges give no rows.
+    about: how many edges are expected, for the number of files of the first table.
     """
     lo, hi = F.least("a", "b"), F.greatest("a", "b")
-    now = settled(edges.where(F.col("a") != F.col("b")).select(hi.alias("a"), lo.alias("b")).distinct(), "edges")
+    now = settled(edges.where(F.col("a") != F.col("b")).select(hi.alias("a"), lo.alias("b")).distinct(), "edges", about)
     seen = _digest(now)
     for _ in range(most_rounds):
         if not seen[0]:
