@@ -12,8 +12,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.llm.shared import free_name, new_path, text_or_empty, written
+from siftlake.llm.shared import free_name, new_path, sized, text_or_empty, written
+from siftlake.storage import FILE_ROWS
 
+#: Buckets of an index made for one batch.
+BUCKETS = 32
 COLUMNS = "digest binary, keep_id bigint, group_size bigint"
 
 
@@ -67,19 +70,20 @@ class DigestIndex:
             "verdicts",
             size,
         )
-        self.append(fresh)
+        self.append(fresh, size)
         return rows.join(verdicts, "digest", "left").select(
             "doc_id", "keep_id", "group_size", (F.col("row_tag").eqNullSafe(F.col("keep_tag"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "row_tag"
         )
 
-    def append(self, fresh: DataFrame) -> None:
+    def append(self, fresh: DataFrame, size: int) -> None:
+        """Adds at most size new rows; few are written by one task, which spares each bucket a file for every task."""
         buckets = int(self.spark.sql(f"DESCRIBE EXTENDED {self.table}").where("col_name = 'Num Buckets'").head()[1])
-        tidy = fresh.repartition(buckets, "digest").sortWithinPartitions("digest")
+        tidy = (fresh.coalesce(1) if size <= 8 * FILE_ROWS else fresh.repartition(buckets, "digest")).sortWithinPartitions("digest")
         tidy.write.bucketBy(buckets, "digest").sortBy("digest").format("parquet").mode("append").option("path", self.path).saveAsTable(self.table)
 
 
 def new_index(spark: SparkSession) -> DigestIndex:
-    return DigestIndex(spark, new_path(spark, "digest-index"), max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return DigestIndex(spark, new_path(spark, "digest-index"), BUCKETS)
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
@@ -95,7 +99,7 @@ def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     own = free_name(docs, "__key")
     kept = (index or new_index(docs.sparkSession)).ingest(docs).where("kept").select(row_key(F.col("doc_id"), F.col("text_sha256")).alias(own))
     here = docs.withColumn(own, row_key(F.col("doc_id").cast("bigint"), F.sha2(text_or_empty("text"), 256)))
-    return here.join(kept, own, "left_semi").dropDuplicates([own]).select(*docs.columns)
+    return sized(here.join(kept, own, "left_semi").dropDuplicates([own]).select(*docs.columns), docs.count())
 
 
 def row_key(doc_id: F.Column, digest: F.Column) -> F.Column:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.operators.components import components
-from siftlake.llm.shared import U64, bytes_of, free_name, mix, slices, small_batches, span_hashes, text_or_empty, words_of, written
+from siftlake.llm.shared import U64, bytes_of, free_name, mix, sized, slices, small_batches, span_hashes, text_or_empty, words_of, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -185,7 +185,7 @@ def ngram_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, re
     keyed = nodes.select("node", F.explode("bands").alias("band"))
     leaders = keyed.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("band", "leader")
     stars = keyed.join(leaders, "band").where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    found = components(stars)
+    found = components(stars, size)
 
     members = written(found.join(nodes, "node").select("root", "node", "rep", "n_copies", "grams", "bands"), "members", size)
     sizes = members.groupBy("root").agg(F.count("*").alias("m"), F.sum("grams").alias("g"))
@@ -222,8 +222,8 @@ def ngram_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, re
         many = len(picks) and table.column("chunks")[0].as_py() > 1
         return pa.table({"node": pa.array([ids[k] for k in picks], pa.binary()), "links": pa.array(count, pa.int64()), "parent": pa.array([ids[picks[p]] for p in parent], pa.binary()), "many": pa.array([bool(many)] * len(picks), pa.bool_())})
 
-    checked = written(work.groupBy("root", "i", "j").applyInArrow(verify, "node binary, links bigint, parent binary, many boolean"), "checked")
-    forest = components(checked.where("many").select(F.col("node").alias("a"), F.col("parent").alias("b")))
+    checked = written(work.groupBy("root", "i", "j").applyInArrow(verify, "node binary, links bigint, parent binary, many boolean"), "checked", 10 * size)
+    forest = components(checked.where("many").select(F.col("node").alias("a"), F.col("parent").alias("b")), size)
     summed = checked.groupBy("node").agg(F.sum("links").alias("links"), F.min("parent").alias("parent"), F.first("many").alias("many"))
     labels = summed.join(forest, "node", "left").select("node", "links", F.when(F.col("many"), F.coalesce("root", "node")).otherwise(F.col("parent")).alias("label"))
     named = nodes.join(labels, "node", "left").select("node", "rep", "n_copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "node").alias("label"))
@@ -253,4 +253,4 @@ def drop_near_copies(docs: DataFrame, n: int = WORDS, threshold: float = THRESHO
     heads = found.where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_key") == F.col("class_key")))
     heads = heads.select(key(F.col("doc_id"), F.col("text_key")).alias(own))
     here = docs.withColumn(own, key(F.col("doc_id").cast("bigint"), F.xxhash64(text_or_empty("text"))))
-    return here.join(heads, own, "left_semi").dropDuplicates([own]).select(*docs.columns)
+    return sized(here.join(heads, own, "left_semi").dropDuplicates([own]).select(*docs.columns), docs.count())

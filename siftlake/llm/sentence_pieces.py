@@ -11,6 +11,7 @@ neighbours with the best score over a word is joined, again for all words of a l
 
 from __future__ import annotations
 
+import gc
 import itertools
 import re
 import zlib
@@ -25,7 +26,7 @@ from siftlake.llm.shared import BASE_A, U64, mix, slices, small_batches, text_or
 
 SPACE = "▁"
 #: Words that a task remembers; cells of the matrices that one batch of words of a length may fill.
-MOST_WORDS, MOST_CELLS = 400_000, 1 << 18
+MOST_WORDS, MOST_CELLS = 300_000, 1 << 18
 UNKNOWN_PENALTY = 10.0
 #: Sorted keys are entered at the first one with the same leading bits.
 LEAD_BITS = 18
@@ -226,17 +227,22 @@ class Pieces:
 
     def encode(self, texts: list[str], method: str | None = None) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        method = method or ("merges" if self.by_merges else "viterbi")
-        known = self.known[method]
+        return self.encode_by(texts, (method,))[0]
+
+    def encode_by(self, texts: list[str], methods: tuple[str | None, ...]) -> list[list[bytes]]:
+        """encode by each method; texts are cut, and their words looked up, once."""
+        own = [m or ("merges" if self.by_merges else "viterbi") for m in methods]
         cut = [self.cut.findall(self.prefix + t.replace(" ", SPACE)) if t else [] for t in texts]
         asked = set(itertools.chain.from_iterable(cut))
-        new = asked - known.keys()
-        if len(known) + len(new) > MOST_WORDS:
-            known.clear()
-            new = asked
-        if new:
-            self.learn(list(new), method)
-        return [b"".join(map(known.__getitem__, c)) for c in cut]
+        for m in dict.fromkeys(own):
+            known = self.known[m]
+            new = asked - known.keys()
+            if len(known) + len(new) > MOST_WORDS:
+                known.clear()
+                new = asked
+            if new:
+                self.learn(list(new), m)
+        return [[b"".join(map(self.known[m].__getitem__, c)) for c in cut] for m in own]
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> list[str]:
         """Texts of runs of ids; bytes that are no UTF-8 become U+FFFD."""
@@ -259,11 +265,11 @@ def encoded(docs: DataFrame, model: str, methods: tuple[str | None, ...] = (None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.at(model)
+        gc.disable()  # the caches hold no cycles, and looking for some takes a third of the time
         for batch in batches:
             for some in slices(batch, "text", 1 << 20):
                 texts, cols, names = some.column("text").to_pylist(), [some.column("doc_id")], ["doc_id"]
-                for head, method in zip(heads, methods):
-                    raw = pieces.encode(texts, method)
+                for head, raw in zip(heads, pieces.encode_by(texts, methods)):
                     sizes = [len(x) // 4 for x in raw]
                     back = pieces.decode(np.frombuffer(b"".join(raw), "<i4"), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
                     cols += [pa.array(sizes, pa.int64()), pa.array(raw, pa.binary()), pa.array([a == b for a, b in zip(texts, back)], pa.bool_()), pa.array([zlib.crc32(x) for x in raw], pa.int64())]

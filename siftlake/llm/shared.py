@@ -23,6 +23,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "1000")
 
 
+#: Rows of texts that a task of a result holds at least.
+TEXT_ROWS = 10_000
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """df in no more partitions than rows of texts are worth: a file for each TEXT_ROWS of them, and 4 at least."""
+    return df.coalesce(max(4, -(-rows // TEXT_ROWS)))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, lengthened until df has no such column."""
     taken = {c.lower() for c in df.columns}

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm.shared import BASE_A, BASE_B, TILE, U64, bytes_of, free_name, mix, powers, prefix_sums, slices, small_batches, span_hashes, text_or_empty, written
+from siftlake.llm.shared import BASE_A, BASE_B, TILE, U64, bytes_of, free_name, mix, powers, prefix_sums, sized, slices, small_batches, span_hashes, text_or_empty, written
 from siftlake.llm.suffix_sort import repeated
 
 LENGTH = 200
@@ -167,11 +167,12 @@ def marks(texts: DataFrame, length: int, gram: int, block_bytes: int, most_runs:
     kinds = spans.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("rarest"))
     mixed = spans.join(kinds.where("kinds > 1 AND rarest = 1"), "anchor")
     mixed = written(mixed.select("anchor", "place.*", "kinds", (F.col("n") == 1).alias("single")), "mixed", size)
-    load = mixed.agg(F.sum(F.col("windows") + length).alias("b")).head()["b"] or 0
+    totals = mixed.agg(F.sum(F.col("windows") + length).alias("b"), F.count("*").alias("n")).head()
+    load = totals["b"] or 0
     blocks = max(1, -(-load // block_bytes))
     large = F.col("kinds") > most_runs
     work = mixed.withColumn("block", F.when(large, F.lit(-1)).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(blocks))).cast("bigint"))
-    found = written(contexts(work, texts, length), "contexts")
+    found = written(contexts(work, texts, length), "contexts", totals["n"])
     in_blocks = found.where("block >= 0").groupBy("block").applyInArrow(sorted_block(length), MARKS)
     out = whole.union(in_blocks)
     if not mixed.where(large).isEmpty():
@@ -210,7 +211,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, blo
     spans = found.groupBy(F.col("doc_key").alias(own)).agg(F.collect_list(F.struct("first", "windows")).alias(windows))
     names = [c for c in docs.columns if c.lower() not in ("text", "kept", "n_bytes", "n_removed", "n_spans")]
     base = docs.select(*names, text_or_empty("text").cast("binary").alias("kept"), key.alias(own))
-    joined = base.join(spans, own, "left").select(*names, "kept", windows)
+    joined = sized(base.join(spans, own, "left").select(*names, "kept", windows), docs.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
