@@ -157,8 +157,9 @@ def single_windows(rows: DataFrame, length: int) -> DataFrame:
 def marks(texts: DataFrame, length: int, gram: int, block_bytes: int, most_runs: int) -> DataFrame:
     """doc_key, first, windows: runs of window starts whose strings also start elsewhere."""
     rows = anchored(texts, length, gram)
-    again = rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     size = rows.count()
+    # written, so that the join below reads two plain shuffles, of which adaptive execution can split a hot anchor's
+    again = written(rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "again", size)
     runs = written(rows.join(again, "anchor"), "repeated-anchors", size)
     size = runs.count()
     place = F.struct("doc_key", "first", "windows")
