@@ -25,7 +25,7 @@ def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftlake.llm.sentence_pieces import encoded
 
     docs = tables_dir(spark, sf_dir, "documents")
-    return encoded(docs, public_tokenizers.path("piece_bpe_32k.model"), (None, "viterbi")).drop("ids", "viterbi_ids")
+    return encoded(docs, public_tokenizers.path("piece_bpe_32k.model"), (None, "viterbi"), with_ids=False).drop("ids", "viterbi_ids")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

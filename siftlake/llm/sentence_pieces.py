@@ -26,7 +26,7 @@ from siftlake.llm.shared import BASE_A, U64, mix, slices, small_batches, text_or
 
 SPACE = "▁"
 #: Words that a task remembers; cells of the matrices that one batch of words of a length may fill.
-MOST_WORDS, MOST_CELLS = 300_000, 1 << 18
+MOST_WORDS, MOST_CELLS = 700_000, 1 << 18
 UNKNOWN_PENALTY = 10.0
 #: Sorted keys are entered at the first one with the same leading bits.
 LEAD_BITS = 18
@@ -253,12 +253,13 @@ class Pieces:
         return [t[1:] if self.prefix and t[:1] == " " else t for t in out]
 
 
-def encoded(docs: DataFrame, model: str, methods: tuple[str | None, ...] = (None,)) -> DataFrame:
-    """doc_id and, for each method, n_tokens, ids (little-endian 32-bit) and whether they decode to the text.
+def encoded(docs: DataFrame, model: str, methods: tuple[str | None, ...] = (None,), with_ids: bool = True) -> DataFrame:
+    """doc_id and, for each method, n_tokens, ids (little-endian 32-bit; null if not with_ids), ids_crc32; of the first also round_trip.
 
     methods: None (the vocabulary's own way), "viterbi" or "merges"; a second and later one's columns start with its name.
-    Null text is empty and has no ids. A white-space mark U+2581 in a text decodes to a space, so such a text does not come
-    back whole. Repeated rows get equal results; an empty table gives no rows; other columns are not looked at.
+    round_trip tells whether the first method's ids decode to the text. Null text is empty and has no ids. A white-space mark
+    U+2581 in a text decodes to a space, so such a text does not come back whole. Repeated rows get equal results; an empty
+    table gives no rows; other columns are not looked at.
     """
     small_batches(docs.sparkSession)
     heads = ["" if k == 0 else f"{m}_" for k, m in enumerate(methods)]
@@ -267,14 +268,17 @@ def encoded(docs: DataFrame, model: str, methods: tuple[str | None, ...] = (None
         pieces = Pieces.at(model)
         gc.disable()  # the caches hold no cycles, and looking for some takes a third of the time
         for batch in batches:
-            for some in slices(batch, "text", 1 << 20):
+            for some in slices(batch, "text", 1 << 22):
                 texts, cols, names = some.column("text").to_pylist(), [some.column("doc_id")], ["doc_id"]
                 for head, raw in zip(heads, pieces.encode_by(texts, methods)):
                     sizes = [len(x) // 4 for x in raw]
-                    back = pieces.decode(np.frombuffer(b"".join(raw), "<i4"), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
-                    cols += [pa.array(sizes, pa.int64()), pa.array(raw, pa.binary()), pa.array([a == b for a, b in zip(texts, back)], pa.bool_()), pa.array([zlib.crc32(x) for x in raw], pa.int64())]
-                    names += [f"{head}n_tokens", f"{head}ids", f"{head}round_trip", f"{head}ids_crc32"]
+                    cols += [pa.array(sizes, pa.int64()), pa.array(raw if with_ids else [None] * len(raw), pa.binary()), pa.array([zlib.crc32(x) for x in raw], pa.int64())]
+                    names += [f"{head}n_tokens", f"{head}ids", f"{head}ids_crc32"]
+                    if not head:
+                        back = pieces.decode(np.frombuffer(b"".join(raw), "<i4"), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
+                        cols.append(pa.array([a == b for a, b in zip(texts, back)], pa.bool_()))
+                        names.append("round_trip")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    schema = "doc_id bigint" + "".join(f", {h}n_tokens bigint, {h}ids binary, {h}round_trip boolean, {h}ids_crc32 bigint" for h in heads)
+    schema = "doc_id bigint" + "".join(f", {h}n_tokens bigint, {h}ids binary, {h}ids_crc32 bigint" + ("" if h else ", round_trip boolean") for h in heads)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty("text").alias("text")).mapInArrow(run, schema)
