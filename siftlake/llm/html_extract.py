@@ -4,13 +4,14 @@ A page is cut into blocks: runs of text with the same nearest block element. A b
 and id words) from the root to that element. For each path of a page the text length and the punctuation of its blocks are
 summed and divided by their number; these two ratios are laid along the page, smoothed over neighbouring blocks, fused into one
 score and weighted by what the path says of itself (an article body, a sidebar). Paths whose mean score passes a threshold
-are content; so is every block of the element that holds them, short paragraphs and headings included, save what is marked as
-navigation, notice, advert, form or comment.
+are content, in whichever containers they stand; so is every block of the elements that hold them, short paragraphs and headings
+included, save what is marked as navigation, notice, advert, form or comment.
 """
 
 from __future__ import annotations
 
 import html
+import os.path
 import re
 from collections.abc import Iterator
 
@@ -46,6 +47,8 @@ TAG = re.compile(
 )
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 WORD = re.compile(r"[^\W_]+")
+#: Elements that are content wherever the page itself holds content.
+PROSE = frozenset("p li h1 h2 h3 h4 h5 h6 blockquote pre td dd dt figcaption".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。、！？]")
 
 
@@ -181,6 +184,26 @@ def scores(found: list[tuple[tuple[str, ...], str, bool, int]]) -> dict[tuple[st
     return out
 
 
+def element(step: str) -> str:
+    return step.split(".")[0]
+
+
+def plain(box: tuple[str, ...]) -> bool:
+    """Whether all of an element is content when it holds content: of a whole page only PROSE is."""
+    return len(box) > 0 and element(box[-1]) not in ("html", "body")
+
+
+def holders(chosen: set[tuple[str, ...]]) -> set[tuple[str, ...]]:
+    """The elements that hold content: the parent of each chosen path, and what the parents in one article have in common."""
+    parents = {p[:-1] for p in chosen}
+    within: dict[tuple[str, ...], list[tuple[str, ...]]] = {}
+    for p in parents:
+        k = next((k for k in range(len(p), 0, -1) if element(p[k - 1]) in ("article", "main")), 0)
+        if k:
+            within.setdefault(p[:k], []).append(p)
+    return parents | {tuple(os.path.commonprefix(group)) for group in within.values()}
+
+
 def main_text(page: str, threshold: float = THRESHOLD) -> str:
     found = blocks(page)
     if not found:
@@ -190,11 +213,12 @@ def main_text(page: str, threshold: float = THRESHOLD) -> str:
     if top <= 0:
         return ""
     chosen = {p for p, s in score.items() if s >= threshold * top}
-    best = max(chosen, key=lambda p: (sum(len(t) for q, t, *_ in found if q == p), p))
-    parents = [p[:-1] for p in chosen if p[:-1][: len(best) - 1] == best[:-1] or best[:-1][: len(p) - 1] == p[:-1]]
-    box = min(parents, key=len)
-    plain = len(box) > 0 and box[-1].split(".")[0] not in ("html", "body")
-    kept = [text for path, text, never, _ in found if not never and path[: len(box)] == box and (plain or path in chosen or path[-1:] and path[-1].split(".")[0] in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "td", "dd", "dt", "figcaption"))]
+    boxes = holders(chosen)
+    kept = []
+    for path, text, never, _ in found:
+        around = [path[:k] for k in range(len(path) + 1) if path[:k] in boxes]
+        if not never and (path in chosen or any(plain(box) for box in around) or around and path and element(path[-1]) in PROSE):
+            kept.append(text)
     return " ".join(kept)
 
 

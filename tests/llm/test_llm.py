@@ -376,6 +376,14 @@ def test_main_text(spark):
     assert extract(df.limit(0)).count() == 0
 
 
+def test_main_text_of_sibling_containers():
+    long, longer = "A first part, which is long enough to count. " * 6, "The other part, longer than the first, counts too. " * 9
+    want = " ".join(f"{long}{longer}".split())
+    page = f"<html><body><article><header><h1>Head</h1></header><section id=a><p>{long}</p></section><section id=b><h2>Sub</h2><p>{longer}</p></section></article></body></html>"
+    assert main_text(page) == want.replace("The other", "Sub The other", 1).replace("A first", "Head A first", 1)
+    assert main_text(f"<html><body><div class=one><p>{long}</p></div><div class=two><p>{longer}</p></div></body></html>") == want
+
+
 def test_pages_give_their_articles(spark, small):
     import html
     import re
