@@ -501,6 +501,24 @@ def test_co_training(spark, edges, nothing):
     assert (alone.score(a[:5], b[:5])[0] >= 0.5).all()
 
 
+def test_co_training_reads_all_unlabelled_rows(spark, monkeypatch):
+    from siftlake.llm import cotraining as C
+
+    text = lambda i: ("Some plain sentence of good prose, number %d, goes on here. " if i % 2 else "BUY!!! $$$ 111 ||| %d WIN!!! ") % i * (1 + i % 5)
+    docs = spark.createDataFrame([(i, text(i), "en", f"s{i % 3}", None) for i in range(8000)], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id bigint, quality int")
+    seen = []
+    plain = C.co_train_over
+    monkeypatch.setattr(C, "co_train_over", lambda a, b, y, free, *rest: (seen.append((a, b, y, free)), plain(a, b, y, free, *rest))[1])
+    views = C.train_on(docs, labels)
+    a, b, y, free = seen[0]
+    assert free.count() == 7600 and len(y) == 400
+    rows = free.rows.collect()
+    text_rows = np.array([np.frombuffer(bytes(r["a"]), np.float32) for r in rows])
+    same = plain(a, b, y, C.Rows(text_rows, C.meta_view(*(np.array([r[c] for r in rows], np.int64) for c in ("lang", "source", "n_chars")))))
+    assert np.allclose(views.text, same.text, atol=1e-3) and np.allclose(views.meta, same.meta, atol=1e-3) and np.allclose(views.joint, same.joint, atol=1e-3)
+
+
 def test_pipeline_stages(spark, small):
     import corpus_pipeline as P
 
