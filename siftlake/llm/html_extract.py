@@ -41,10 +41,8 @@ MARKED = frozenset(
 ROLES = frozenset("navigation banner complementary contentinfo search dialog alertdialog alert form menu menubar toolbar status".split())
 GOOD = frozenset("article main content post entry story body text articlebody".split())
 
-TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]{0,8192}+"|'[^']{0,8192}+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>|<!\[CDATA\[""",
-    re.S,
-)
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)|<[!?/][^>]*+>|<!\[CDATA\[""", re.S)
+STOP = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 WORD = re.compile(r"[^\W_]+")
 #: Elements that are content wherever the page itself holds content.
@@ -81,6 +79,33 @@ class Element:
         self.step = name + "".join(f".{w}" for w in sorted(words))
 
 
+class TagEnds:
+    """Where tags end: at the first > outside quoted values, however long; at the first > at all if a quote is not closed.
+
+    A quote from which the end of the page was reached once is not followed again, so a page takes linear time.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last, self.lost = page, {c: page.rfind(c) for c in ">\"'"}, set()
+
+    def end(self, start: int) -> int:
+        """The place of the > that ends the tag whose name ends at start, or -1."""
+        if start > self.last[">"]:
+            return -1
+        at, quotes = start, []
+        while m := STOP.search(self.page, at):
+            at = m.start()
+            c = m[0]
+            if c == ">":
+                return at
+            if at in self.lost or at >= self.last[c]:
+                break
+            quotes.append(at)
+            at = self.page.find(c, at + 1) + 1
+        self.lost.update(quotes)
+        return self.page.find(">", start)
+
+
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool, int]]:
     """Path, text, whether it is out of question, and the good marks on its path, of each block of a page with text."""
     out: list[tuple[tuple[str, ...], str, bool, int]] = []
@@ -106,17 +131,23 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool, int]]:
         if text and not (stack and stack[-1].never):
             parts.append(html.unescape(text) if "&" in text else text)
 
+    ends, at = TagEnds(page), 0
     while True:
-        m = TAG.search(page, pos)
+        m = TAG.search(page, at)
         if m is None:
             say(page[pos:])
             break
+        name, stop = (m[2] or "").lower(), m.end()
+        if name:
+            stop = ends.end(m.end()) + 1
+            if not stop:  # no tag: the < is text
+                at = m.start() + 1
+                continue
         say(page[pos : m.start()])
-        pos = m.end()
-        name = (m[2] or m[5] or "").lower()
+        pos = at = stop
         if not name:
             continue
-        if m[1] or m[4]:
+        if m[1]:
             if name == "br":
                 parts.append("\n")
                 continue
@@ -134,7 +165,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool, int]]:
             elif name == "br":
                 parts.append("\n")
             continue
-        attributes = m[3] or m[6] or ""
+        attributes = page[m.end() : stop - 1]
         if name in BLOCK:
             names = [e.name for e in stack]
             if "p" in names and name not in ("html", "body", "head", "option"):
@@ -158,7 +189,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool, int]]:
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}[^>]*>", re.I).search(page, pos)
-            pos = end.end() if end else len(page)
+            pos = at = end.end() if end else len(page)
             continue
         stack.append(element)
     flush()

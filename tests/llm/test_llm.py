@@ -384,6 +384,16 @@ def test_main_text_of_sibling_containers():
     assert main_text(f"<html><body><div class=one><p>{long}</p></div><div class=two><p>{longer}</p></div></body></html>") == want
 
 
+def test_long_attributes_are_no_text():
+    import time
+
+    value = "<p>not text</p></div><script>" * 700
+    assert main_text(f"<html><body><article><div data-props='{value}' title=\"a > b\"><p>All of this is text, really.</p></div></article></body></html>") == "All of this is text, really."
+    began = time.perf_counter()
+    main_text("<p>Some text. " + "<a x\">\"" * 40_000)
+    assert time.perf_counter() - began < 20
+
+
 def test_pages_give_their_articles(spark, small):
     import html
     import re
