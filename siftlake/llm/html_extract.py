@@ -51,7 +51,7 @@ PUNCTUATION = re.compile(r"[.,;:!?…。、！？]")
 
 
 class Element:
-    __slots__ = ("name", "step", "never", "good")
+    __slots__ = ("name", "step", "never", "good", "marks", "holds", "size")
 
     def __init__(self, name: str, attributes: str, within: "Element | None"):
         words: set[str] = set()
@@ -75,10 +75,21 @@ class Element:
         # the heading of an article stands in its own header
         inside = bool(within and within.good)
         named = words & MARKED - ({"header", "head"} if inside else set())
-        self.never = bool(within and within.never) or (not root and (marked or name in NEVER or name == "header" and not inside or bool(named)))
+        self.never = bool(within and within.never) or (not root and (marked or name in NEVER or name == "header" and not inside))
+        # elements around this one, and itself, that a class or id word speaks against; whether they hold an article, and how much text
+        self.marks: tuple[Element, ...] = (within.marks if within else ()) + ((self,) if named and not root else ())
+        self.holds, self.size = False, 0
+        if name in ("article", "main"):
+            for e in self.marks:
+                e.holds = True
         self.step = name + "".join(f".{w}" for w in sorted(words))
 
 
+#: Path, text, whether it is out of question, the good marks on its path, its weight, and the depth of the last element on
+#: its path that a word speaks against (0: none).
+Block = tuple[tuple[str, ...], str, bool, int, float, int]
+
+
 class TagEnds:
     """Where tags end: at the first > outside quoted values, however long; at the first > at all if a quote is not closed.
 
@@ -106,21 +117,22 @@ class TagEnds:
         return self.page.find(">", start)
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool, int]]:
-    """Path, text, whether it is out of question, and the good marks on its path, of each block of a page with text."""
-    out: list[tuple[tuple[str, ...], str, bool, int]] = []
+def blocks(page: str) -> list[Block]:
+    """The blocks of a page with text.
+
+    Class and id words rule out an element and all in it, but none that holds an article or half of the page's text: words such
+    as overflow-hidden or no-sidebar stand on layouts, too. Its text then counts less, unless it holds both.
+    """
+    raw: list[tuple[tuple[str, ...], list[tuple[str, tuple[Element, ...]]], Element | None, tuple[Element, ...]]] = []
     stack: list[Element] = []
-    parts: list[str] = []
-    pos = 0
+    parts: list[tuple[str, tuple[Element, ...]]] = []
+    pos = total = 0
 
     def flush() -> None:
         if parts:
-            text = " ".join("".join(parts).split())
+            k = next((k for k in range(len(stack), 0, -1) if stack[k - 1].name in BLOCK), 0)
+            raw.append((tuple(e.step for e in stack[:k]), parts.copy(), stack[k - 1] if k else None, tuple(stack[:k])))
             parts.clear()
-            if text:
-                k = next((k for k in range(len(stack), 0, -1) if stack[k - 1].name in BLOCK), 0)
-                last = stack[k - 1] if k else None
-                out.append((tuple(e.step for e in stack[:k]), text, bool(last and last.never), last.good if last else 0))
 
     def close(k: int) -> None:
         if any(e.name in BLOCK for e in stack[k:]):
@@ -128,8 +140,13 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool, int]]:
         del stack[k:]
 
     def say(text: str) -> None:
+        nonlocal total
         if text and not (stack and stack[-1].never):
-            parts.append(html.unescape(text) if "&" in text else text)
+            marks, size = stack[-1].marks if stack else (), len(text.strip())
+            parts.append((html.unescape(text) if "&" in text else text, marks))
+            total += size
+            for e in marks:
+                e.size += size
 
     ends, at = TagEnds(page), 0
     while True:
@@ -149,7 +166,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool, int]]:
             continue
         if m[1]:
             if name == "br":
-                parts.append("\n")
+                parts.append(("\n", ()))
                 continue
             inline = name not in BLOCK
             for k in range(len(stack) - 1, -1, -1):
@@ -163,7 +180,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool, int]]:
             if name == "hr":
                 flush()
             elif name == "br":
-                parts.append("\n")
+                parts.append(("\n", ()))
             continue
         attributes = page[m.end() : stop - 1]
         if name in BLOCK:
@@ -193,13 +210,21 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool, int]]:
             continue
         stack.append(element)
     flush()
+    out = []
+    for path, said, last, above in raw:
+        text = " ".join("".join(t for t, marks in said if all(e.holds or 2 * e.size >= total for e in marks)).split())
+        if text:
+            marks = last.marks if last else ()
+            weight = min((1.0 if e.holds and 2 * e.size >= total else 0.25 if e.holds else 0.5 for e in marks), default=1.0)
+            depth = above.index(marks[-1]) + 1 if marks and marks[-1] in above else 0
+            out.append((path, text, bool(last and last.never), last.good if last else 0, weight, depth))
     return out
 
 
-def scores(found: list[tuple[tuple[str, ...], str, bool, int]]) -> dict[tuple[str, ...], float]:
+def scores(found: list[Block]) -> dict[tuple[str, ...], float]:
     """The mean over a path's blocks of the smoothed, fused and weighted ratios."""
     paths: dict[tuple[str, ...], list[float]] = {}
-    for path, text, _, _ in found:
+    for path, text, *_ in found:
         sums = paths.setdefault(path, [0.0, 0.0, 0.0])
         sums[0] += len(text)
         sums[1] += len(PUNCTUATION.findall(text))
@@ -208,7 +233,7 @@ def scores(found: list[tuple[tuple[str, ...], str, bool, int]]) -> dict[tuple[st
     padded = np.vstack([ratio[:1], ratio, ratio[-1:]])
     smooth = sum(w * padded[k : k + len(ratio)] for k, w in enumerate(WINDOW))
     fused = np.sqrt(smooth[:, 0]) * (1 + np.log1p(smooth[:, 1]))
-    weight = np.array([0.0 if never else 4.0 ** min(good, 2) for _, _, never, good in found])
+    weight = np.array([0.0 if never else 4.0 ** min(good, 2) * less for _, _, never, good, less, _ in found])
     out: dict[tuple[str, ...], float] = {}
     for (path, *_), s in zip(found, fused * weight):
         out[path] = out.get(path, 0.0) + s / paths[path][2]
@@ -246,8 +271,8 @@ def main_text(page: str, threshold: float = THRESHOLD) -> str:
     chosen = {p for p, s in score.items() if s >= threshold * top}
     boxes = holders(chosen)
     kept = []
-    for path, text, never, _ in found:
-        around = [path[:k] for k in range(len(path) + 1) if path[:k] in boxes]
+    for path, text, never, _, _, depth in found:
+        around = [path[:k] for k in range(depth, len(path) + 1) if path[:k] in boxes]
         if not never and (path in chosen or any(plain(box) for box in around) or around and path and element(path[-1]) in PROSE):
             kept.append(text)
     return " ".join(kept)

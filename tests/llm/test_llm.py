@@ -394,6 +394,16 @@ def test_long_attributes_are_no_text():
     assert time.perf_counter() - began < 20
 
 
+def test_layout_words_do_not_cut_articles():
+    body = "A paragraph of the article, with some length to it. " * 6
+    want = " ".join(body.split())
+    for word in ("overflow-hidden", "no-sidebar", "content-sidebar-wrap", "search-results", "has-share-bar"):
+        assert main_text(f"<html><body><div class='{word}'><article><p>{body}</p><div class=share>Share this page, please.</div></article></div></body></html>") == want
+        assert main_text(f"<html><body><div class='{word}'><p>{body}</p></div><div class=footer>Some rights, all reserved.</div></body></html>") == want
+    cards = "<div class=related-posts><article><p>A card.</p></article><article><p>Another card.</p></article></div>"
+    assert main_text(f"<html><body><article><p>{body}</p></article>{cards}</body></html>") == want
+
+
 def test_pages_give_their_articles(spark, small):
     import html
     import re
