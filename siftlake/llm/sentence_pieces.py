@@ -12,6 +12,7 @@ neighbours with the best score over a word is joined, again for all words of a l
 from __future__ import annotations
 
 import gc
+import heapq
 import itertools
 import re
 import zlib
@@ -27,6 +28,8 @@ from siftlake.llm.shared import BASE_A, U64, mix, slices, small_batches, text_or
 SPACE = "▁"
 #: Words that a task remembers; cells of the matrices that one batch of words of a length may fill.
 MOST_WORDS, MOST_CELLS = 700_000, 1 << 18
+#: Words beyond this length are coded one by one.
+LONG = 4000
 UNKNOWN_PENALTY = 10.0
 #: Sorted keys are entered at the first one with the same leading bits.
 LEAD_BITS = 18
@@ -73,8 +76,8 @@ class Pieces:
             raise ValueError("a piece spans words")
         self.longest = max(len(piece) for _, piece, _ in named)
         self.cut = cutter([piece for _, piece, _ in named])
-        self.up = np.concatenate([[U64(1)], np.cumprod(np.full(4096, BASE_A, U64))])
-        self.down = np.concatenate([[U64(1)], np.cumprod(np.full(4096, pow(BASE_A, -1, 1 << 64), U64))])
+        self.grow(4096)
+        self.piece = {piece: (score, i) for i, piece, score in named}
         keys, ids, values = [], [], []
         for size, group in itertools.groupby(sorted(named, key=lambda x: len(x[1])), key=lambda x: len(x[1])):
             group = list(group)
@@ -109,6 +112,11 @@ class Pieces:
             _models[path] = cls(path)
         return _models[path]
 
+    def grow(self, size: int) -> None:
+        """Tables of powers for words of this length."""
+        self.up = np.concatenate([[U64(1)], np.cumprod(np.full(size, BASE_A, U64))])
+        self.down = np.concatenate([[U64(1)], np.cumprod(np.full(size, pow(BASE_A, -1, 1 << 64), U64))])
+
     def sums(self, grid: np.ndarray) -> np.ndarray:
         out = np.zeros((grid.shape[0], grid.shape[1] + 1), U64)
         np.cumsum((grid.astype(U64) + U64(1)) * self.up[: grid.shape[1]], axis=1, out=out[:, 1:])
@@ -198,22 +206,48 @@ class Pieces:
             ids[row[some], a[some]] = np.where(np.isfinite(scores), self.ids[at], -1)
         return begins, ids
 
+    def merges_long(self, word: str) -> tuple[np.ndarray, np.ndarray]:
+        """merges of one word, by a heap of pairs: n log n in its length."""
+        size = len(word)
+        end, before, heap = list(range(1, size + 1)), list(range(-1, size - 1)), []
+
+        def offer(a: int) -> None:
+            if a >= 0 and end[a] < size:
+                stop = end[end[a]]
+                got = self.piece.get(word[a:stop]) if stop - a <= self.longest else None
+                if got:
+                    heapq.heappush(heap, (-got[0], a, end[a], stop))
+
+        for a in range(size):
+            offer(a)
+        while heap:
+            _, a, middle, stop = heapq.heappop(heap)
+            if end[a] == middle and end[middle] == stop:  # else one of the two has been joined since
+                end[a], end[middle] = stop, -1
+                if stop < size:
+                    before[stop] = a
+                offer(before[a])
+                offer(a)
+        begins, ids, a = np.zeros((1, size), bool), np.full((1, size), -1, np.int64), 0
+        while a < size:
+            begins[0, a], ids[0, a] = True, self.piece.get(word[a : end[a]], (0, -1))[1]
+            a = end[a]
+        return begins, ids
+
     def learn(self, words: list[str], method: str) -> None:
         known = self.known[method]
         words.sort(key=len)
         for size, group in itertools.groupby(words, key=len):
             group = list(group)
             step = max(1, MOST_CELLS // ((size + 1) * min(size, self.longest)))
-            if size > 4000:  # beyond the tables of powers; such a word is coded in parts of that length
-                for w in group:
-                    parts = [w[p : p + 4000] for p in range(0, size, 4000)]
-                    self.learn(list(dict.fromkeys(parts)), method)
-                    known[w] = b"".join(known[p] for p in parts)
-                continue
+            if size >= len(self.up):
+                self.grow(size)
+            if size > LONG:
+                step = 1
             for p in range(0, len(group), step):
                 some = group[p : p + step]
                 grid = codes(some)
-                begins, ids = getattr(self, method)(grid)
+                begins, ids = self.merges_long(some[0]) if size > LONG and method == "merges" else getattr(self, method)(grid)
                 odd = (begins & (ids < 0)).any(axis=1)
                 counts = begins.sum(axis=1)
                 raw, at = ids[begins].astype("<i4").tobytes(), (4 * np.cumsum(counts)).tolist()

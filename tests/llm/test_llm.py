@@ -306,6 +306,24 @@ def test_pieces_are_the_library_s(docs):
         assert own.decode(np.frombuffer(b"".join(raw), "<i4"), at) == texts
 
 
+def test_long_words_are_coded_whole():
+    import sentencepiece
+
+    library, own, rng = sentencepiece.SentencePieceProcessor(model_file=PIECES), Pieces.at(PIECES), random.Random(3)
+    words = ["".join(rng.choices("aeinrstlohqz", k=n)) for n in (4001, 9001, 13_007)] + ["-" * 8193, "the" * 3001, "日本" * 2500]
+    assert [np.frombuffer(x, "<i4").tolist() for x in own.encode(words)] == library.encode(words)
+    # a best path: no cut is forced, so shifting the word by a letter never moves a cut to every 4,000th place
+    word = "▁" + words[1]
+    begins, ids = own.viterbi(np.array([[ord(c) for c in word]], np.uint32))
+    at = np.flatnonzero(begins[0])
+    score = {int(i): s for i, s in zip(own.ids, own.scores)}
+    total, best = sum(score.get(int(i), own.unknown_score) for i in ids[0, at]), [0.0]
+    for b in range(1, len(word) + 1):
+        best.append(max(best[a] + (own.piece[word[a:b]][0] if word[a:b] in own.piece else own.unknown_score if b - a == 1 else -np.inf) for a in range(max(0, b - own.longest), b)))
+    assert abs(total - best[-1]) < 1e-6 * abs(total)
+    assert own.encode([words[1]], "viterbi")[0] == ids[0, at].astype("<i4").tobytes()
+
+
 def test_viterbi_finds_a_best_path():
     own = Pieces.at(PIECES)
     rng = random.Random(0)
