@@ -9,7 +9,7 @@ target. Documents may be cut, so every window is full and only the last one can
 With credits in exact integers the state of the ring after any number of rounds has a closed form: the queues up to s have
 been served floor(window * rounds * tokens up to s / tokens of all) tokens. A task therefore finds the deficits at the window
 where its documents start without running the rounds before it, which is how they carry across partitions: what tasks share is
-one row for each source and partition, and the totals of at most MAX_QUEUES queues.
+one row for each source and partition, and the total of each source's queue.
 
 With given target shares a queue can run dry before the others. The rounds then go on in phases: in each, the queues that are
 left share the windows by their renormalised targets; each phase has the closed form above.
@@ -37,8 +37,6 @@ from siftlake.llm.shared import slices, small_batches, text_or_empty, written
 
 WINDOW = 4096
 END_ID = 2
-#: Sources beyond this many share queues by hash, so that the ring's state stays small.
-MAX_QUEUES = 512
 MAX_WORDS = 250_000
 
 _coders: dict[str, "WordCoder"] = {}
@@ -122,10 +120,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
                     served[q] = before[-1] + n
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("queue"), pa.array([part] * len(ids), pa.int64()), pa.array(before, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], schema=TOKENISED)
 
-    source = text_or_empty("source")
-    if docs.select(source.alias("queue")).distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
-        source = F.concat(F.lit("hash-"), F.pmod(F.xxhash64(source), F.lit(MAX_QUEUES)).cast("string"))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty("text").alias("text"), source.alias("queue"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty("text").alias("text"), text_or_empty("source").alias("queue"))
     return written(rows.mapInArrow(run, "doc_id bigint, queue string, part bigint, before bigint, n_tokens bigint, ids binary"), "tokenised")
 
 

@@ -265,6 +265,20 @@ def test_packing_round_trip_and_mixture(docs):
             assert first == {"src0": 3072, "src1": 1024}
 
 
+def test_packing_keeps_sources_and_targets_beyond_512(spark):
+    rows = [(k, "some words " * (3000 if k < 2 else 5), f"s{k}") for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
+    out = pack(df, WORDS, shares={"s0": 3, "s1": 1}).collect()
+    assert {(r["doc_id"], r["queue"]) for r in out} == {(k, q) for k, _, q in rows}
+    first = collections.Counter()
+    for r in out:
+        if r["sequence_id"] == 0:
+            first[r["queue"]] += r["length"]
+    assert first == {"s0": 3072, "s1": 1024}
+    coder = WordCoder.at(WORDS)
+    check_packing(out, [(k, [*np.frombuffer(coder.ids([t])[0], "<u2"), 2]) for k, t, _ in rows])
+
+
 def test_packing_edges_and_phases(edges, nothing):
     from fractions import Fraction
 
