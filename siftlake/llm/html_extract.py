@@ -1,93 +1,109 @@
 """Main text of HTML pages by tag-path ratios.
 
-A page is cut into blocks: runs of text with the same nearest block element. A block's path is the element names (with class
-and id words) from the root to that element. For each path of a page the text length and the punctuation of its blocks are
-summed and divided by their number; these two ratios are laid along the page, smoothed over neighbouring blocks, fused into one
-score and weighted by what the path says of itself (an article body, a sidebar). Paths whose mean score passes a threshold
-are content, in whichever containers they stand; so is every block of the elements that hold them, short paragraphs and headings
-included, save what is marked as navigation, notice, advert, form or comment.
+A page is cut into blocks: runs of text with the same nearest block element. A block's path is the element names (of containers
+also their classes and id) from the root to that element. For each path of a page the text length and the punctuation of its
+blocks are summed and divided by their number; these two ratios are laid along the page, smoothed over neighbouring blocks of
+the same container and fused into one score. Scores are smoothed over the tree of paths, too: a heading or a short list has a
+share of the score of its container's best path, or of its article's. Paths whose score reaches a share of the page's greatest
+are content, whatever they are called.
+
+Names are a tie-break. What a class, id, role or element calls navigation, header, footer, notice, advert, form, sidebar or
+comment weighs less; and where such text is as long as the rest, so that ratios cannot tell a reader's comment from an article, or a
+short article from a footer, the names decide.
 """
 
 from __future__ import annotations
 
 import html
-import os.path
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm.shared import slices, small_batches, text_or_empty
+from siftlake.llm.shared import free_name, slices, small_batches, text_or_empty
 
-#: A path is content from this share of the page's greatest path score; weight of the smoothing window around a block.
+#: A path is content from this share of the page's greatest score; weight of the smoothing window around a block.
 THRESHOLD, WINDOW = 0.25, (0.25, 0.5, 0.25)
+#: The share of its container's best path, and of its article's, that a path has; the weight of a path that names speak against.
+NEAR, FAR, MARKED_WEIGHT = 0.5, 0.3, 0.3
+#: Names decide where the greatest product of a path's ratios is, of the other blocks, less than so many times that of the marked
+#: ones, and not (outside an article) less than this share of it.
+ALIKE, FAINT = 2.5, 0.1
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes template".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
-#: Elements whose text is never the article's.
-NEVER = frozenset("head script style title noscript template iframe object svg math canvas audio video nav aside footer form fieldset button select option textarea input label menu dialog xmp noembed noframes".split())
+#: Elements that show no text of the page.
+NEVER = frozenset("head script style title noscript template iframe object svg canvas audio video button select option textarea input label datalist xmp noembed noframes".split())
+#: Elements that are not the article's by their meaning; forms and headers in case, see Element.
+APART = frozenset("nav aside footer dialog menu".split())
 #: An element that starts closes these, as far up as one of the elements after the colon.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"})}
-#: Class and id words, and roles, of what is not the article.
-MARKED = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored promo promos promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay lightbox "
-    "newsletter subscribe subscription signup login register share sharing social related recommended recommendations trending sidebar sidenav aside rail menu nav navbar navigation breadcrumb breadcrumbs pagination pager "
-    "footer foot header masthead topbar toolbar comment comments commentlist disqus reply replies respond reader-comments feedback form search widget skip skiplink copyright legal disclaimer hidden offscreen".split()
-)
+#: Names of what is not the article, as whole classes and ids: one of these nouns, maybe with a place before and a kind of box after it.
+NOUNS = (
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promos promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
+    "newsletter subscribe subscription signup login share sharing social related recommended recommendations trending sidebar sidenav aside rail menu nav navbar navigation breadcrumb breadcrumbs pagination pager "
+    "footer foot header head masthead topbar toolbar comment comments commentlist disqus reply replies respond feedback form search widget skiplink copyright legal disclaimer hidden offscreen"
+).split()
+PLACES = "site page main global top bottom left right post article entry user reader social cookie search login newsletter related".split()
+BOXES = "area list section container wrapper wrap box block bar banner links menu item items form notice posts articles stories widget slot unit popup modal overlay buttons consent nav".split()
+MARK = re.compile(rf"(?:(?:{'|'.join(PLACES)})[-_])?({'|'.join(NOUNS)})(?:[-_](?:{'|'.join(BOXES)}|\d+))?")
+COMMENT = frozenset("comment comments commentlist disqus reply replies respond".split())
 ROLES = frozenset("navigation banner complementary contentinfo search dialog alertdialog alert form menu menubar toolbar status".split())
-GOOD = frozenset("article main content post entry story body text articlebody".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)|<[!?/][^>]*+>|<!\[CDATA\[""", re.S)
 STOP = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 WORD = re.compile(r"[^\W_]+")
-#: Elements that are content wherever the page itself holds content.
-PROSE = frozenset("p li h1 h2 h3 h4 h5 h6 blockquote pre td dd dt figcaption".split())
+#: Elements that belong to the container around them.
+INNER = frozenset("p li ul ol dl dt dd h1 h2 h3 h4 h5 h6 hgroup blockquote pre table thead tbody tfoot tr td th caption figure figcaption details summary address".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。、！？]")
+Path = tuple[str, ...]
 
 
 class Element:
-    __slots__ = ("name", "step", "never", "good", "marks", "holds", "size")
+    """An open element. marks: it and elements around it that names speak against; size: the text in it."""
+
+    __slots__ = ("name", "step", "hidden", "article", "marks", "soft", "size")
 
     def __init__(self, name: str, attributes: str, within: "Element | None"):
-        words: set[str] = set()
-        marked = False
+        names: list[str] = []
+        self.name, self.size, self.soft = name, 0, True
+        self.hidden = bool(within and within.hidden) or name in NEVER
+        self.article = bool(within and within.article) or name in ("article", "main")
+        hard = name in APART or name == "header" and not self.article
         if attributes and not attributes.isspace():
             for key, value in ATTRIBUTE.findall(attributes):
                 key, value = key.lower(), value.strip("\"'").lower()
                 if key in ("class", "id"):
-                    words.update(value.split())
-                    words.update(WORD.findall(value))
+                    names += value.split()
                 elif key == "role":
-                    marked |= value in ROLES
-                    words.update({"main"} if value in ("main", "article") else ())
+                    hard |= value in ROLES
+                    self.article |= value in ("main", "article")
                 elif key == "itemprop":
-                    words.update({value} if value == "articlebody" else ())
+                    self.article |= value == "articlebody"
                 elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-                    marked = True
-        self.name = name
-        self.good = (within.good if within else 0) + (name in ("article", "main")) + bool(words & GOOD)
-        root = name in ("html", "body", "article", "main")
+                    self.hidden |= name not in ("html", "body")
         # the heading of an article stands in its own header
-        inside = bool(within and within.good)
-        named = words & MARKED - ({"header", "head"} if inside else set())
-        self.never = bool(within and within.never) or (not root and (marked or name in NEVER or name == "header" and not inside))
-        # elements around this one, and itself, that a class or id word speaks against; whether they hold an article, and how much text
-        self.marks: tuple[Element, ...] = (within.marks if within else ()) + ((self,) if named and not root else ())
-        self.holds, self.size = False, 0
-        if name in ("article", "main"):
-            for e in self.marks:
-                e.holds = True
-        self.step = name + "".join(f".{w}" for w in sorted(words))
+        nouns = {m[1] for m in map(MARK.fullmatch, names) if m and not (self.article and m[1] in ("header", "head"))}
+        marked = hard or name in ("form", "fieldset") or bool(nouns) and name not in ("html", "body", "article", "main")
+        # a layout, too, can be a form or have such a name: then it holds half of the page's text
+        self.soft = not hard and not nouns & COMMENT
+        self.marks: tuple[Element, ...] = (within.marks if within else ()) + ((self,) if marked else ())
+        self.step = name if name in INNER else ".".join([name, *sorted(set(names))])
+
 
+class Block(NamedTuple):
+    """A run of text. marked: whether names speak against it; article: whether an article or main element holds it."""
 
-#: Path, text, whether it is out of question, the good marks on its path, its weight, and the depth of the last element on
-#: its path that a word speaks against (0: none).
-Block = tuple[tuple[str, ...], str, bool, int, float, int]
+    path: Path
+    text: str
+    marked: bool
+    article: bool
 
 
 class TagEnds:
@@ -118,12 +134,8 @@ class TagEnds:
 
 
 def blocks(page: str) -> list[Block]:
-    """The blocks of a page with text.
-
-    Class and id words rule out an element and all in it, but none that holds an article or half of the page's text: words such
-    as overflow-hidden or no-sidebar stand on layouts, too. Its text then counts less, unless it holds both.
-    """
-    raw: list[tuple[tuple[str, ...], list[tuple[str, tuple[Element, ...]]], Element | None, tuple[Element, ...]]] = []
+    """The blocks of a page with text, in page order."""
+    raw: list[tuple[Path, list[tuple[str, tuple[Element, ...]]], Element | None]] = []
     stack: list[Element] = []
     parts: list[tuple[str, tuple[Element, ...]]] = []
     pos = total = 0
@@ -131,7 +143,7 @@ def blocks(page: str) -> list[Block]:
     def flush() -> None:
         if parts:
             k = next((k for k in range(len(stack), 0, -1) if stack[k - 1].name in BLOCK), 0)
-            raw.append((tuple(e.step for e in stack[:k]), parts.copy(), stack[k - 1] if k else None, tuple(stack[:k])))
+            raw.append((tuple(e.step for e in stack[:k]), parts.copy(), stack[k - 1] if k else None))
             parts.clear()
 
     def close(k: int) -> None:
@@ -141,7 +153,7 @@ def blocks(page: str) -> list[Block]:
 
     def say(text: str) -> None:
         nonlocal total
-        if text and not (stack and stack[-1].never):
+        if text and not (stack and stack[-1].hidden):
             marks, size = stack[-1].marks if stack else (), len(text.strip())
             parts.append((html.unescape(text) if "&" in text else text, marks))
             total += size
@@ -210,88 +222,109 @@ def blocks(page: str) -> list[Block]:
             continue
         stack.append(element)
     flush()
+    counts = lambda e: not e.soft or 2 * e.size < total
     out = []
-    for path, said, last, above in raw:
-        text = " ".join("".join(t for t, marks in said if all(e.holds or 2 * e.size >= total for e in marks)).split())
+    for path, said, last in raw:
+        own = last.marks if last else ()
+        marked = any(map(counts, own))
+        # a marked inline element within a block is left out
+        text = " ".join("".join(t for t, marks in said if marked or not any(map(counts, marks[len(own) :]))).split())
         if text:
-            marks = last.marks if last else ()
-            weight = min((1.0 if e.holds and 2 * e.size >= total else 0.25 if e.holds else 0.5 for e in marks), default=1.0)
-            depth = above.index(marks[-1]) + 1 if marks and marks[-1] in above else 0
-            out.append((path, text, bool(last and last.never), last.good if last else 0, weight, depth))
+            out.append(Block(path, text, marked, bool(last and last.article)))
     return out
 
 
-def scores(found: list[Block]) -> dict[tuple[str, ...], float]:
-    """The mean over a path's blocks of the smoothed, fused and weighted ratios."""
-    paths: dict[tuple[str, ...], list[float]] = {}
-    for path, text, *_ in found:
-        sums = paths.setdefault(path, [0.0, 0.0, 0.0])
-        sums[0] += len(text)
-        sums[1] += len(PUNCTUATION.findall(text))
-        sums[2] += 1
-    ratio = np.array([[paths[p][0] / paths[p][2], paths[p][1] / paths[p][2]] for p, *_ in found])
-    padded = np.vstack([ratio[:1], ratio, ratio[-1:]])
-    smooth = sum(w * padded[k : k + len(ratio)] for k, w in enumerate(WINDOW))
-    fused = np.sqrt(smooth[:, 0]) * (1 + np.log1p(smooth[:, 1]))
-    weight = np.array([0.0 if never else 4.0 ** min(good, 2) * less for _, _, never, good, less, _ in found])
-    out: dict[tuple[str, ...], float] = {}
-    for (path, *_), s in zip(found, fused * weight):
-        out[path] = out.get(path, 0.0) + s / paths[path][2]
-    return out
+def path_sums(found: list[Block]) -> dict[Path, tuple[int, int, int]]:
+    """Of each path: characters, punctuation marks, and blocks on the page."""
+    sums: dict[Path, tuple[int, int, int]] = {}
+    for b in found:
+        size, marks, n = sums.get(b.path, (0, 0, 0))
+        sums[b.path] = size + len(b.text), marks + len(PUNCTUATION.findall(b.text)), n + 1
+    return sums
 
 
-def element(step: str) -> str:
-    return step.split(".")[0]
+def path_ratios(found: list[Block]) -> np.ndarray:
+    """Of each block's path: characters, and punctuation marks, for each block of it."""
+    sums = path_sums(found)
+    return np.array([[sums[b.path][0] / sums[b.path][2], sums[b.path][1] / sums[b.path][2]] for b in found])
 
 
-def plain(box: tuple[str, ...]) -> bool:
-    """Whether all of an element is content when it holds content: of a whole page only PROSE is."""
-    return len(box) > 0 and element(box[-1]) not in ("html", "body")
+def element(step: str) -> str:
+    return step.split(".")[0]
 
 
-def holders(chosen: set[tuple[str, ...]]) -> set[tuple[str, ...]]:
-    """The elements that hold content: the parent of each chosen path, and what the parents in one article have in common."""
-    parents = {p[:-1] for p in chosen}
-    within: dict[tuple[str, ...], list[tuple[str, ...]]] = {}
-    for p in parents:
-        k = next((k for k in range(len(p), 0, -1) if element(p[k - 1]) in ("article", "main")), 0)
-        if k:
-            within.setdefault(p[:k], []).append(p)
-    return parents | {tuple(os.path.commonprefix(group)) for group in within.values()}
+def container(path: Path) -> Path:
+    k = len(path)
+    while k and element(path[k - 1]) in INNER:
+        k -= 1
+    return path[:k]
+
+
+def article_of(path: Path) -> Path:
+    """The path down to the outermost article element; empty if there is none."""
+    k = next((k for k, step in enumerate(path, 1) if element(step) == "article"), 0)
+    return path[:k]
+
+
+def scores(found: list[Block]) -> list[float]:
+    """Each block's path's score: the mean over its blocks of the smoothed and fused ratios, smoothed over the tree of paths."""
+    ratio, homes = path_ratios(found), [container(b.path) for b in found]
+    smooth = WINDOW[1] * ratio
+    for k, step in ((0, -1), (2, 1)):
+        beside = np.array([j if 0 <= (j := i + step) < len(found) and homes[j] == homes[i] else i for i in range(len(found))])
+        smooth += WINDOW[k] * ratio[beside]
+    fused = smooth[:, 0] * (1 + smooth[:, 1])
+    each: dict[Path, list[float]] = {}
+    for b, s in zip(found, fused.tolist()):
+        each.setdefault(b.path, []).append(s)
+    own = {p: sum(x) / len(x) for p, x in each.items()}
+    near: dict[Path, float] = {}
+    far: dict[Path, float] = {}
+    for b, home in zip(found, homes):
+        near[home] = max(near.get(home, 0.0), own[b.path])
+        if not b.marked:
+            whole = article_of(b.path)
+            far[whole] = max(far.get(whole, 0.0), own[b.path])
+    far[()] = 0.0
+    return [max(own[b.path], NEAR * near[home], FAR * far.get(article_of(b.path), 0.0)) * (MARKED_WEIGHT if b.marked else 1.0) for b, home in zip(found, homes)]
+
+
+def names_decide(found: list[Block]) -> list[Block]:
+    """Where marked and other blocks are much alike, those that names do not speak against (in an article, if there are such); else all."""
+    sums, most = path_sums(found), {True: 0.0, False: 0.0}
+    for b in found:
+        size, marks, n = sums[b.path]
+        most[b.marked] = max(most[b.marked], size / n * (1 + marks / n))
+    inside = [b for b in found if b.article and not b.marked]
+    if most[False] >= ALIKE * most[True] or not inside and most[False] < FAINT * most[True]:
+        return found
+    return inside or [b for b in found if not b.marked] or found
 
 
 def main_text(page: str, threshold: float = THRESHOLD) -> str:
     found = blocks(page)
     if not found:
         return ""
+    found = names_decide(found)
     score = scores(found)
-    top = max(score.values())
-    if top <= 0:
-        return ""
-    chosen = {p for p, s in score.items() if s >= threshold * top}
-    boxes = holders(chosen)
-    kept = []
-    for path, text, never, _, _, depth in found:
-        around = [path[:k] for k in range(depth, len(path) + 1) if path[:k] in boxes]
-        if not never and (path in chosen or any(plain(box) for box in around) or around and path and element(path[-1]) in PROSE):
-            kept.append(text)
-    return " ".join(kept)
+    least = threshold * max(score)
+    return " ".join(b.text for b, s in zip(found, score) if s >= least)
 
 
 def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """pages without html, with text (the main text, empty if none) and n_chars (its code points).
 
-    The whole html is read; null is empty. Columns of pages named text or n_chars are replaced. Repeated rows get equal
-    results and an empty table gives no rows.
+    The whole html is read; null is empty. Columns of pages named text or n_chars, in whatever case, are replaced. Repeated
+    rows get equal results and an empty table gives no rows.
     """
     small_batches(pages.sparkSession)
-    names = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
+    names, own = [c for c in pages.columns if c.lower() not in ("html", "text", "n_chars")], free_name(pages, "__html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in slices(batch, "__html", 1 << 21):
-                texts = [main_text(h, threshold) for h in some.column("__html").to_pylist()]
+            for some in slices(batch, own, 1 << 21):
+                texts = [main_text(h, threshold) for h in some.column(own).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(some.column(c) for c in names), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*names, "text", "n_chars"])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pages.schema if f.name in names)
-    return pages.select(*names, text_or_empty("html").alias("__html")).mapInArrow(run, schema + "text string, n_chars bigint")
+    return pages.select(*names, text_or_empty("html").alias(own)).mapInArrow(run, schema + "text string, n_chars bigint")

@@ -436,6 +436,31 @@ def test_layout_words_do_not_cut_articles():
     assert main_text(f"<html><body><article><p>{body}</p></article>{cards}</body></html>") == want
 
 
+def test_class_words_alone_decide_nothing():
+    body = "A paragraph of the article, with some length to it. " * 6
+    want = " ".join(body.split())
+    for box in ("<div class='main-content with-sidebar'>", "<div class='page legal'>", "<article><div class='body feedback'>", "<form id=aspnet><div>"):
+        close = "</article>" if "article" in box else ""
+        assert main_text(f"<html><body><nav><a>Home</a></nav>{box}<h1>Title here</h1><p>{body}</p></div>{close}<footer>Us.</footer></body></html>") == "Title here " + want
+    props = "<b>.. > LEAKED TEXT " * 500
+    assert main_text(f"<html><body><article><div data-json=\"{props}\"><p>{body}</p></div></article></body></html>") == want
+    comments = f"<section class=comments><article><p>{body} I say.</p></article><p>{body} So do I.</p></section>"
+    assert main_text(f"<html><body><div class=story><h1>Title</h1><p>{body}</p></div>{comments}</body></html>") == "Title " + want
+    items = "".join(f"<li>item {k}</li>" for k in range(30))
+    page = f"<html><body><div class=x>One, two.</div><div class=story><p>{body}</p><ul>{items}</ul><table><tr><td>a<td>b</table></div></body></html>"
+    assert main_text(page) == want + " " + " ".join(f"item {k}" for k in range(30)) + " a b"
+
+
+def test_ratios_decide_on_the_pages(spark, small, monkeypatch):
+    from siftlake.llm import html_extract as H
+
+    pages = [r["html"] for r in spark.read.parquet(f"{small}/pages.parquet").collect()]
+    before = [main_text(p) for p in pages]
+    monkeypatch.setattr(H, "path_ratios", lambda found: np.ones((len(found), 2)))
+    changed = sum(a != main_text(p) for a, p in zip(before, pages))
+    assert changed > 0.5 * len(pages)
+
+
 def test_pages_give_their_articles(spark, small):
     import html
     import re
