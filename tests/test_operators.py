@@ -11,7 +11,7 @@ from siftlake.functions import codes, fingerprints, paths, report
 from siftlake.operators import groups as G
 from siftlake.operators.cache import lookup, upsert
 from siftlake.operators.cluster import cluster, cluster_reviewed
-from siftlake.operators.components import components
+from siftlake.operators.components import components, join_hot, parts_for
 from siftlake.operators.joins import hamming_join, range_ratio_join, sequence_edges, unknown_pairs
 from siftlake.operators.ranking import over_budget, unique_names
 from siftlake.operators.selection import apply_decisions, effective_selection
@@ -213,3 +213,15 @@ def test_settled_tables_hold_what_they_got(spark):
     assert settled(spark.range(5), "five").count() == 5
     m = state(spark, [("g", S.EXACT, 1, [("a", True, False, False), ("b", False, True, False)])]).drop("group_ord")
     assert ordered_groups(m).select("group_ord").distinct().count() == 1
+
+
+def test_hot_keys_are_dealt_out(spark):
+    rows = spark.createDataFrame([("hot", k) for k in range(900)] + [(f"k{k}", k) for k in range(100)], "a string, b long")
+    keyed = rows.groupBy("a").agg(F.count("*").alias("n"), F.max("b").alias("m"))
+    parts = parts_for(keyed)
+    assert parts > 32 and parts_for(keyed.limit(0)) == 1
+    got = join_hot(rows, keyed, "a", "b", parts)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(keyed, "a").collect()))
+    edges = spark.createDataFrame([(f"m{k:04d}", "hub") for k in range(500)] + [("x", "y"), ("y", "z"), ("z", "z")], "a string, b string")
+    roots = {r["node"]: r["root"] for r in components(edges).collect()}
+    assert roots == {"hub": "hub", "x": "x", "y": "x", "z": "x"} | {f"m{k:04d}": "hub" for k in range(500)}
