@@ -40,6 +40,14 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def one_of_each(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """The columns of one row for each value of key: the one with the least hash of them (maps are not hashed)."""
+    quoted = [f"`{c}`" for c in columns]
+    hashed = [f"`{f.name}`" for f in df.schema if f.name in columns and "map<" not in f.dataType.simpleString()]
+    best = df.groupBy(key).agg(F.min_by(F.struct(*quoted), F.xxhash64(*hashed)).alias("row"))
+    return best.select(*(F.col("row").getField(c).alias(c) for c in columns))
+
+
 def tables_dir(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
