@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.operators.components import components
-from siftlake.llm.shared import U64, bytes_of, free_name, mix, sized, slices, small_batches, span_hashes, text_or_empty, words_of, written
+from siftlake.operators.components import components, join_hot, parts_for
+from siftlake.llm.shared import U64, bytes_of, free_name, mix, one_of_each, sized, slices, small_batches, span_hashes, text_or_empty, words_of, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -183,8 +183,9 @@ def ngram_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, re
     nodes = written(nodes, "nodes", size)
 
     keyed = nodes.select("node", F.explode("bands").alias("band"))
-    leaders = keyed.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("band", "leader")
-    stars = keyed.join(leaders, "band").where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    leaders = keyed.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    leaders = written(leaders, "leaders", size)
+    stars = join_hot(keyed, leaders.select("band", "leader"), "band", "node", parts_for(leaders)).where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
     found = components(stars, size)
 
     members = written(found.join(nodes, "node").select("root", "node", "rep", "n_copies", "grams", "bands"), "members", size)
@@ -245,7 +246,7 @@ def ngram_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, re
 def drop_near_copies(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one row of each class of ngram_join: the one with its least doc_id. Texts without words stay.
 
-    Of rows that repeat doc_id and text one stays.
+    Of rows that repeat doc_id and text one stays, the one with the least hash of its columns.
     """
     own = free_name(docs, "__key")
     key = lambda i, t: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("-")), t.cast("string"))
@@ -253,4 +254,4 @@ def drop_near_copies(docs: DataFrame, n: int = WORDS, threshold: float = THRESHO
     heads = found.where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_key") == F.col("class_key")))
     heads = heads.select(key(F.col("doc_id"), F.col("text_key")).alias(own))
     here = docs.withColumn(own, key(F.col("doc_id").cast("bigint"), F.xxhash64(text_or_empty("text"))))
-    return sized(here.join(heads, own, "left_semi").dropDuplicates([own]).select(*docs.columns), docs.count())
+    return sized(one_of_each(here.join(heads, own, "left_semi"), own, docs.columns), docs.count())
