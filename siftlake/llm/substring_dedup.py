@@ -160,7 +160,8 @@ def marks(texts: DataFrame, length: int, gram: int, block_bytes: int, most_runs:
     size = rows.count()
     # written, so that the join below reads two plain shuffles, of which adaptive execution can split a hot anchor's
     again = written(rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "again", size)
-    runs = written(rows.join(again, "anchor"), "repeated-anchors", size)
+    # dealt by document, so that no file, and no task that reads one, holds all runs of a hot anchor
+    runs = written(rows.join(again, "anchor").repartition("doc_key"), "repeated-anchors", size)
     size = runs.count()
     place = F.struct("doc_key", "first", "windows")
     spans = written(runs.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(place).alias("place")), "spans", size)
