@@ -288,10 +288,10 @@ class Pieces:
 
 
 def encoded(docs: DataFrame, model: str, methods: tuple[str | None, ...] = (None,), with_ids: bool = True) -> DataFrame:
-    """doc_id and, for each method, n_tokens, ids (little-endian 32-bit; null if not with_ids), ids_crc32; of the first also round_trip.
+    """doc_id and, for each method, n_tokens, ids (little-endian 32-bit; null if not with_ids), ids_crc32, round_trip.
 
     methods: None (the vocabulary's own way), "viterbi" or "merges"; a second and later one's columns start with its name.
-    round_trip tells whether the first method's ids decode to the text. Null text is empty and has no ids. A white-space mark
+    round_trip tells whether the ids decode to the text. Null text is empty and has no ids. A white-space mark
     U+2581 in a text decodes to a space, so such a text does not come back whole. Repeated rows get equal results; an empty
     table gives no rows; other columns are not looked at.
     """
@@ -306,13 +306,10 @@ def encoded(docs: DataFrame, model: str, methods: tuple[str | None, ...] = (None
                 texts, cols, names = some.column("text").to_pylist(), [some.column("doc_id")], ["doc_id"]
                 for head, raw in zip(heads, pieces.encode_by(texts, methods)):
                     sizes = [len(x) // 4 for x in raw]
-                    cols += [pa.array(sizes, pa.int64()), pa.array(raw if with_ids else [None] * len(raw), pa.binary()), pa.array([zlib.crc32(x) for x in raw], pa.int64())]
-                    names += [f"{head}n_tokens", f"{head}ids", f"{head}ids_crc32"]
-                    if not head:
-                        back = pieces.decode(np.frombuffer(b"".join(raw), "<i4"), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
-                        cols.append(pa.array([a == b for a, b in zip(texts, back)], pa.bool_()))
-                        names.append("round_trip")
+                    back = pieces.decode(np.frombuffer(b"".join(raw), "<i4"), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
+                    cols += [pa.array(sizes, pa.int64()), pa.array(raw if with_ids else [None] * len(raw), pa.binary()), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array([a == b for a, b in zip(texts, back)], pa.bool_())]
+                    names += [f"{head}n_tokens", f"{head}ids", f"{head}ids_crc32", f"{head}round_trip"]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    schema = "doc_id bigint" + "".join(f", {h}n_tokens bigint, {h}ids binary, {h}ids_crc32 bigint" + ("" if h else ", round_trip boolean") for h in heads)
+    schema = "doc_id bigint" + "".join(f", {h}n_tokens bigint, {h}ids binary, {h}ids_crc32 bigint, {h}round_trip boolean" for h in heads)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty("text").alias("text")).mapInArrow(run, schema)
