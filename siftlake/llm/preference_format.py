@@ -12,12 +12,13 @@ TURNS = "array<struct<role:string,text:string>>"
 def conversations_of(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """conv_id and turns (role, text), in the order of turn and, where that ties, of role and text.
 
-    Null roles and texts are empty; a null turn comes first; rows without conv_id are one conversation. Repeated rows are
-    turns of their own.
+    Null roles and texts are empty; a null turn comes first; each row without conv_id is a conversation of its own (one array
+    of all of them would have no bound). Repeated rows are turns of their own.
     """
     one = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    listed = turns.select(F.col(conv_id).alias("conv_id"), one.alias("one")).groupBy("conv_id").agg(F.sort_array(F.collect_list("one")).alias("turns"))
-    return listed.withColumn("turns", F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))))
+    alone = F.when(F.col(conv_id).isNull(), F.monotonically_increasing_id())
+    listed = turns.select(F.col(conv_id).alias("conv_id"), alone.alias("alone"), one.alias("one")).groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("one")).alias("turns"))
+    return listed.drop("alone").withColumn("turns", F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))))
 
 
 def graft_rejected(conversations: DataFrame) -> DataFrame:
@@ -57,17 +58,20 @@ def format_preferences(pairs: DataFrame, role: str = "assistant") -> DataFrame:
 
     chosen and rejected are arrays of (role, text). The longest prefix of equal turns is rendered once, as prompt; the rest of
     each conversation is its completion, and its spans are what a model learns (everything else is masked). Null arrays are
-    empty; equal conversations have two empty completions; an empty table gives no rows.
+    empty; equal conversations have two empty completions; an empty table gives no rows. Columns named like the results are
+    replaced.
     """
     side = lambda c: F.coalesce(F.col(c), F.array().cast(TURNS))
     same = F.zip_with(side("chosen"), side("rejected"), lambda x, y: x.eqNullSafe(y))
     first = F.array_position(same, F.lit(False))
     n = F.when(first == 0, F.size(same)).otherwise(first - 1).cast("int")
     rest = lambda c: F.slice(side(c), F.col("__n") + 1, F.greatest(F.size(side(c)) - F.col("__n"), F.lit(0)))
-    found = pairs.withColumn("__n", n).withColumns({"__p": F.slice(side("chosen"), F.lit(1), F.col("__n")), "__c": rest("chosen"), "__r": rest("rejected")})
-    names = [c for c in pairs.columns if c not in ("chosen", "rejected", "n_prompt_turns", "prompt", "chosen_spans", "rejected_spans")]
+    results = ("chosen", "rejected", "n_prompt_turns", "prompt", "chosen_spans", "rejected_spans")
+    names = [c for c in pairs.columns if c.lower() not in results]
+    found = pairs.select(F.struct(*(F.col(f"`{c}`") for c in names), F.lit(True)).alias("own"), "chosen", "rejected").withColumn("__n", n)
+    found = found.withColumns({"__p": F.slice(side("chosen"), F.lit(1), F.col("__n")), "__c": rest("chosen"), "__r": rest("rejected")})
     return found.select(
-        *names,
+        *(F.col("own").getField(c).alias(c) for c in names),
         F.col("__n").alias("n_prompt_turns"),
         rendered(F.col("__p")).alias("prompt"),
         rendered(F.col("__c")).alias("chosen"),
