@@ -2,10 +2,11 @@
 
 Two classifiers see different views of a document: its text, and its metadata. Both start from the labelled rows. In each
 round each view labels the unlabelled rows that it is surest of, in the proportion of the classes, and these become training
-rows of the other view. All unlabelled rows take part: their features are written once, a histogram of the log-odds gives each
+rows of the other view; a view that is sure of rows of one class only labels none, for it would teach that class alone. All unlabelled rows take part: their features are written once, a histogram of the log-odds gives each
 round's thresholds, the sums of Newton's method are added up over the table, and a row's pseudo-labels follow from its features
-and the steps so far, so none are stored. At the end each view's log-odds are calibrated on labelled rows that took no part in training, the
-calibrated views are combined there, and every document is scored.
+and the steps so far, so none are stored. At the end each view's log-odds are calibrated on labelled rows that took no part in
+training, the calibrated views are combined on others that took none, neither with a negative weight, and every document is
+scored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm.crf import logistic
+from siftlake.llm.crf import rising
 from siftlake.llm.quality_rules import DIGIT, LOWER, PUNCT, SYMBOLS, UPPER, Counted
 from siftlake.llm.shared import U64, bytes_of, mix, slices, small_batches, text_or_empty, written
 
@@ -242,22 +243,30 @@ def co_train_over(text: np.ndarray, meta: np.ndarray, labels: np.ndarray, free:
             counts = free.tally([*steps, (k, w, 0, 0)], k, sure)
             low, high = np.cumsum(counts[: BINS // 2]), np.cumsum(counts[::-1][: BINS // 2])
             # the bin in which the number is reached goes as a whole
+            if not (low[-1] and high[-1]):
+                continue
             low_bin = int(np.searchsorted(low, max(1, int(pool * (1 - good)))))
             high_bin = BINS - 1 - int(np.searchsorted(high, max(1, int(pool * good))))
             steps.append((k, w, low_bin, high_bin))
     weights = [trained(0), trained(1)]
     stacked = np.stack([odds(views[0], weights[0]), odds(views[1], weights[1])], axis=1)
+    kept = np.flatnonzero(holds)
+    first, second = kept[::2], kept[1::2]
     for k in (0, 1):  # calibrate each view, then combine
-        a, b = logistic(stacked[holds][:, k : k + 1], labels[holds].astype(float), penalty=1.0)
+        a, b = rising(stacked[first][:, k : k + 1], labels[first].astype(float))
         weights[k] = np.append(weights[k][:-1] * a, weights[k][-1] * a + b)
         stacked[:, k] = odds(views[k], weights[k])
-    return Views(weights[0], weights[1], logistic(stacked[holds], labels[holds].astype(float), penalty=1.0))
+    return Views(weights[0], weights[1], rising(stacked[second], labels[second].astype(float)))
 
 
 def viewed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and what the metadata view reads: hashes of lang and source, and n_chars (the text's own where null)."""
-    size = F.coalesce(F.col("n_chars").cast("bigint"), F.length(text_or_empty("text")).cast("bigint"))
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty("text").alias("text"), F.crc32(text_or_empty("lang").cast("binary")).alias("lang"), F.crc32(text_or_empty("source").cast("binary")).alias("source"), size.alias("n_chars"))
+    """doc_id, text and what the metadata view reads: hashes of lang and source (empty where there is no such column), and n_chars
+    (the text's own where null or not there)."""
+    there = {c.lower() for c in docs.columns}
+    own = F.length(text_or_empty("text")).cast("bigint")
+    size = F.coalesce(F.col("n_chars").cast("bigint"), own) if "n_chars" in there else own
+    hashed = [F.crc32((text_or_empty(c) if c in there else F.lit("")).cast("binary")).alias(c) for c in ("lang", "source")]
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty("text").alias("text"), *hashed, size.alias("n_chars"))
 
 
 def features_of(some: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:

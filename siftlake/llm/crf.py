@@ -7,7 +7,7 @@ changed, until nothing changes by more than TOLERANCE. That takes as many sweeps
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -41,7 +41,6 @@ class Chain:
     t10: float = 0.0
     t11: float = 0.0
     start: float = 0.0
-    sweeps: list = field(default_factory=list, repr=False)
 
     def forward(self, e: np.ndarray, first: np.ndarray) -> np.ndarray:
         return _messages(e, first, self.start, lambda r: _soft(self.t01, self.t11, r) - _soft(self.t00, self.t10, r))
@@ -131,3 +130,14 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 20, penalty: float = 1e
         if np.abs(step).max() < 1e-3:
             break
     return w
+
+
+def rising(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic coefficients of which none but the constant is negative: columns that would have such a one are left out."""
+    live = np.ones(x.shape[1], bool)
+    while True:
+        w = np.zeros(x.shape[1] + 1)
+        w[np.append(live, True)] = logistic(x[:, live], y, penalty=1.0)
+        if (w[:-1] >= 0).all():
+            return w
+        live &= w[:-1] > 0

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from siftlake.llm.crf import Chain, fit
 from siftlake.llm.shared import U64, bytes_of, mix, slices, small_batches, span_hashes, text_or_empty, words_of
-from siftlake.llm.toxicity import distinct_rows, is_first, runs, surprise
+from siftlake.llm.toxicity import distinct_rows, is_first, runs, surprise, training_rows
 
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: The least share of characters in content lines, and the labelled rows of each class that training reads at most.
@@ -188,13 +188,8 @@ def train(texts: list[bytes], good: np.ndarray, epochs: int = 40) -> Labeller:
 
 
 def train_on(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Labeller:
-    """Trains on at most so many labelled rows of each class, chosen by the hash of doc_id."""
-    told = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    pick = lambda which: told.where(F.col("quality") == which).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    some = pick(1).unionByName(pick(0)).withColumnRenamed("doc_id", "__id")
-    rows = docs.join(F.broadcast(some), docs["doc_id"] == some["__id"]).select(F.xxhash64("__id").alias("h"), "__id", text_or_empty("text").cast("binary").alias("t"), "quality")
-    got = rows.orderBy("h", "__id", "t").limit(2 * most).toArrow()
-    return train(got.column("t").to_pylist(), got.column("quality").to_numpy())
+    """Trains on at most so many labelled rows of each class: see training_rows."""
+    return train(*training_rows(docs, labels, "quality", {1: most, 0: most}))
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

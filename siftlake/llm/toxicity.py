@@ -1,9 +1,10 @@
 """Toxic spans and scores by a linear-chain conditional random field over tokens.
 
 Labels mark whole documents. A token of a toxic document counts as labelled toxic if one of its features (its form or a
-prefix) stands in many toxic training documents and hardly in clean ones; near copies are counted once. The field is trained
-on these tokens; the forward-backward marginals of a document's tokens give its spans and, combined to the log of the
-expected number of toxic tokens and the strongest token, its calibrated score.
+prefix) stands in many toxic training documents and hardly in clean ones; near copies (Jaccard index of 0.8 or more) are counted
+once. The field is trained on these tokens; the forward-backward marginals of a document's tokens give its spans and, combined
+to the log of the expected number of toxic tokens and the strongest token, its score, which is calibrated on training documents
+that fields trained without them have scored.
 """
 
 from __future__ import annotations
@@ -15,18 +16,23 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftlake.llm.crf import Chain, fit, logistic
+from siftlake.llm.crf import Chain, fit, rising
 from siftlake.llm.shared import U64, bytes_of, mix, slices, small_batches, span_hashes, text_or_empty
 
-#: Labelled rows of each class that training reads at most, chosen by the hash of doc_id.
+#: Labelled rows of each class that training reads at most, chosen by the hash of doc_id, and their bytes in all; rows of more
+#: than ROW_BYTES are not trained on.
 MOST_TOXIC, MOST_CLEAN = 1200, 3000
+MOST_BYTES, ROW_BYTES = 16 << 20, 1 << 18
 TABLE_BITS = 18
 #: Features: the token's form and its first 4, 5 and 6 bytes.
 PREFIXES = (4, 5, 6)
-#: One feature in so many training runs may count as evidence by chance.
-CHANCE = 20
+#: The share of the features taken for evidence that may be so by chance.
+CHANCE = 0.05
+#: Parts of the training rows for calibration: few when there are many rows.
+FOLDS, MANY_ROWS = (4, 2), 1500
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
@@ -128,20 +134,30 @@ def runs(texts: list[bytes], most: int = 1 << 21) -> Iterator[list[bytes]]:
         yield some
 
 
-def distinct_rows(texts: list[bytes]) -> list[int]:
-    """Rows that are no near copies of rows before them: none of 8 minima over their 3-grams of tokens was seen."""
-    seen, out = set(), []
+def distinct_rows(texts: list[bytes], similarity: float = 0.8) -> list[int]:
+    """Rows that are no near copies of a row kept before: of the kept rows that share one of 8 minima over 3-grams of tokens, with
+    the same salt, none has a Jaccard index of its 3-grams of `similarity` or more."""
+    seen: dict[tuple[int, int], list[int]] = {}
+    sets: dict[int, np.ndarray] = {}
     salts = mix(np.arange(1, 9, dtype=U64))
     for k, text in enumerate(texts):
         raw = lower_case(np.frombuffer(text, np.uint8)) if text else np.zeros(0, np.uint8)
         starts, stops, _ = tokens(raw, np.array([0, len(raw)]))
         h = span_hashes(raw, starts, stops)
-        grams = mix(mix(h[:-2]) + h[1:-1]) + h[2:] if len(h) > 2 else h
-        marks = {int(mix(grams ^ s).min()) for s in salts} if len(grams) else {0}
-        if not marks & seen:
-            out.append(k)
-        seen |= marks
-    return out
+        grams = np.unique(mix(mix(h[:-2]) + h[1:-1]) + h[2:] if len(h) > 2 else h)
+        marks = [(j, int(mix(grams ^ s).min())) for j, s in enumerate(salts)] if len(grams) else [(-1, 0)]
+        others = {r for m in marks for r in seen.get(m, ()) if similarity * len(grams) <= len(sets[r]) and similarity * len(sets[r]) <= len(grams)}
+        if any(alike(grams, sets[r], similarity) for r in others):
+            continue
+        sets[k] = grams
+        for m in marks:
+            seen.setdefault(m, []).append(k)
+    return list(sets)
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
 
 
 def surprise(yes: np.ndarray, no: np.ndarray, rate: float) -> np.ndarray:
@@ -153,10 +169,41 @@ def surprise(yes: np.ndarray, no: np.ndarray, rate: float) -> np.ndarray:
     return np.where(share > rate, n * gap, 0)
 
 
+def beyond_chance(surprises: np.ndarray, chance: float = CHANCE) -> np.ndarray:
+    """The features whose evidence holds if a share `chance` of them may be wrong (Benjamini and Hochberg's rule): the more of them are
+    sure, the less each one needs."""
+    order = np.argsort(-surprises, kind="stable")
+    need = np.log(len(surprises) / (chance * np.arange(1, len(surprises) + 1)))
+    held = np.flatnonzero(surprises[order] > need)
+    out = np.zeros(len(surprises), bool)
+    out[order[: held[-1] + 1 if len(held) else 0]] = True
+    return out
+
+
 def train(texts: list[bytes], toxic: np.ndarray, epochs: int = 12) -> Tagger:
     """Fits the field and the calibration to labelled texts. Without both classes the tagger scores everything 0."""
     rows = distinct_rows(texts)
     texts, toxic = [texts[k] for k in rows], toxic[rows].astype(bool)
+    tagger = field_of(texts, toxic, epochs)
+    if not len(tagger.level):
+        return tagger
+    folds, found = FOLDS[len(texts) >= MANY_ROWS], np.zeros((len(texts), 2))
+    for f in range(folds):
+        mine = np.arange(len(texts)) % folds == f
+        other = field_of([t for t, m in zip(texts, mine) if not m], toxic[~mine], epochs)
+        place = 0
+        at = np.flatnonzero(mine)
+        for some in runs([texts[k] for k in at]):
+            raw = np.frombuffer(b"".join(some), np.uint8)
+            _, _, before, odds = other.token_odds(raw, np.concatenate([[0], np.cumsum([len(t) for t in some])]))
+            found[at[place : place + len(some)]] = other.evidence(odds, before)
+            place += len(some)
+    tagger.level = rising(found, toxic.astype(np.float64))
+    return tagger
+
+
+def field_of(texts: list[bytes], toxic: np.ndarray, epochs: int) -> Tagger:
+    """A tagger whose field is fitted to these texts; its level is a stand-in, or empty if nothing was learnt."""
     empty = Tagger(np.zeros((1 << TABLE_BITS) + 1, np.float32), Chain(), np.zeros(0))
     if not toxic.any() or toxic.all():
         return empty
@@ -182,7 +229,7 @@ def train(texts: list[bytes], toxic: np.ndarray, epochs: int = 12) -> Tagger:
         yes = np.bincount(pairs[bad] // len(texts), minlength=len(kinds))
         no = np.bincount(pairs[~bad] // len(texts), minlength=len(kinds))
         strong = (yes >= 3) & ((yes + 0.1) / n_toxic > 20 * (no + 0.1) / n_clean) & (kinds != 0)
-        strong &= surprise(yes, no, n_toxic / (n_toxic + n_clean)) > np.log(CHANCE * len(kinds))
+        strong &= beyond_chance(surprise(yes, no, n_toxic / (n_toxic + n_clean)))
         evidence |= strong[ids]
     labels = evidence & toxic[owner]
     has = np.bincount(owner, labels, len(texts)) > 0
@@ -191,20 +238,32 @@ def train(texts: list[bytes], toxic: np.ndarray, epochs: int = 12) -> Tagger:
         return empty
     first = is_first(before, len(owner))
     weight, chain = fit(columns[use], 1 << TABLE_BITS, labels[use].astype(np.int8), first[use], epochs)
-    tagger = Tagger(weight, chain, np.zeros(0))
-    odds = chain.marginals(weight[columns].sum(axis=1) + weight[-1], first)
-    tagger.level = logistic(tagger.evidence(odds, before), toxic.astype(np.float64), penalty=1.0)
-    return tagger
+    return Tagger(weight, chain, np.array([1.0, 0.0, 0.0]))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], where: F.Column | None = None) -> tuple[list[bytes], np.ndarray]:
+    """Texts and labels for training: of each class at most so many rows, and MOST_BYTES in all classes together, by the hash of doc_id.
+
+    Rows of more than ROW_BYTES are left out. A doc_id with several labels has the greatest. Only doc_id and text of docs are
+    looked at.
+    """
+    told = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col(label).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
+    told = (told.where(where) if where is not None else told).groupBy("id").agg(F.max("y").alias("y"))
+    some = None
+    for y, n in most.items():
+        one = told.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n)
+        some = one if some is None else some.unionByName(one)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), text_or_empty("text").cast("binary").alias("t")).where(F.octet_length("t") <= ROW_BYTES)
+    rows = rows.join(F.broadcast(some), "id").withColumn("h", F.xxhash64("id")).orderBy("h", "id", "t").limit(sum(most.values()))
+    # over rows bounded by the limit before it
+    upto = F.sum(F.octet_length("t")).over(W.orderBy("h", "id", "t").rowsBetween(W.unboundedPreceding, 0))
+    got = rows.withColumn("upto", upto).where(F.col("upto") <= MOST_BYTES).select("t", "y").toArrow()
+    return got.column("t").to_pylist(), got.column("y").to_numpy()
 
 
 def train_on(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> Tagger:
-    """Trains on labelled rows outside the held-out fold, at most so many of each class, chosen by the hash of doc_id."""
-    told = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    pick = lambda which, n: told.where(F.col("toxic") == which).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    some = pick(1, most_toxic).unionByName(pick(0, most_clean)).withColumnRenamed("doc_id", "__id")
-    rows = docs.join(F.broadcast(some), docs["doc_id"] == some["__id"]).select(F.xxhash64("__id").alias("h"), "__id", text_or_empty("text").cast("binary").alias("t"), "toxic")
-    got = rows.orderBy("h", "__id", "t").limit(most_toxic + most_clean).toArrow()
-    return train(got.column("t").to_pylist(), got.column("toxic").to_numpy())
+    """Trains on labelled rows outside the held-out fold: see training_rows."""
+    return train(*training_rows(docs, labels, "toxic", {1: most_toxic, 0: most_clean}, ~held_out(F.col("id"))))
 
 
 def held_out(doc_id: F.Column) -> F.Column:
@@ -218,7 +277,7 @@ def toxicity(docs: DataFrame, tagger: Tagger, with_text: bool = False) -> DataFr
     replaced. Repeated rows get equal results; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    names = [c for c in docs.columns if c not in ("score", "predicted", "spans") and (with_text or c != "text")]
+    names = [c for c in docs.columns if c.lower() not in ("score", "predicted", "spans") and (with_text or c.lower() != "text")]
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
