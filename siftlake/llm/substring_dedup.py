@@ -31,7 +31,7 @@ from siftlake.llm.suffix_sort import repeated
 LENGTH = 200
 GRAM = 32
 #: Bytes of a block, and runs in a bucket beyond which it is cut into single windows.
-BLOCK_BYTES, MOST_RUNS = 1 << 20, 50_000
+BLOCK_BYTES, MOST_RUNS = 1 << 20, 8_000
 
 
 def gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
