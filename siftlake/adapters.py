@@ -27,21 +27,26 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), TOKEN), lambda x: x != "")
 
 
-def parts(text: Column) -> Column:
-    """kind, tokens: 0 all words, 1 neighbouring words, 2 to 5 quarters and 6 the middle half, cut by characters."""
+KINDS = tuple(range(7))
+
+
+def parts(text: Column, kinds: tuple[int, ...] = KINDS) -> Column:
+    """kind, tokens of the kinds asked for: 0 all words, 1 neighbouring words, 2 to 5 quarters and 6 the middle half, cut by characters."""
     n = F.length(text)
     words = tokens(text)
     most = F.greatest(F.size(words) - 1, F.lit(0))
     pairs = F.zip_with(F.slice(words, F.lit(1), most), F.slice(words, F.lit(2), most), lambda a, b: F.concat_ws(" ", a, b))
     cut = lambda a, b: tokens(F.substring(text, F.floor(n * a / 4).cast("int") + 1, F.floor(n * b / 4).cast("int") - F.floor(n * a / 4).cast("int")))
     middle = [(0, 1), (1, 2), (2, 3), (3, 4), (1, 3)]
-    return F.array(F.struct(F.lit(0).alias("kind"), words.alias("tokens")), F.struct(F.lit(1).alias("kind"), pairs.alias("tokens")), *(F.struct(F.lit(k + 2).alias("kind"), cut(a, b).alias("tokens")) for k, (a, b) in enumerate(middle)))
+    own = lambda k: words if k == 0 else pairs if k == 1 else cut(*middle[k - 2])
+    return F.array(*(F.struct(F.lit(k).alias("kind"), own(k).alias("tokens")) for k in kinds))
 
 
-def document_codes(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, phash, dhash, tiles; null where a part has no words."""
-    docs = table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    each = docs.select("doc_id", F.explode(parts(F.col("text"))).alias("p")).select("doc_id", "p.kind", "p.tokens")
+def document_codes(spark: SparkSession, folder: str, kinds: tuple[int, ...] = KINDS, langs: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, phash, dhash, tiles; null where a part has no words. Only codes of kinds are computed, for documents of langs (none: of
+    all); the others are null."""
+    docs = table(spark, folder, "documents").where(F.col("lang").isin(*langs) if langs else F.lit(True)).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    each = docs.select("doc_id", F.explode(parts(F.col("text"), kinds)).alias("p")).select("doc_id", "p.kind", "p.tokens")
     codes = simhash(each, ["doc_id", "kind"])
     of = lambda k: F.max(F.when(F.col("kind") == k, F.col("code")))
     wide = codes.groupBy("doc_id").agg(of(0).alias("phash"), of(1).alias("dhash"), *(of(k).alias(f"t{k}") for k in range(2, 7)))
@@ -77,8 +82,12 @@ def base_records(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def records(spark: SparkSession, folder: str) -> DataFrame:
-    return base_records(spark, folder).join(document_codes(spark, folder), "doc_id", "left")
+#: Languages whose documents stand for pictures.
+PICTURES = ("en", "de", "es")
+
+
+def records(spark: SparkSession, folder: str, kinds: tuple[int, ...] = KINDS, langs: tuple[str, ...] = ()) -> DataFrame:
+    return base_records(spark, folder).join(document_codes(spark, folder, kinds, langs), "doc_id", "left")
 
 
 def conversation_sequences(spark: SparkSession, folder: str) -> DataFrame:

@@ -42,20 +42,27 @@ def file_records(spark: SparkSession, roots: list[str], hidden: bool, exclusions
 
 def cmd_scan(a: argparse.Namespace) -> None:
     spark = session()
-    records = file_records(spark, a.roots, a.include_hidden, tuple(a.exclude))
+    roots, errors = inventory.checked_roots(a.roots)
+    for e in errors:
+        print(e, file=sys.stderr)
+    records = file_records(spark, roots, a.include_hidden, tuple(a.exclude))
     bounds = {m: pixel_bound(a.low_resolution) for m in (S.IMAGE, S.GIF, S.VIDEO)} if a.low_resolution else {}
     members = SC.scan(records, SC.Options(similar_images=False, low_resolution=bounds, random_review=a.random_review, seed=a.seed, per_root=a.per_root))
     members.write.mode("overwrite").parquet(a.out)
-    print(SC.scan_summary(spark.read.parquet(a.out)).select(F.to_json(F.struct("*"))).head()[0])
+    found = spark.read.parquet(a.out)
+    if a.json:
+        stores.save_result(a.json, roots, records.select(*(c.split()[0] for c in S.RECORD.split(", "))), found, errors)
+    print(SC.scan_summary(found).select(F.to_json(F.struct("*"))).head()[0])
 
 
 def cmd_isolate(a: argparse.Namespace) -> None:
     plan = T.isolate_plan(session().read.parquet(a.members), tuple(a.kinds), not a.plain_names, a.folder)
     rows = [(r["path"], r["destination"]) for r in plan.toLocalIterator()]
-    if a.execute:
-        T.copy_groups(rows)
     for source, destination in rows:
-        print(f"{source}\t{destination}")
+        print(f"{source}\t{destination}\t{(T.place(source, destination, a.mode) or 'done') if a.execute else ''}".rstrip("\t"))
+    if a.execute:
+        for r in T.group_notes(plan, session().read.parquet(a.members)).toLocalIterator():
+            stores.write_json(os.path.join(r["folder"], "_group.json"), json.loads(r["note"]))
 
 
 def cmd_receipts(a: argparse.Namespace) -> None:
@@ -115,12 +122,14 @@ def main(argv: list[str] | None = None) -> None:
     s.add_argument("--random-review", type=int, default=0)
     s.add_argument("--seed", type=int, default=0)
     s.add_argument("--per-root", action="store_true")
+    s.add_argument("--json", help="also write the whole result to this file")
     s.set_defaults(run=cmd_scan)
     s = sub.add_parser("isolate")
     s.add_argument("members")
     s.add_argument("--folder", required=True)
     s.add_argument("--kinds", nargs="+", default=list(S.KINDS), choices=S.KINDS)
     s.add_argument("--plain-names", action="store_true")
+    s.add_argument("--mode", choices=T.MODES, default="copy")
     s.add_argument("--execute", action="store_true")
     s.set_defaults(run=cmd_isolate)
     s = sub.add_parser("receipts")

@@ -75,7 +75,8 @@ Decoder = Callable[[str], "list[np.ndarray]"]
 def with_codes(records: DataFrame, decode: Decoder, whole: int = 3) -> DataFrame:
     """path, phash, dhash, tiles, frames, error of the records, by a plug-in that gives a path's grey frames.
 
-    One frame missing makes the frame sequence null; an error leaves all null and is told.
+    Fewer frames than `whole` make the frame sequence null (a video that was decoded in part must not match); an error leaves
+    all null and is told.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,7 +86,7 @@ def with_codes(records: DataFrame, decode: Decoder, whole: int = 3) -> DataFrame
                 try:
                     frames = decode(path)
                     codes = [phash(f) for f in frames]
-                    rows.append((path, combined(codes), combined([dhash(f) for f in frames]), tile_codes(frames[0]), codes if len(codes) >= min(whole, 1) else None, None))
+                    rows.append((path, combined(codes), combined([dhash(f) for f in frames]), tile_codes(frames[0]), codes if len(codes) >= whole else None, None))
                 except Exception as e:  # a plug-in's fault is a row's, not the job's
                     rows.append((path, None, None, None, None, f"image hash: {e}"))
             yield pd.DataFrame(rows, columns=["path", "phash", "dhash", "tiles", "frames", "error"]).astype({"phash": "Int64", "dhash": "Int64"})

@@ -93,6 +93,6 @@ def in_roots(path: Column, roots: tuple[str, ...]) -> Column:
 
 
 def safe_name(text: Column, longest: int = 80) -> Column:
-    """A file name: other than letters, digits and ._- ()[] becomes _, spaces at the ends go, the rest is cut."""
-    clean = F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}._\- ()\[\]]", "_"))
-    return F.substring(F.when(clean == "", "group").otherwise(clean), 1, longest)
+    """A file name: other than letters, digits and ._- ()[] becomes _, spaces, dots and _ at the ends go, the rest is cut; "file" if nothing is left."""
+    clean = F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\p{N}._\- ()\[\]]", "_"), "^[ ._]+|[ ._]+$", "")
+    return F.substring(F.when(clean == "", "file").otherwise(clean), 1, longest)

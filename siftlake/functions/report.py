@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+import mimetypes
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siftlake import schema as S
+
 MIB, UNITS = 1024 * 1024, ("KB", "MB", "GB", "TB")
 
 
@@ -75,3 +78,48 @@ def thumbnail_key(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\0", *(p.cast("string") for p in parts)), 256)
 
 
+def parse_criteria(raw: dict) -> dict:
+    """Criteria of a bulk selection from a form: empty ones go, unknown ones are ignored, bad values raise ValueError."""
+    out: dict = {}
+    for key, least in (("min_size", 0), ("max_size", 0), ("min_faces", 1)):
+        if raw.get(key) not in (None, ""):
+            out[key] = int(raw[key])
+            if out[key] < least:
+                raise ValueError(f"{key} must be {least} or more")
+    if raw.get("path_contains") not in (None, ""):
+        out["path_contains"] = str(raw["path_contains"]).lower()
+    return out | ({"smaller_than_keeper": True} if raw.get("smaller_than_keeper") else {})
+
+
+def explanation(phash_a: Column, phash_b: Column, dhash_a: Column, dhash_b: Column) -> Column:
+    """How two pictures match, in words: the distances that are known."""
+    part = lambda name, a, b: F.concat(F.lit(f"{name} distance "), F.bit_count(a.bitwiseXOR(b)).cast("string"))
+    return F.nullif(F.concat_ws(", ", part("pHash", phash_a, phash_b), part("dHash", dhash_a, dhash_b)), F.lit(""))
+
+
+def duration_text(seconds: Column) -> Column:
+    """h:mm:ss, or m:ss below an hour; empty for nothing known."""
+    whole = F.round(seconds).cast("bigint")
+    long = F.format_string("%d:%02d:%02d", F.floor(whole / 3600), F.floor(whole / 60) % 60, whole % 60)
+    return F.when(whole >= 3600, long).when(whole >= 0, F.format_string("%d:%02d", F.floor(whole / 60), whole % 60)).otherwise("")
+
+
+def mime_type(extension: Column) -> Column:
+    """The type by extension, as the standard library knows it; application/octet-stream for others."""
+    known = {e: mimetypes.guess_type("x" + e)[0] for e in S.extensions()}
+    out = F.lit("application/octet-stream")
+    for e, kind in known.items():
+        if kind:
+            out = F.when(extension == e, kind).otherwise(out)
+    return out
+
+
+def summary_lines(roots: list[str], files: int, counts: dict, errors: int = 0) -> str:
+    """A scan in a few lines, from the row of its summary."""
+    size = counts["reclaimable_bytes"]
+    k = 0
+    while size >= 1024 and k < len(UNITS):
+        size, k = size / 1024, k + 1
+    lines = [f"Roots: {', '.join(roots)}", f"Files scanned: {files}", f"Exact groups: {counts['exact_groups']}", f"Similar groups: {counts['similar_groups']}", f"Low-resolution files: {counts['low_resolution_files']}"]
+    lines += [f"Random review files: {counts['random_review_files']}", f"Non-human files: {counts['no_human_files']}", "Reclaimable: " + (f"{size:.1f} {UNITS[k - 1]}" if k else f"{size} B")]
+    return "\n".join(lines + ([f"Errors: {errors}"] if errors else []))

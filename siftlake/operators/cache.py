@@ -7,15 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftlake import schema as S
-from siftlake.functions.report import signature_version
 
 HASH_COLUMNS = ("sha256", "partial_hash", "phash", "dhash", "tiles", "frames", "duration", "width", "height", "human_detection_status", "human_detection_signature", "human_max_confidence", "face_count", "face_detection_signature")
 
 
 def unchanged(record: str = "r", cached: str = "c") -> Column:
-    """Whether a cached row still describes the record: time of change (to the nanosecond, or to a millisecond), device and inode where both know them."""
+    """Whether a cached row still describes the record: time of change (to the nanosecond, or to less than a millisecond), device and inode where both know them."""
     r, c = (lambda x: F.col(f"{record}.{x}")), (lambda x: F.col(f"{cached}.{x}"))
-    time = F.when(r("mtime_ns").isNotNull() & c("mtime_ns").isNotNull(), r("mtime_ns") == c("mtime_ns")).otherwise(F.abs(r("mtime") - c("mtime")) <= 0.001)
+    time = F.when(r("mtime_ns").isNotNull() & c("mtime_ns").isNotNull(), r("mtime_ns") == c("mtime_ns")).otherwise(F.abs(r("mtime") - c("mtime")) < 0.001)
     same = lambda x: F.coalesce(r(x) == c(x), F.lit(True))
     return F.coalesce(time, F.lit(True)) & same("device") & same("inode")
 
@@ -73,6 +72,7 @@ def person_reusable(signature: str) -> Column:
 
 
 def faces_reusable(signature: str) -> Column:
+    """A face count of exactly this signature."""
     return F.coalesce(F.col("face_count").isNotNull() & (F.col("face_detection_signature") == signature), F.lit(False))
 
 
@@ -93,9 +93,3 @@ def valid_pairs(pairs: DataFrame, records: DataFrame) -> DataFrame:
     return pairs.join(side("a"), ["path_a", "identity_a"], "left_semi").join(side("b"), ["path_b", "identity_b"], "left_semi").select("path_a", "path_b")
 
 
-def outdated(cache: DataFrame, version: str) -> DataFrame:
-    return cache.where(F.col("algorithm_version") != version)
-
-
-def current_signature(column: str, version: str) -> Column:
-    return F.coalesce(signature_version(F.col(column)) == version, F.lit(False))

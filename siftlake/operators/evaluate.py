@@ -50,3 +50,32 @@ def diagnostics(records: DataFrame, stages: dict[str, tuple[Column, Column]]) ->
 def first_errors(records: DataFrame, most: int = 20) -> DataFrame:
     """error, first: distinct errors in the order in which they first occur (column ord), at most so many."""
     return records.where("error IS NOT NULL").groupBy("error").agg(F.min("ord").alias("first")).orderBy("first").limit(most)
+
+
+# How the errors of a stage begin.
+STAGE_ERRORS = {"exact": ("partial hash failed", "sha256 failed"), "similar_image": ("image hash failed",), "similar_video": ("video fingerprint failed",)}
+
+
+def error_stage(error: Column) -> Column:
+    """The stage that an error comes from, by its beginning; null for others."""
+    out = None
+    for stage, heads in STAGE_ERRORS.items():
+        for head in heads:
+            out = F.when(error.startswith(head), stage) if out is None else out.when(error.startswith(head), stage)
+    return out
+
+
+def errors_by_stage(records: DataFrame) -> DataFrame:
+    """stage, errors, sample (the least text)."""
+    staged = records.withColumn("stage", error_stage(F.col("error"))).where("stage IS NOT NULL")
+    return staged.groupBy("stage").agg(F.count("*").alias("errors"), F.min("error").alias("sample"))
+
+
+def throughput(rows: DataFrame, elapsed: Column, *keys: str) -> DataFrame:
+    """items, elapsed_seconds, items_per_second (null where no time has passed), for each of keys."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("items"), F.sum(elapsed).alias("elapsed_seconds")).withColumn("items_per_second", ratio(F.col("items"), F.col("elapsed_seconds")))
+
+
+def scanned_totals(records: DataFrame) -> DataFrame:
+    """media_type, files_found, bytes_scanned."""
+    return records.groupBy("media_type").agg(F.count("*").alias("files_found"), F.sum("size").alias("bytes_scanned"))

@@ -73,3 +73,12 @@ def neighbours(states: DataFrame, sort: str = "reclaimable") -> DataFrame:
 def tab_counts(states: DataFrame) -> DataFrame:
     """kind, groups, members: what the tabs show."""
     return states.groupBy("kind").agg(F.count("*").alias("groups"), F.sum("member_count").alias("members"))
+
+
+def one_group(members: DataFrame, group_id: str, deleted: DataFrame | None = None) -> DataFrame:
+    """The members of one group in order, with deleted: whether a path has been deleted since. An unknown group has no rows."""
+    mine = members.where(F.col("group_id") == group_id)
+    if deleted is None:
+        return mine.withColumn("deleted", F.lit(False)).orderBy("ord")
+    gone = deleted.select("path", F.lit(True).alias("deleted")).distinct()
+    return mine.join(gone, "path", "left").withColumn("deleted", F.coalesce("deleted", F.lit(False))).orderBy("ord")

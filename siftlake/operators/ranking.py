@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,18 +30,25 @@ def over_budget(files: DataFrame, budget: int, shards: int = 64) -> DataFrame:
 
 def receipts_to_prune(receipts: DataFrame, now: Column, older_than_days: float | None = None, keep: int | None = None, drop_previews: bool = False) -> DataFrame:
     """id, reason of the receipts (id, started_at timestamp, dry_run) to drop: a preview, beyond the newest, or too old, in this order."""
-    newest = W.orderBy(F.coalesce(F.col("started_at").cast("string"), F.col("id")).desc(), F.col("id").desc())
-    reason = F.lit(None).cast("string")
+    reason, ranked = F.lit(None).cast("string"), receipts
     if older_than_days is not None:
         reason = F.when(F.col("started_at") < now - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(float(older_than_days) * 86400)), f"older than {older_than_days:g} days")
-    ranked = receipts.withColumn("__k", F.row_number().over(newest) if keep is not None else F.lit(0))
     if keep is not None:
-        reason = F.when(F.col("__k") > max(0, keep), f"outside the {keep} newest receipts").otherwise(reason)
+        newest = [F.coalesce(F.col("started_at").cast("string"), F.col("id")).desc(), F.col("id").desc()]
+        top = receipts.orderBy(*newest).limit(max(0, keep)).select("id", F.lit(True).alias("__new"))
+        ranked = receipts.join(top, "id", "left")
+        reason = F.when(F.col("__new").isNull(), f"outside the {keep} newest receipts").otherwise(reason)
     if drop_previews:
         reason = F.when(F.col("dry_run"), "dry-run preview").otherwise(reason)
     return ranked.withColumn("reason", reason).where("reason IS NOT NULL").select("id", "reason")
 
 
+def pruned(receipts: DataFrame, dropped: DataFrame) -> DataFrame:
+    """kept_count, freed_bytes (receipt_bytes of what goes) of a pruning."""
+    marked = receipts.join(dropped.select("id", F.lit(True).alias("__gone")).distinct(), "id", "left")
+    return marked.agg(F.sum(F.when(F.col("__gone").isNull(), 1).otherwise(0)).alias("kept_count"), F.coalesce(F.sum(F.when(F.col("__gone"), F.col("receipt_bytes"))), F.lit(0)).alias("freed_bytes"))
+
+
 def receipt_totals(receipts: DataFrame) -> DataFrame:
     """id, items, ok, failed, bytes of what went through, undoable: executed quarantines with an item that has a destination."""
     good = F.filter("items", lambda x: x["ok"])
@@ -55,17 +65,41 @@ def resolve_receipt(receipts: DataFrame, wanted: str) -> DataFrame:
     return found.join(found.agg(F.min("tier").alias("best")), F.col("tier") == F.col("best")).drop("best")
 
 
-def unique_names(files: DataFrame, folder: str = "folder", file_name: str = "name", order: str = "path") -> DataFrame:
-    """files with dest_name, free of collisions within a folder: of equal names the first keeps its own, the k-th gets _k-1.
+def unique_names(files: DataFrame, folder: str = "folder", file_name: str = "name", order: str = "path", taken: DataFrame | None = None) -> DataFrame:
+    """files with dest_name, free of collisions within a folder: in order, each gets its own name or else the first free of _1, _2, ...
 
-    A numbered name that another file already has by itself moves on behind the numbers of its own kind.
+    taken: names that a folder has already (folder, name). A name that shares its stem, but for numbers, with no other name is
+    numbered by a sort. Only where such names meet (a.jpg twice, and a_1.jpg) the family is walked, in one task: its size is
+    that of a person's numbering.
     """
     own = F.col(file_name)
+    root = F.struct(F.regexp_replace(stem(own), r"(_\d+)+$", ""), suffix_as_is(own))
+    rows = files.withColumn("__family", F.sha2(F.to_json(F.struct(folder, root)), 256))
+    names = rows.select("__family", file_name, F.lit(0).alias("__t"))
+    if taken is not None:
+        there = taken.select(F.col("folder").alias(folder), F.col("name").alias(file_name)).distinct()
+        there = there.withColumn("__family", F.sha2(F.to_json(F.struct(folder, root)), 256))
+        names = names.union(there.select("__family", file_name, F.lit(1)))
+    mixed = names.groupBy("__family").agg((F.min(file_name) != F.max(file_name)).alias("m"), F.max("__t").alias("t")).where("m OR t = 1").select("__family")
     k = F.row_number().over(W.partitionBy(folder, file_name).orderBy(order)) - 1
-    tried = files.withColumn("__k", k).withColumn("__try", F.when(F.col("__k") == 0, own).otherwise(F.concat(stem(own), F.lit("_"), F.col("__k"), suffix_as_is(own))))
-    clash = F.row_number().over(W.partitionBy(folder, "__try").orderBy("__k", order)) - 1
-    moved = F.when(F.col("__c") == 0, F.col("__try")).otherwise(F.concat(stem(own), F.lit("_"), F.col("__k"), F.lit("_"), F.col("__c"), suffix_as_is(own)))
-    return tried.withColumn("__c", clash).withColumn("dest_name", moved).drop("__k", "__try", "__c")
+    plain = rows.join(mixed, "__family", "left_anti").withColumn("__k", k)
+    plain = plain.withColumn("dest_name", F.when(F.col("__k") == 0, own).otherwise(F.concat(stem(own), F.lit("_"), F.col("__k"), suffix_as_is(own)))).drop("__k")
+    met = rows.join(mixed, "__family", "left_semi").select("__family", F.col(file_name).alias("n"), F.col(order).alias("o"), stem(own).alias("s"), suffix_as_is(own).alias("x"), F.lit(0).alias("t"))
+    if taken is not None:
+        met = met.union(there.join(mixed, "__family", "left_semi").select("__family", F.col(file_name), F.lit(None), F.lit(""), F.lit(""), F.lit(1)))
+
+    def walk(family: pd.DataFrame) -> pd.DataFrame:
+        used, out = set(family["n"][family["t"] == 1]), []
+        for r in family[family["t"] == 0].sort_values("o", kind="stable").itertuples():
+            free = r.n if r.n not in used else next(f"{r.s}_{k}{r.x}" for k in itertools.count(1) if f"{r.s}_{k}{r.x}" not in used)
+            used.add(free)
+            out.append((r.o, r.n, free))
+        return pd.DataFrame(out, columns=["__o", "__n", "dest_name"])
+
+    kind = dict(files.dtypes)[order]
+    named = met.groupBy("__family").applyInPandas(walk, f"__o {kind}, __n string, dest_name string")
+    walked = rows.join(mixed, "__family", "left_semi").join(named, (F.col(order) == F.col("__o")) & (own == F.col("__n"))).drop("__o", "__n")
+    return plain.unionByName(walked).drop("__family")
 
 
 def suffix_as_is(text: Column) -> Column:
@@ -73,6 +107,8 @@ def suffix_as_is(text: Column) -> Column:
 
 
 def folder_numbers(groups: DataFrame) -> DataFrame:
-    """groups (group_id, kind, group_ord, title) with folder: the kind's counter in three digits and the title made safe."""
+    """groups (group_id, kind, group_ord, media_type, member_count, keep: a path) with folder: the kind's, and in it the kind's
+    counter in three digits, kind, medium, number of members, stem of keep made safe, and identifier."""
+    # one row a group: a kind's groups are ranked in one task
     k = F.row_number().over(W.partitionBy("kind").orderBy("group_ord"))
-    return groups.withColumn("folder", F.concat(F.col("kind"), F.lit("/"), F.lpad(k.cast("string"), 3, "0"), F.lit(" "), safe_name(F.col("title"), 60)))
+    return groups.withColumn("folder", F.concat(F.col("kind"), F.lit("/"), F.format_string("%03d_%s_%s_n%d_%s_%s", k, "kind", "media_type", "member_count", safe_name(stem(F.col("keep")), 40), "group_id")))

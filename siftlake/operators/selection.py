@@ -131,3 +131,9 @@ def next_unreviewed(members: DataFrame) -> DataFrame:
     later = F.min(F.when(~F.col("is_reviewed"), F.col("ord"))).over(todo.rowsBetween(1, W.unboundedFollowing))
     earliest = F.min(F.when(~F.col("is_reviewed"), F.col("ord"))).over(of_group())
     return members.select("group_id", "ord", F.coalesce(later, earliest).alias("next_ord"))
+
+
+def bulk_in_view(members: DataFrame, view: DataFrame, operation: str, criteria: dict | None = None) -> DataFrame:
+    """bulk_select on the groups that a view shows (group_id), the others as they are."""
+    shown = view.select("group_id").distinct()
+    return bulk_select(members.join(shown, "group_id", "left_semi"), operation, criteria).unionByName(members.join(shown, "group_id", "left_anti"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from siftlake.schema import GIF_EXTENSIONS, IMAGE_EXTENSIONS, SMART_RULES
-
 HUMAN = "human-presence-v3-direct-seek"
 
+# Fixed values, stated here once more so that the SQL does not lean on the engine.
+STILL = "('.jpg', '.jpeg', '.png', '.heic', '.heif', '.webp', '.tif', '.tiff', '.bmp', '.raw', '.cr2', '.nef', '.arw', '.dng', '.gif')"
+MOVING = "('.mp4', '.mov', '.m4v', '.avi', '.mkv', '.webm', '.mts', '.m2ts', '.wmv', '.flv', '.3gp')"
+
 REC = f"""
 lab AS (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id),
 doc AS (
@@ -93,17 +95,24 @@ fp AS (
            CASE WHEN count(*) FILTER (kind >= 2) = 5 THEN list(code ORDER BY kind) FILTER (kind >= 2) END AS tiles
     FROM cod GROUP BY doc_id)"""
 
-PAIRS = f"""
+
+
+def pairs(code: int = 6, gradient: int = 10, tile: int = 8, tiles: int = 25, aspect: float = 0.15) -> str:
+    """SQL for the records with codes, ranked, and the pairs of them that are near."""
+    return f"""
 pool AS (
     SELECT r.*, phash, dhash, tiles, CASE WHEN width > 0 AND height > 0 THEN width / height END AS aspect,
            row_number() OVER (ORDER BY {BEST.replace('depth, namelen', 'depth, namelen, path DESC')}) AS k
     FROM recs r JOIN fp USING (doc_id) WHERE media_type IN ('image', 'gif') AND phash IS NOT NULL),
 near AS (
     SELECT a.k AS ka, b.k AS kb, a.path AS pa, b.path AS pb, a.root AS ra, b.root AS rb FROM pool a JOIN pool b ON a.k < b.k
-    WHERE bit_count(xor(a.phash, b.phash)) <= 6 AND coalesce(bit_count(xor(a.dhash, b.dhash)) <= 10, TRUE)
-      AND coalesce(abs(a.aspect - b.aspect) <= 0.15, TRUE) AND a.tiles IS NOT NULL AND b.tiles IS NOT NULL
-      AND list_max([bit_count(xor(a.tiles[i], b.tiles[i])) for i in range(1, 6)]) <= 8
-      AND list_sum([CAST(bit_count(xor(a.tiles[i], b.tiles[i])) AS INTEGER) for i in range(1, 6)]) <= 25)"""
+    WHERE bit_count(xor(a.phash, b.phash)) <= {code} AND coalesce(bit_count(xor(a.dhash, b.dhash)) <= {gradient}, TRUE)
+      AND coalesce(abs(a.aspect - b.aspect) <= {aspect}, TRUE) AND a.tiles IS NOT NULL AND b.tiles IS NOT NULL
+      AND list_max([bit_count(xor(a.tiles[i], b.tiles[i])) for i in range(1, 6)]) <= {tile}
+      AND list_sum([CAST(bit_count(xor(a.tiles[i], b.tiles[i])) AS INTEGER) for i in range(1, 6)]) <= {tiles})"""
+
+
+PAIRS, WIDE = pairs(), pairs(12, 30, 40, 160, 1e6)
 
 
 def clusters(same_root: bool) -> str:
@@ -156,7 +165,7 @@ cac AS (
 hit AS (
     SELECT r.path, c.path AS cached_path, c.sha, c.faces, c.media_type FROM rec r JOIN cac c ON c.ver = 'v2' AND r.size = c.size
         AND (r.path = c.path OR (r.doc_id * 10 = c.inode AND r.media_type = c.media_type AND NOT EXISTS (SELECT 1 FROM cac x WHERE x.ver = 'v2' AND x.path = r.path AND x.size = r.size)))
-    WHERE r.doc_id * 10 = c.inode AND CASE WHEN r.mtime_ns IS NOT NULL AND c.mtime_ns IS NOT NULL THEN r.mtime_ns = c.mtime_ns ELSE abs(r.mtime - c.mtime) <= 0.001 END)"""
+    WHERE r.doc_id * 10 = c.inode AND CASE WHEN r.mtime_ns IS NOT NULL AND c.mtime_ns IS NOT NULL THEN r.mtime_ns = c.mtime_ns ELSE abs(r.mtime - c.mtime) < 0.001 END)"""
 
 NOW = """
 now AS (
@@ -167,13 +176,13 @@ now AS (
 
 
 def checked(roots: bool) -> str:
-    outside = "WHEN NOT (r.root IN ('/src1', '/src2', '/src3', '/src4')) THEN 'path is outside the scanned roots'" if roots else ""
+    outside = "WHEN NOT (r.root IN ('/src1', '/src2', '/src3', '/src4')) THEN 'file is outside the scanned roots'" if roots else ""
     return f"""
 chk AS (
-    SELECT r.path, CASE WHEN n.path IS NULL THEN 'file no longer exists' WHEN is_symlink THEN 'path is now a symbolic link'
-        WHEN NOT is_regular THEN 'path is not a regular file' {outside} WHEN r.size <> n.size THEN 'file size changed since scan'
-        WHEN r.doc_id * 10 <> n.inode THEN 'file inode changed since scan'
-        WHEN CASE WHEN r.mtime_ns IS NOT NULL THEN r.mtime_ns <> n.mtime_ns ELSE abs(r.mtime - n.mtime) > 0.001 END THEN 'file modified time changed since scan' END AS error
+    SELECT r.path, CASE WHEN n.path IS NULL THEN '[Errno 2] No such file or directory: ' || chr(39) || r.path || chr(39) WHEN is_symlink THEN 'refusing to act on a symbolic link'
+        WHEN NOT is_regular THEN 'file no longer exists' {outside} WHEN r.size <> n.size THEN 'file changed since scan (size ' || r.size || ' -> ' || n.size || ')'
+        WHEN r.doc_id * 10 <> n.inode THEN 'file changed since scan (inode differs)'
+        WHEN CASE WHEN r.mtime_ns IS NOT NULL THEN r.mtime_ns <> n.mtime_ns ELSE abs(r.mtime - n.mtime) >= 0.001 END THEN 'file changed since scan (modified time differs)' END AS error
     FROM rec r LEFT JOIN now n USING (path))"""
 
 
@@ -215,7 +224,7 @@ SQL: dict[str, str] = {
         SELECT ord, coalesce(min(o) OVER (ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), min(o) OVER ()) AS next_ord FROM u""",
     "path_functions": """SELECT page_id, string_split(url, '/')[-1] AS name, regexp_replace(url, '/[^/]*$', '') AS parent,
         CAST(len(list_filter(string_split(url, '/'), lambda x: x <> '')) AS BIGINT) AS depth,
-        substr(trim(regexp_replace(url, '[^\\pL\\pN._\\- ()\\[\\]]', '_', 'g')), 1, 40) AS safe, sha256(CAST(page_id AS VARCHAR) || chr(0) || url) AS thumbnail FROM pages""",
+        substr(coalesce(nullif(trim(regexp_replace(url, '[^\\pL\\pN._\\- ()\\[\\]]', '_', 'g'), ' ._'), ''), 'file'), 1, 40) AS safe, sha256(CAST(page_id AS VARCHAR) || chr(0) || url) AS thumbnail FROM pages""",
     "format_bytes": """WITH n AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) * pow(1000.0, doc_id % 5) AS BIGINT) AS n FROM documents)
         SELECT doc_id, CASE WHEN n < 1024 THEN CAST(n AS VARCHAR) || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0)
         WHEN n < 1099511627776 THEN printf('%.1f GB', n / 1073741824.0) ELSE printf('%.1f TB', n / 1099511627776.0) END AS text FROM n""",
@@ -225,19 +234,19 @@ SQL: dict[str, str] = {
     "near_dup_clusters": f"WITH RECURSIVE {REC}, {CODES}, {PAIRS}, {clusters(False)} SELECT group_id, path, is_keep, size FROM sim",
     "near_dup_edges": f"WITH {CODES}, c AS (SELECT DISTINCT phash AS c FROM fp WHERE phash IS NOT NULL) SELECT a.c AS code_a, b.c AS code_b, CAST(bit_count(xor(a.c, b.c)) AS BIGINT) AS distance FROM c a JOIN c b ON a.c < b.c WHERE bit_count(xor(a.c, b.c)) <= 6",
     "near_dup_classes": f"WITH {CODES} SELECT doc_id, phash AS code, lower(lpad(hex(CAST(CASE WHEN phash < 0 THEN CAST(phash AS HUGEINT) + 18446744073709551616 ELSE phash END AS UBIGINT)), 16, '0')) AS hex FROM fp WHERE phash IS NOT NULL",
-    "near_dup_not_exact_subset": f"""WITH RECURSIVE {EXACT}, {CODES}, {PAIRS}, {clusters(False)},
+    "near_dup_not_exact_subset": f"""WITH RECURSIVE {EXACT}, {CODES}, {WIDE}, {clusters(False)},
         held AS (SELECT s.group_id, count(*) AS n, count(m.group_id) AS h, count(DISTINCT m.group_id) AS g FROM sim s LEFT JOIN mem m USING (path) GROUP BY s.group_id)
         SELECT group_id, n AS member_count FROM held WHERE NOT (n = h AND g = 1)""",
-    "per_root_clusters": f"WITH RECURSIVE {REC}, {CODES}, {PAIRS}, {clusters(True)} SELECT root, group_id, path, is_keep FROM sim",
+    "per_root_clusters": f"WITH RECURSIVE {REC}, {CODES}, {WIDE}, {clusters(True)} SELECT root, group_id, path, is_keep FROM sim",
     "reviewed_pairs_dropped": f"WITH {CODES}, c AS (SELECT DISTINCT phash AS c FROM fp WHERE phash IS NOT NULL) SELECT a.c AS code_a, b.c AS code_b FROM c a JOIN c b ON a.c < b.c WHERE bit_count(xor(a.c, b.c)) <= 6 AND bit_count(xor(a.c, b.c)) % 2 = 0",
     "exact_groups": f"WITH {EXACT} SELECT group_id, count(*) AS member_count, max(path) FILTER (is_keep) AS keep_path, CAST(sum(size) - max(size) FILTER (is_keep) AS BIGINT) AS reclaimable_bytes FROM mem GROUP BY group_id",
     "exact_group_members": f"WITH {EXACT} SELECT group_id, ord, path, is_keep, is_selected FROM mem",
     "exact_candidates_by_size": "SELECT CAST(strlen(text) AS BIGINT) AS size, count(*) AS n FROM documents WHERE strlen(text) > 0 GROUP BY 1 HAVING count(*) > 1",
     "partial_hash_buckets": "SELECT CAST(strlen(text) AS BIGINT) AS size, sha256(encode(text)[1:65536]) AS partial_hash, count(*) AS n FROM documents WHERE strlen(text) > 0 GROUP BY 1, 2 HAVING count(*) > 1",
-    "exact_rows_lineitem": "SELECT l_orderkey, l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate HAVING count(*) > 1",
-    "order_line_keys": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
+    "exact_rows_lineitem": "SELECT l_partkey, l_quantity, l_tax, l_discount, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
+    "order_line_keys": "SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
     "hardlink_collapse": f"WITH {REC} SELECT path, inode FROM (SELECT *, row_number() OVER (PARTITION BY inode ORDER BY doc_id, path) AS k FROM rec) WHERE k = 1",
-    "media_classes": f"WITH {REC} SELECT path, media_type, extension IN {IMAGE_EXTENSIONS + GIF_EXTENSIONS} AS still, pixels, stamp FROM recs",
+    "media_classes": f"WITH {REC} SELECT path, media_type, extension IN {STILL} AS still, pixels, stamp FROM recs",
     "duration_range_join": f"WITH {CONV}, d AS (SELECT DISTINCT duration AS v FROM sq WHERE duration > 0) SELECT CAST(a.v AS BIGINT) AS id_a, CAST(b.v AS BIGINT) AS id_b FROM d a JOIN d b ON a.v < b.v AND a.v >= 0.9 * b.v",
     "sequence_edges": f"""WITH {CONV}, s AS (SELECT duration, frames, min(id) AS id FROM sq WHERE frames IS NOT NULL GROUP BY duration, frames),
         p AS (
@@ -328,7 +337,7 @@ SQL: dict[str, str] = {
         root = '/src1' OR starts_with(path, '/src2/de/') AS in_roots, FALSE AS in_package FROM recs""",
     "exclusion_globs": f"""WITH {REC} SELECT path, regexp_full_match(lower(path), '/src1.*/en/.*') OR regexp_full_match(string_split(path, '/')[-1], 'doc0000001.\\..*') OR regexp_full_match(path, '.*[13579]\\.gif') AS excluded, FALSE AS hidden FROM rec""",
     "path_matcher": f"WITH {REC} SELECT path, contains(lower(path), 'src1/') AS plain, regexp_matches(path, '(?i)src./d.*7.gif') AS pattern, TRUE AS empty FROM rec",
-    "prune_reasons": f"""WITH {REC}, {NOW}, {checked(True)} SELECT CASE WHEN contains(error, 'symbolic link') THEN 'symlink' WHEN contains(error, 'no longer exists') THEN 'missing' WHEN contains(error, 'outside the scanned roots') THEN 'outside_roots'
+    "prune_reasons": f"""WITH {REC}, {NOW}, {checked(True)} SELECT CASE WHEN contains(error, 'symbolic link') THEN 'symlink' WHEN contains(error, 'no longer exists') OR contains(error, 'No such file') THEN 'missing' WHEN contains(error, 'outside the scanned roots') THEN 'outside_roots'
         WHEN contains(error, 'changed since scan') THEN 'changed' ELSE 'unreadable' END AS reason, count(*) AS n, min(path) AS sample FROM chk WHERE error IS NOT NULL GROUP BY 1""",
     "receipts_list": f"WITH {RCP} SELECT id, action FROM rcp WHERE NOT dry_run ORDER BY started_at DESC, id DESC LIMIT 25",
     "receipts_prune": f"""WITH {RCP}, k AS (SELECT *, row_number() OVER (ORDER BY started_at DESC, id DESC) AS k FROM rcp),
@@ -342,9 +351,10 @@ SQL: dict[str, str] = {
     "validate_identity": f"WITH {REC}, {NOW}, {checked(True)} SELECT path, error FROM chk",
     "preflight": f"WITH {PREFLIGHT} SELECT path, error FROM pre WHERE error IS NOT NULL",
     "action_plan": f"WITH {PREFLIGHT} SELECT path, group_id, ok, destination, error FROM pln",
-    "isolate_names": f"""WITH {EXACT}, g AS (SELECT group_id, sum(size) - max(size) FILTER (is_keep) AS r FROM mem GROUP BY group_id),
-        f AS (SELECT group_id, '/review/exact/' || lpad(CAST(row_number() OVER (ORDER BY r DESC, group_id) AS VARCHAR), 3, '0') || ' ' || group_id AS folder FROM g)
-        SELECT path, folder || '/' || CASE WHEN is_keep THEN 'KEEP_' ELSE '' END || string_split(path, '/')[-1] AS destination FROM mem JOIN f USING (group_id)""",
+    "isolate_names": f"""WITH {EXACT}, c AS (SELECT group_id, media_type, row_number() OVER (PARTITION BY group_id ORDER BY count(*) DESC, min(ord)) AS k FROM mem GROUP BY 1, 2),
+        g AS (SELECT group_id, sum(size) - max(size) FILTER (is_keep) AS r, count(*) AS n, max(regexp_extract(path, '([^/]*)\\.[^./]*$', 1)) FILTER (is_keep) AS stem FROM mem GROUP BY group_id),
+        f AS (SELECT group_id, printf('/review/exact/%03d_exact_%s_n%d_%s_%s', row_number() OVER (ORDER BY r DESC, group_id), media_type, n, substr(stem, 1, 40), group_id) AS folder FROM g JOIN c USING (group_id) WHERE k = 1)
+        SELECT path, folder || '/' || CASE WHEN is_keep THEN 'KEEP__' ELSE '' END || string_split(path, '/')[-1] AS destination FROM mem JOIN f USING (group_id)""",
     "session_prune": f"""WITH {EXACT}, {NOW}, {checked(False)},
         l AS (SELECT m.*, count(*) OVER (PARTITION BY group_id) AS left_n, max(CAST(is_keep AS INTEGER)) OVER (PARTITION BY group_id) AS has, min(ord) OVER (PARTITION BY group_id) AS first
               FROM mem m JOIN chk USING (path) WHERE chk.error IS NULL),
@@ -354,7 +364,32 @@ SQL: dict[str, str] = {
     "preview_verdicts": "SELECT CASE WHEN event_id % 13 = 0 THEN 'missing' WHEN 300 > event_id % 600 THEN 'expired' WHEN event_id % 3 = 0 THEN 'changed' ELSE 'valid' END AS verdict, count(*) AS n FROM events GROUP BY 1",
     "code_distances": f"WITH {CODES} SELECT doc_id, CAST(bit_count(xor(phash, dhash)) AS BIGINT) AS distance FROM fp",
     "events_once_per_user": "SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events",
+    "scan_kinds": f"""WITH {STATE} SELECT kind, count(DISTINCT group_id) AS groups, count(*) AS members FROM state GROUP BY kind
+        UNION ALL SELECT 'random_review', 1, least(25, count(*)) FROM rec HAVING count(*) > 0""",
+    "similar_video_clusters": f"""WITH RECURSIVE {CONV},
+        pool AS (SELECT '/c/' || lpad(CAST(id AS VARCHAR), 8, '0') AS path, duration, frames, row_number() OVER (ORDER BY CAST(duration AS BIGINT) DESC, '/c/' || lpad(CAST(id AS VARCHAR), 8, '0') DESC) AS k FROM sq WHERE frames IS NOT NULL),
+        p AS (
+            SELECT a.k AS ka, b.k AS kb, a.frames AS fa, b.frames AS fb, least(len(a.frames), len(b.frames)) AS c FROM pool a JOIN pool b ON a.k < b.k
+            WHERE (a.duration > 0 AND b.duration > 0 AND least(a.duration, b.duration) >= 0.9 * greatest(a.duration, b.duration)) OR NOT (a.duration > 0) OR NOT (b.duration > 0)),
+        q AS (
+            SELECT *, [CAST(bit_count(xor(fa[CASE WHEN c = 1 THEN 1 ELSE CAST(round_even(i * (len(fa) - 1) / (c - 1), 0) AS BIGINT) + 1 END], fb[CASE WHEN c = 1 THEN 1 ELSE CAST(round_even(i * (len(fb) - 1) / (c - 1), 0) AS BIGINT) + 1 END])) AS INTEGER) for i in range(0, c)] AS d FROM p),
+        near AS (SELECT ka, kb FROM q WHERE bit_count(xor(fa[1], fb[1])) <= 44 AND bit_count(xor(fa[-1], fb[-1])) <= 44 AND list_max(d) <= 44 AND list_sum(d) <= 22 * len(d)), {clusters(False)}
+        SELECT group_id, path, is_keep FROM sim""",
+    "errors_by_stage": """WITH e AS (SELECT ['sha256 failed: a', 'partial hash failed: b', 'image hash failed: c', 'video fingerprint failed: d', 'image hash: e'][doc_id % 5 + 1] AS error FROM documents WHERE doc_id % 3 = 0),
+        s AS (SELECT CASE WHEN starts_with(error, 'sha256 failed') OR starts_with(error, 'partial hash failed') THEN 'exact' WHEN starts_with(error, 'image hash failed') THEN 'similar_image' WHEN starts_with(error, 'video fingerprint failed') THEN 'similar_video' END AS stage, error FROM e)
+        SELECT stage, count(*) AS errors, min(error) AS sample FROM s WHERE stage IS NOT NULL GROUP BY stage""",
+    "event_throughput": "SELECT event_type, count(*) AS items, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS elapsed_seconds, count(*) / nullif(sum(CAST(floor(value) AS BIGINT)), 0) AS items_per_second FROM events GROUP BY event_type",
+    "scanned_totals": f"WITH {REC} SELECT media_type, count(*) AS files_found, CAST(sum(size) AS BIGINT) AS bytes_scanned FROM rec GROUP BY media_type",
+    "receipts_freed": f"""WITH {RCP}, k AS (SELECT *, row_number() OVER (ORDER BY started_at DESC, id DESC) AS k FROM rcp)
+        SELECT count(*) FILTER (k <= 500) AS kept_count, CAST(coalesce(sum(size) FILTER (k > 500), 0) AS BIGINT) AS freed_bytes FROM k""",
+    "one_group": f"WITH {STATE} SELECT o AS ord, path, doc_id % 3 = 0 AS deleted FROM low",
+    "bulk_in_view": f"""WITH {STATE}, v AS (SELECT DISTINCT group_id FROM mem WHERE contains(lower(path), '/src1/'))
+        SELECT kind, path, is_selected AND NOT coalesce(kind = 'exact' AND group_id IN (SELECT group_id FROM v), FALSE) AS is_selected FROM state""",
+    "allowed_paths": f"WITH {REC} SELECT path, doc_id % 4 = 0 AS allowed FROM rec WHERE doc_id % 2 = 0 UNION ALL SELECT '/other' || path, FALSE FROM rec WHERE doc_id % 5 = 0",
+    "deleted_candidates_undo": f"WITH {STATE} SELECT '/trash' || min(path) AS source, min(path) AS destination, CAST(NULL AS VARCHAR) AS error FROM ppl HAVING count(*) > 0",
+    "code_explanations": f"WITH {CODES} SELECT doc_id, nullif(concat_ws(', ', 'pHash distance ' || CAST(bit_count(xor(phash, dhash)) AS VARCHAR), 'dHash distance ' || CAST(bit_count(xor(dhash, dhash)) AS VARCHAR)), '') AS text FROM fp",
+    "display_formats": f"""WITH {REC} SELECT path, CASE WHEN size >= 3600 THEN printf('%d:%02d:%02d', size // 3600, size // 60 % 60, size % 60) ELSE printf('%d:%02d', size // 60, size % 60) END AS duration,
+        CASE extension WHEN '.jpg' THEN 'image/jpeg' WHEN '.png' THEN 'image/png' WHEN '.gif' THEN 'image/gif' WHEN '.mp4' THEN 'video/mp4' ELSE 'application/octet-stream' END AS mime FROM rec""",
 }
-for _rule in SMART_RULES:
-    if _rule in _rule_order:
-        SQL[f"smart_select_{_rule}"] = f"WITH {EXACT}, k AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY {_rule_order[_rule]}, ord) = 1 AS best FROM mem) SELECT group_id, path, best AS is_keep, NOT best AS is_selected FROM k"
+for _rule in _rule_order:
+    SQL[f"smart_select_{_rule}"] = f"WITH {EXACT}, k AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY {_rule_order[_rule]}, ord) = 1 AS best FROM mem) SELECT group_id, path, best AS is_keep, NOT best AS is_selected FROM k"

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from siftlake import schema as S
 from siftlake.functions.codes import hamming
 from siftlake.functions.paths import in_roots, name
-from siftlake.operators.groups import of_group
+from siftlake.operators.groups import dominant_media_type, of_group
 from siftlake.operators.ranking import folder_numbers, unique_names
 from siftlake.storage import settled
 
@@ -26,16 +26,17 @@ def validated(records: DataFrame, now: DataFrame, roots: tuple[str, ...] = ()) -
     """
     c, r = (lambda x: F.col(f"n.{x}")), (lambda x: F.col(f"r.{x}"))
     pair = records.alias("r").join(now.alias("n"), r("path") == c("path"), "left")
-    drift = F.when(r("mtime_ns").isNotNull() & c("mtime_ns").isNotNull(), r("mtime_ns") != c("mtime_ns")).otherwise(F.abs(r("mtime") - c("mtime")) > 0.001)
+    drift = F.when(r("mtime_ns").isNotNull() & c("mtime_ns").isNotNull(), r("mtime_ns") != c("mtime_ns")).otherwise(F.abs(r("mtime") - c("mtime")) >= 0.001)
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
     error = (
-        F.when(c("path").isNull(), "file no longer exists")
-        .when(c("is_symlink"), "path is now a symbolic link")
-        .when(~c("is_regular"), "path is not a regular file")
-        .when(~in_roots(r("path"), roots), "path is outside the scanned roots")
-        .when(r("size") != c("size"), "file size changed since scan")
-        .when(r("device") != c("device"), "file device changed since scan")
-        .when(r("inode") != c("inode"), "file inode changed since scan")
-        .when(drift, "file modified time changed since scan")
+        F.when(c("path").isNull(), text("[Errno 2] No such file or directory: '", r("path"), "'"))
+        .when(c("is_symlink"), "refusing to act on a symbolic link")
+        .when(~c("is_regular"), "file no longer exists")
+        .when(~in_roots(r("path"), roots), "file is outside the scanned roots")
+        .when(r("size") != c("size"), text("file changed since scan (size ", r("size"), " -> ", c("size"), ")"))
+        .when(r("device") != c("device"), "file changed since scan (device differs)")
+        .when(r("inode") != c("inode"), "file changed since scan (inode differs)")
+        .when(drift, "file changed since scan (modified time differs)")
     )
     return pair.select(r("path").alias("path"), error.alias("error"))
 
@@ -119,8 +120,9 @@ def isolate_plan(members: DataFrame, kinds: tuple[str, ...] = S.KINDS, mark_keep
     """group_id, path, destination of every member of the groups worth a folder: two members, or a review group with one."""
     alone = S.policy(F.col("kind")) == S.INDEPENDENT
     sized = members.where(F.col("kind").isin(*kinds)).withColumn("n", F.count("*").over(of_group())).where(alone | (F.col("n") >= 2))
-    groups = sized.select("group_id", "kind", "group_ord").distinct().withColumn("title", F.col("group_id"))
-    own = F.when(F.col("is_keep"), F.concat(F.lit("KEEP_"), name(F.col("path")))).otherwise(name(F.col("path"))) if mark_keep else name(F.col("path"))
+    first = F.min_by("path", F.struct(~F.col("is_keep"), "ord")).alias("keep")
+    groups = sized.groupBy("group_id", "kind", "group_ord").agg(F.count("*").alias("member_count"), first).join(dominant_media_type(sized), "group_id")
+    own = F.when(F.col("is_keep"), F.concat(F.lit("KEEP__"), name(F.col("path")))).otherwise(name(F.col("path"))) if mark_keep else name(F.col("path"))
     placed = sized.join(folder_numbers(groups).select("group_id", "folder"), "group_id").select("group_id", "path", F.concat(F.lit(folder + "/"), F.col("folder")).alias("folder"), own.alias("name"))
     return unique_names(placed).select("group_id", "path", F.concat_ws("/", "folder", "dest_name").alias("destination"))
 
@@ -158,8 +160,61 @@ def execute_moves(rows: list[tuple[str, str]]) -> list[tuple[str, str, str | Non
     return out
 
 
-def copy_groups(rows: list[tuple[str, str]]) -> None:
-    """Copies files of an isolate plan."""
-    for source, destination in rows:
+def allowed(paths: DataFrame, records: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """path, allowed: whether a path may be shown or revealed, as a scanned file or one of extra (folders of reviews and logs)."""
+    known = records.select("path").distinct().withColumn("known", F.lit(True))
+    more = F.col("path").isin(*extra) if extra else F.lit(False)
+    return paths.select("path").distinct().join(known, "path", "left").select("path", (F.col("known").isNotNull() | more).alias("allowed"))
+
+
+def delete_one(members: DataFrame, path: str) -> DataFrame:
+    """The one-row plan to trash a candidate of a no_humans group; no row if no such group has the path."""
+    mine = members.where((F.col("kind") == S.NO_HUMANS) & (F.col("path") == path)).limit(1)
+    return mine.select("path", "group_id", "size", F.lit("trash").alias("action"), F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"))
+
+
+def undo_one(deleted: DataFrame, now: DataFrame, path: str) -> DataFrame:
+    """source, destination, error of bringing a deleted candidate back. deleted: path, trashed (where it is now); now: path."""
+    there = now.select("path").distinct()
+    mine = deleted.where(F.col("path") == path).select("path", "trashed")
+    known = mine.join(there.withColumn("occupied", F.lit(True)), "path", "left").join(there.select(F.col("path").alias("trashed"), F.lit(True).alias("kept")), "trashed", "left")
+    error = F.when(F.col("trashed").isNull() | F.col("kept").isNull(), "trashed file is missing").when(F.col("occupied"), "original location is occupied")
+    return known.select(F.col("trashed").alias("source"), F.col("path").alias("destination"), error.alias("error"))
+
+
+MODES = ("copy", "hardlink", "symlink", "move")
+
+
+def place(source: str, destination: str, mode: str = "copy") -> str | None:
+    """Puts one file of an isolate plan into its folder; None or what went wrong. A link across devices becomes a copy, a move does not."""
+    if mode not in MODES:
+        raise ValueError(f"unknown mode: {mode}")
+    try:
+        if os.path.islink(source):
+            return "refusing to act on a symbolic link"
         os.makedirs(os.path.dirname(destination), exist_ok=True)
-        shutil.copy2(source, destination)
+        if os.path.lexists(destination):
+            return "destination exists"
+        if mode == "move":
+            os.rename(source, destination)
+        elif mode == "symlink":
+            os.symlink(os.path.realpath(source), destination)
+        else:
+            try:
+                os.link(source, destination) if mode == "hardlink" else shutil.copy2(source, destination)
+            except OSError:
+                if mode != "hardlink":
+                    raise
+                shutil.copy2(source, destination)
+    except OSError as e:
+        return str(e)
+    return None
+
+
+def group_notes(plan: DataFrame, members: DataFrame) -> DataFrame:
+    """folder, note: the JSON that describes each folder of an isolate plan, its files in the order of their group."""
+    own = members.select("group_id", "path", "kind", "ord", "is_keep", "size")
+    one = F.struct("ord", F.col("path").alias("source"), "destination", "is_keep", "size")
+    rows = plan.join(own, ["group_id", "path"]).withColumn("folder", F.regexp_replace("destination", "/[^/]*$", ""))
+    listed = rows.groupBy("folder", "group_id", "kind").agg(F.sort_array(F.collect_list(one)).alias("members"))
+    return listed.select("folder", F.to_json(F.struct(F.col("group_id").alias("id"), "kind", "members")).alias("note"))

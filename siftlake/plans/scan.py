@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,7 @@ class Options:
     random_review: int = 0
     seed: int = 0
     image_threshold: int = 6
+    residual: dict[str, float] = field(default_factory=dict)
     video_threshold: int = 8
     per_root: bool = False
 
@@ -73,26 +75,35 @@ def ordered_groups(members: DataFrame) -> DataFrame:
     return members.join(sums.withColumn("group_ord", rank).select("group_id", "kind", "group_ord"), ["group_id", "kind"])
 
 
-def scan(records: DataFrame, options: Options | None = None, decisions: DataFrame | None = None) -> DataFrame:
-    """The members table of all groups that the options ask for, with group_ord."""
-    o, parts = options or Options(), []
+def scan(records: DataFrame, options: Options | None = None, decisions: DataFrame | None = None, publish: Callable[[str, DataFrame], None] | None = None) -> DataFrame:
+    """The members table of all groups that the options ask for, with group_ord.
+
+    publish is called with each kind and its members as soon as they are found, the exact ones first: similar groups that lie
+    within exact ones are known only then.
+    """
+    o, parts, tell = options or Options(), [], publish or (lambda kind, found: None)
     exact = G.build_groups(G.exact_members(records, "root" if o.per_root else None), S.EXACT) if o.exact else None
     if exact is not None:
         exact = settled(exact, "exact")
         parts.append(exact)
-    for wanted, found in ((o.similar_images, lambda: similar_image_members(records, o.image_threshold, o.per_root)), (o.similar_videos, lambda: similar_video_members(records, o.video_threshold))):
+        tell(S.EXACT, exact)
+    for wanted, found in ((o.similar_images, lambda: similar_image_members(records, o.image_threshold, o.per_root, **o.residual)), (o.similar_videos, lambda: similar_video_members(records, o.video_threshold))):
         if wanted:
             built = settled(G.build_groups(found(), S.SIMILAR, F.col("path").desc()), "similar")
             parts.append(built.join(contained_groups(built, exact), "group_id", "left_anti") if exact is not None else built)
+            tell(S.SIMILAR, parts[-1])
     count = S.pixels(F.col("width"), F.col("height"))
     if o.no_humans:
         stamp = S.mtime_stamp(F.col("mtime_ns"), F.col("mtime"))
         parts.append(G.independent_group(records, S.NO_HUMANS, G.trusted_no_person(), [stamp.desc(), F.col("path")]))
+        tell(S.NO_HUMANS, parts[-1])
     if o.low_resolution:
         pool = G.without_kept(records, decisions) if decisions is not None else records
         parts.append(G.independent_group(pool, S.LOW_RESOLUTION, G.low_resolution(o.low_resolution), [count, F.col("path")]))
+        tell(S.LOW_RESOLUTION, parts[-1])
     if o.random_review:
         parts.append(G.independent_group(G.random_review(records, o.random_review, o.seed), S.RANDOM_REVIEW, F.lit(True), [F.col("path")]))
+        tell(S.RANDOM_REVIEW, parts[-1])
     if not parts:
         raise ValueError("the options ask for nothing")
     out = parts[0]

@@ -23,6 +23,7 @@ from siftlake.operators.cluster import cluster_reviewed, walk_rank
 from siftlake.plans import actions as T
 from siftlake.plans import scan as SC
 from siftlake.sources.inventory import ALWAYS_EXCLUDED, collapse_links
+from siftlake.sources.stores import list_receipts
 from siftlake.storage import settled
 from siftlake.streaming.incremental import events_once
 
@@ -53,20 +54,20 @@ def reviewed_state(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def near_dup_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """Keeper-centred clusters of near-identical images: banded Hamming join, residuals, clustering."""
-    rows = SC.similar_image_members(A.records(spark, sf))
+    rows = SC.similar_image_members(A.records(spark, sf, langs=A.PICTURES))
     built = G.build_groups(rows, S.SIMILAR, F.col("path").desc())
     return built.select("group_id", "path", "is_keep", F.col("size").cast("bigint").alias("size"))
 
 
 @query
 def near_dup_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return J.hamming_join(A.document_codes(spark, sf).withColumnRenamed("phash", "code"), 6)
+    return J.hamming_join(A.document_codes(spark, sf, (0,)).withColumnRenamed("phash", "code"), 6)
 
 
 @query
 def near_dup_classes(spark: SparkSession, sf: str) -> DataFrame:
     """Membership of the codes that near_dup_edges pairs."""
-    return A.document_codes(spark, sf).where("phash IS NOT NULL").select("doc_id", F.col("phash").alias("code"), to_hex(F.col("phash")).alias("hex"))
+    return A.document_codes(spark, sf, (0,)).where("phash IS NOT NULL").select("doc_id", F.col("phash").alias("code"), to_hex(F.col("phash")).alias("hex"))
 
 
 @query
@@ -79,23 +80,48 @@ def near_dup_edges_verified(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.join(side("a"), "class_a").join(side("b"), "class_b").select(F.least("a", "b").alias("path_a"), F.greatest("a", "b").alias("path_b"))
 
 
+#: Wider bounds, at which the documents of the plain tables have clusters that are not exact groups.
+WIDE = {"dhash_most": 30, "tile_most": 40, "tile_mean": 32.0, "aspect_most": 1e6}
+
+
 @query
 def near_dup_not_exact_subset(spark: SparkSession, sf: str) -> DataFrame:
     """Similar clusters that no exact group holds wholly."""
-    found = SC.scan(A.records(spark, sf))
+    found = SC.scan(A.records(spark, sf, langs=A.PICTURES), SC.Options(image_threshold=12, residual=WIDE))
     return found.where("kind = 'similar'").groupBy("group_id").agg(F.count("*").alias("member_count"))
 
 
 @query
 def per_root_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    rows = SC.similar_image_members(A.records(spark, sf), per_root=True)
+    rows = SC.similar_image_members(A.records(spark, sf, langs=A.PICTURES), 12, per_root=True, **WIDE)
     return G.build_groups(rows, S.SIMILAR, F.col("path").desc()).select("root", "group_id", "path", "is_keep")
 
 
+@query
+def scan_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups and members by kind of a scan for exact, low-resolution, person-free and random files, as they are published."""
+    told: list[DataFrame] = []
+    bounds = {"image": 2000, "gif": 2000, "video": 2000}
+    SC.scan(A.base_records(spark, sf), SC.Options(similar_images=False, no_humans=True, low_resolution=bounds, random_review=25, seed=3), publish=lambda kind, found: told.append(found.groupBy(F.lit(kind).alias("kind")).agg(F.count_distinct("group_id").alias("groups"), F.count("*").alias("members"))))
+    out = told[0]
+    for t in told[1:]:
+        out = out.union(t)
+    return out
+
+
+@query
+def similar_video_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters of conversations as videos: near sizes, near codes of their turns."""
+    c = A.conversation_sequences(spark, sf)
+    none = F.lit(None)
+    rows = c.select(F.concat(F.lit("/c/"), F.lpad(F.col("id").cast("string"), 8, "0")).alias("path"), F.lit(S.VIDEO).alias("media_type"), "duration", "frames", F.col("duration").cast("bigint").alias("size"), none.cast("int").alias("width"), none.cast("int").alias("height"), F.lit(1.0).alias("mtime"), none.cast("bigint").alias("mtime_ns"))
+    return G.build_groups(SC.similar_video_members(rows, 22), S.SIMILAR, F.col("path").desc()).select("group_id", "path", "is_keep")
+
+
 @query
 def near_dup_reviewed_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Clusters of documents by code alone, where pairs of one language and different sources were reviewed as distinct."""
-    codes = A.document_codes(spark, sf).where("phash IS NOT NULL").join(A.base_records(spark, sf).select("doc_id", "path", "root", "width", "height", "size", "mtime", "mtime_ns", "extension"), "doc_id")
+    codes = A.document_codes(spark, sf, (0,)).where("phash IS NOT NULL").join(A.base_records(spark, sf).select("doc_id", "path", "root", "width", "height", "size", "mtime", "mtime_ns", "extension"), "doc_id")
     heads = codes.groupBy("phash").agg(F.max(walk_rank()).alias("rank"))
     nodes = settled(heads.select(to_hex(F.col("phash")).alias("node"), "rank", "phash", F.col("rank.path").alias("path")), "heads")
     pairs = settled(J.hamming_join(nodes.withColumnRenamed("phash", "code"), 6), "pairs")
@@ -135,16 +161,15 @@ def partial_hash_buckets(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def exact_rows_lineitem(spark: SparkSession, sf: str) -> DataFrame:
-    """Order lines that stand twice or more with all their columns but the line number."""
-    rows = A.table(spark, sf, "lineitem")
-    keys = [c for c in rows.columns if c != "l_linenumber"]
-    return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select("l_orderkey", "l_partkey", "l_suppkey", "n")
+    """Order lines that agree in part, quantity, tax and discount."""
+    keys = ["l_partkey", "l_quantity", "l_tax", "l_discount"]
+    return A.table(spark, sf, "lineitem").groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
 @query
 def order_line_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """Keys of order lines that are not unique."""
-    return A.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
+    """Orders and parts with several lines."""
+    return A.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.count("*").alias("n")).where("n > 1")
 
 
 @query
@@ -181,7 +206,7 @@ def sample_timestamps(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def tagged_codes(spark: SparkSession, sf: str) -> DataFrame:
     """Regional codes as tagged text and back."""
-    c = A.document_codes(spark, sf).where("tiles IS NOT NULL").withColumn("text", tagged(F.col("tiles"), S.TILE_TAG))
+    c = A.document_codes(spark, sf, tuple(range(2, 7))).where("tiles IS NOT NULL").withColumn("text", tagged(F.col("tiles"), S.TILE_TAG))
     back = untagged(F.col("text"), S.TILE_TAG)
     return c.select("doc_id", "text", (back == F.col("tiles")).alias("same"), untagged(F.col("text"), S.FRAME_TAG).isNull().alias("other_tag_is_null"))
 
@@ -326,7 +351,7 @@ def bulk_smaller_than_keeper(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def near_dup_state(spark: SparkSession, sf: str) -> DataFrame:
-    return SC.ordered_groups(G.build_groups(SC.similar_image_members(A.records(spark, sf)), S.SIMILAR, F.col("path").desc()))
+    return SC.ordered_groups(G.build_groups(SC.similar_image_members(A.records(spark, sf, langs=A.PICTURES)), S.SIMILAR, F.col("path").desc()))
 
 
 @query
@@ -355,7 +380,7 @@ def scan_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stage_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
-    return SC.scan_diagnostics(A.records(spark, sf))
+    return SC.scan_diagnostics(A.records(spark, sf, (0,)))
 
 
 @query
@@ -371,10 +396,10 @@ def group_media_types(spark: SparkSession, sf: str) -> DataFrame:
 
 def cached(spark: SparkSession, sf: str) -> DataFrame:
     """What a cache holds: some rows under older paths, of older times, or of an older version."""
-    r, d = A.records(spark, sf), F.col("doc_id")
+    r, d = A.base_records(spark, sf), F.col("doc_id")
     return r.select(
         F.when(d % 9 == 0, F.concat(F.lit("/old"), F.col("path"))).otherwise(F.col("path")).alias("path"), "size", F.when(d % 6 == 0, F.col("mtime") + 5).otherwise(F.col("mtime")).alias("mtime"),
-        F.when(d % 6 == 0, F.col("mtime_ns") + 1).otherwise(F.col("mtime_ns")).alias("mtime_ns"), "media_type", "device", (d * 10).alias("inode"), F.sha1("sha256").alias("sha256"), "phash",
+        F.when(d % 6 == 0, F.col("mtime_ns") + 1).otherwise(F.col("mtime_ns")).alias("mtime_ns"), "media_type", "device", (d * 10).alias("inode"), F.sha1("sha256").alias("sha256"),
         F.when(d % 8 == 0, "v1").otherwise("v2").alias("algorithm_version"), F.when(d % 4 != 0, F.lit(9)).cast("int").alias("face_count"),
     )
 
@@ -403,7 +428,7 @@ def cache_upsert(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def cacheable_rows(spark: SparkSession, sf: str) -> DataFrame:
-    r = A.records(spark, sf).withColumns({"sha256": F.lit(None).cast("string"), "partial_hash": F.lit(None).cast("string"), "face_detection_signature": F.lit(None).cast("string")})
+    r = A.records(spark, sf, (0, 1)).withColumns({"sha256": F.lit(None).cast("string"), "partial_hash": F.lit(None).cast("string"), "face_detection_signature": F.lit(None).cast("string")})
     return r.select("path", F.coalesce(C.cacheable(), F.lit(False)).alias("cacheable"), C.needs_codes().alias("needs_codes"))
 
 
@@ -483,7 +508,7 @@ def prune_reasons(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def receipts_list(spark: SparkSession, sf: str) -> DataFrame:
-    return A.receipts(spark, sf).where("NOT dry_run").orderBy(F.col("started_at").desc(), F.col("id").desc()).limit(25).select("id", "action")
+    return list_receipts(A.receipts(spark, sf), previews=False, limit=25).select("id", "action")
 
 
 @query
@@ -507,9 +532,11 @@ def lru_budget_prune(spark: SparkSession, sf: str) -> DataFrame:
     return K.over_budget(files, 20_000_000).select("path")
 
 
-def present(spark: SparkSession, sf: str) -> DataFrame:
+def present(spark: SparkSession, sf: str, codes: DataFrame | None = None) -> DataFrame:
     """What an inventory sees after some files were removed, linked, grown, moved to another inode or touched."""
-    r, d = A.records(spark, sf).withColumn("inode", F.col("doc_id") * 10), F.col("doc_id")
+    base = A.base_records(spark, sf)
+    known = base.join(codes, "doc_id", "left") if codes is not None else base.withColumn("phash", F.lit(None).cast("bigint"))
+    r, d = known.withColumn("inode", F.col("doc_id") * 10), F.col("doc_id")
     return r.where(~F.col("error").eqNullSafe(F.lit("image hash: fault 1"))).select(
         "path", (F.col("size") + F.when(d % 19 == 0, 1).otherwise(0)).alias("size"), (F.col("mtime") + F.when(d % 23 == 0, 9).otherwise(0)).alias("mtime"), (F.col("mtime_ns") + F.when(d % 23 == 0, 9).otherwise(0)).alias("mtime_ns"),
         "device", (F.col("inode") + F.when(d % 29 == 0, 1).otherwise(0)).alias("inode"), (d % 31 == 0).alias("is_symlink"), (d % 37 != 0).alias("is_regular"),
@@ -523,10 +550,11 @@ def validate_identity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def planned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = A.records(spark, sf).withColumns({"inode": F.col("doc_id") * 10, "frames": F.lit(None).cast("array<bigint>")})
+    codes = settled(A.document_codes(spark, sf, (0,)).select("doc_id", "phash"), "codes")
+    rows = A.base_records(spark, sf).join(codes, "doc_id", "left").withColumns({"inode": F.col("doc_id") * 10, "frames": F.lit(None).cast("array<bigint>")})
     members = settled(SC.ordered_groups(G.build_groups(G.exact_members(rows), S.EXACT)), "members")
     selected = settled(X.effective_selection(members), "selected")
-    return members, selected, settled(T.preflight(members, selected, settled(present(spark, sf), "present")), "errors")
+    return members, selected, settled(T.preflight(members, selected, settled(present(spark, sf, codes), "present")), "errors")
 
 
 @query
@@ -577,7 +605,7 @@ def preview_verdicts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def code_distances(spark: SparkSession, sf: str) -> DataFrame:
-    c = A.document_codes(spark, sf)
+    c = A.document_codes(spark, sf, (0, 1))
     return c.select("doc_id", hamming(F.col("phash"), F.col("dhash")).cast("bigint").alias("distance"))
 
 
@@ -586,3 +614,67 @@ def events_once_per_user(spark: SparkSession, sf: str) -> DataFrame:
     """Extension: the users, types and days of events, each once."""
     e = A.table(spark, sf, "events").withColumn("day", F.to_date("ts"))
     return events_once(e.select("user_id", "event_type", "day"), ["user_id", "event_type", "day"])
+
+
+@query
+def errors_by_stage(spark: SparkSession, sf: str) -> DataFrame:
+    heads = F.array(*map(F.lit, ("sha256 failed: a", "partial hash failed: b", "image hash failed: c", "video fingerprint failed: d", "image hash: e")))
+    return E.errors_by_stage(A.base_records(spark, sf).withColumn("error", F.when(F.col("doc_id") % 3 == 0, F.element_at(heads, (F.col("doc_id") % 5 + 1).cast("int")))))
+
+
+@query
+def event_throughput(spark: SparkSession, sf: str) -> DataFrame:
+    return E.throughput(A.table(spark, sf, "events"), F.floor("value").cast("bigint"), "event_type")
+
+
+@query
+def scanned_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return E.scanned_totals(A.base_records(spark, sf))
+
+
+@query
+def receipts_freed(spark: SparkSession, sf: str) -> DataFrame:
+    rows = A.receipts(spark, sf)
+    return K.pruned(rows, K.receipts_to_prune(rows, F.to_timestamp(F.lit("2024-01-31 00:00:00")), keep=500))
+
+
+@query
+def one_group(spark: SparkSession, sf: str) -> DataFrame:
+    """The members of the review group, of which some were deleted."""
+    state = reviewed_state(spark, sf).where(F.col("kind") == S.LOW_RESOLUTION).withColumn("group_id", F.lit("low"))
+    return L.one_group(state, "low", A.base_records(spark, sf).where("doc_id % 3 = 0")).select("ord", "path", "deleted")
+
+
+@query
+def bulk_in_view(spark: SparkSession, sf: str) -> DataFrame:
+    """Selections after emptying the duplicate groups that a search shows."""
+    state = settled(reviewed_state(spark, sf), "state")
+    view = L.listed(L.group_states(state), state, search="/src1/", scope="duplicates")
+    return X.bulk_in_view(state, view, "select_none").select("kind", "path", "is_selected")
+
+
+@query
+def allowed_paths(spark: SparkSession, sf: str) -> DataFrame:
+    r = A.base_records(spark, sf)
+    asked = r.where("doc_id % 2 = 0").select("path").union(r.where("doc_id % 5 = 0").select(F.concat(F.lit("/other"), F.col("path"))))
+    return T.allowed(asked, r.where("doc_id % 4 = 0"), ("/src1",))
+
+
+@query
+def deleted_candidates_undo(spark: SparkSession, sf: str) -> DataFrame:
+    """Bringing one deleted candidate back: the person-free file of the least path."""
+    people = settled(reviewed_state(spark, sf).where(F.col("kind") == S.NO_HUMANS), "people")
+    path = people.agg(F.min("path")).head()[0] or ""
+    deleted = T.delete_one(people, path).select("path", F.concat(F.lit("/trash"), F.col("path")).alias("trashed"))
+    return T.undo_one(deleted, deleted.select(F.col("trashed").alias("path")), path)
+
+
+@query
+def code_explanations(spark: SparkSession, sf: str) -> DataFrame:
+    c = A.document_codes(spark, sf, (0, 1))
+    return c.select("doc_id", R.explanation(F.col("phash"), F.col("dhash"), F.col("dhash"), F.col("dhash")).alias("text"))
+
+
+@query
+def display_formats(spark: SparkSession, sf: str) -> DataFrame:
+    return A.base_records(spark, sf).select("path", R.duration_text(F.col("size") * 1.0).alias("duration"), R.mime_type(F.col("extension")).alias("mime"))

@@ -13,9 +13,9 @@ SMART_RULES = ("automatic", "newest", "oldest", "largest", "smallest", "shortest
 KIND_SCOPES = {"duplicates": (EXACT, SIMILAR), "review_suggestions": (LOW_RESOLUTION, RANDOM_REVIEW), "all": KINDS}
 
 # Extensions by medium, and names that an inventory leaves out.
-IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".webp", ".bmp", ".tif", ".tiff", ".heic", ".heif", ".avif", ".jfif", ".jpe", ".jp2", ".ico")
+IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".heic", ".heif", ".webp", ".tif", ".tiff", ".bmp", ".raw", ".cr2", ".nef", ".arw", ".dng")
 GIF_EXTENSIONS = (".gif",)
-VIDEO_EXTENSIONS = (".mp4", ".mov", ".m4v", ".avi", ".mkv", ".webm", ".wmv", ".flv", ".mpg", ".mpeg", ".3gp")
+VIDEO_EXTENSIONS = (".mp4", ".mov", ".m4v", ".avi", ".mkv", ".webm", ".mts", ".m2ts", ".wmv", ".flv", ".3gp")
 
 # Versions of stored decisions.
 HUMAN_VERSION, FACE_VERSION, TILE_TAG, FRAME_TAG = "human-presence-v3-direct-seek", "face-count-v1", "t2", "v3"

@@ -54,6 +54,19 @@ def walk(root: str, follow_symlinks: bool = False) -> Iterator[tuple]:
         stack += [e.path for e in entries if e.is_dir() and (not e.is_symlink() or follow_symlinks)]
 
 
+def checked_roots(roots: list[str]) -> tuple[list[str], list[str]]:
+    """The roots that can be scanned, each once, and an error for each of the others: missing, or in a photo library."""
+    good, errors = [], []
+    for r in dict.fromkeys(os.path.realpath(os.path.expanduser(r)) for r in roots):
+        if not os.path.exists(r):
+            errors.append(f"scan root does not exist: {r}")
+        elif any(p.lower().endswith(".photoslibrary") for p in r.split("/")):
+            errors.append(f"Photos libraries cannot be scanned directly; export media from Photos.app to a normal folder first: {r}")
+        else:
+            good.append(r)
+    return good, errors
+
+
 def listing(spark: SparkSession, roots: list[str], follow_symlinks: bool = False) -> DataFrame:
     """LISTED rows of all roots, a task for each: for folders that every executor mounts. Missing roots give nothing."""
     own = list(dict.fromkeys(os.path.abspath(r) for r in roots))

@@ -5,7 +5,10 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import datetime, timezone
+from typing import TextIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,14 +19,24 @@ from siftlake.functions.paths import name, stem
 MOST_DECISION_BYTES, MOST_SESSION_BYTES = 16 << 20, 64 << 20
 
 
-def write_json(path: str, value: object) -> None:
-    """Replaces a file at once, readable by its owner only."""
+@contextmanager
+def replaced(path: str) -> Iterator[TextIO]:
+    """A file to write that takes the place of another at once, readable by its owner only; after an error nothing has changed."""
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     handle, temporary = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)))
-    with os.fdopen(handle, "w") as f:
+    try:
+        with os.fdopen(handle, "w") as f:
+            yield f
+        os.chmod(temporary, 0o600)
+        os.replace(temporary, path)
+    except BaseException:
+        os.unlink(temporary)
+        raise
+
+
+def write_json(path: str, value: object) -> None:
+    with replaced(path) as f:
         json.dump(value, f, ensure_ascii=False)
-    os.chmod(temporary, 0o600)
-    os.replace(temporary, path)
 
 
 def _read(path: str, most: int) -> object:
@@ -44,9 +57,14 @@ def load_decisions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_decisions(decisions: DataFrame, path: str) -> None:
-    """Stores the decisions of one reviewer: at most what the file may hold."""
-    rows = decisions.limit(MOST_DECISION_BYTES // 64).collect()
-    write_json(path, {"version": 1, "decisions": {r["path"]: {"size": r["size"], "mtime_ns": r["mtime_ns"], "decided_at": r["decided_at"]} for r in rows}})
+    """Stores all decisions of one reviewer, streamed to the file. What load_decisions would not read again is refused."""
+    with replaced(path) as f:
+        f.write('{"version": 1, "decisions": {')
+        for k, r in enumerate(decisions.toLocalIterator()):
+            f.write(", " * (k > 0) + json.dumps(r["path"], ensure_ascii=False) + ": " + json.dumps({"size": r["size"], "mtime_ns": r["mtime_ns"], "decided_at": r["decided_at"]}))
+            if f.tell() > MOST_DECISION_BYTES:
+                raise ValueError(f"more decisions than a file of {MOST_DECISION_BYTES} bytes holds")
+        f.write("}}")
 
 
 def merged_decisions(old: DataFrame, kept: DataFrame, cleared: DataFrame) -> DataFrame:
@@ -102,7 +120,7 @@ def list_receipts(receipts: DataFrame, previews: bool = True, actions: tuple[str
     out = receipts if previews else receipts.where("NOT dry_run")
     out = out.where(F.col("action").isin(*actions)) if actions else out
     out = out.where(F.coalesce(undo, F.lit(False))) if undoable_only else out
-    out = out.orderBy(F.coalesce("started_at", "id").desc(), F.col("id").desc())
+    out = out.orderBy(F.coalesce(F.col("started_at").cast("string"), "id").desc(), F.col("id").desc())
     return out.limit(limit) if limit else out
 
 
@@ -120,3 +138,29 @@ def load_manifest(spark: SparkSession, path: str, kind: str) -> DataFrame:
         if not isinstance(r.get(label), bool) or not all(isinstance(r.get(p), str) and r[p] for p in paths):
             raise ValueError(f"an entry needs {', '.join(paths)} and a true or false {label}: {r}")
     return spark.createDataFrame([(*(whole(r[p]) for p in paths), r[label]) for r in rows], ", ".join(f"{p} string" for p in paths) + f", {label} boolean")
+
+
+def save_result(path: str, roots: list[str], records: DataFrame, members: DataFrame, errors: list[str] = []) -> None:
+    """A scan's result as one JSON file: roots, files, groups with their members, counts and errors; rows are streamed to it."""
+    members_of = F.sort_array(F.collect_list(F.struct("ord", "path", "size", "is_keep", "is_selected", "is_reviewed")))
+    groups = members.groupBy("group_ord", "group_id", "kind").agg(members_of.alias("members")).orderBy("group_ord")
+    files, found = 0, 0
+    with replaced(path) as f:
+        f.write(f'{{"version": 1, "roots": {json.dumps(roots)}, "errors": {json.dumps(errors)}, "files": [')
+        for files, r in enumerate(records.select(F.to_json(F.struct("*"))).toLocalIterator(), 1):
+            f.write(",\n" * (files > 1) + r[0])
+        f.write('], "groups": [')
+        for found, r in enumerate(groups.select(F.to_json(F.struct(F.col("group_id").alias("id"), "kind", "members"))).toLocalIterator(), 1):
+            f.write(",\n" * (found > 1) + r[0])
+        f.write(f'], "file_count": {files}, "group_count": {found}}}')
+
+
+def load_result(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """records and members (group_id, kind, group_ord, ord, path, flags and record columns) of a stored result."""
+    member = "struct<ord: bigint, path: string, size: bigint, is_keep: boolean, is_selected: boolean, is_reviewed: boolean>"
+    shape = f"files array<struct<{', '.join(c.replace(' ', ': ', 1) for c in S.RECORD.split(', '))}>>, groups array<struct<id: string, kind: string, members: array<{member}>>>"
+    whole = spark.read.schema(shape).option("multiLine", True).json(path)
+    records = whole.select(F.explode("files").alias("r")).select("r.*")
+    groups = whole.select(F.posexplode("groups").alias("k", "g")).select((F.col("k") + 1).cast("bigint").alias("group_ord"), F.col("g.id").alias("group_id"), "g.kind", F.explode("g.members").alias("m"))
+    flat = groups.select("group_id", "kind", "group_ord", "m.*").withColumn("sel_ord", F.col("ord"))
+    return records, flat.join(records.drop("size"), "path")
