@@ -12,6 +12,8 @@ from dataclasses import dataclass
 import numpy as np
 
 TOLERANCE = 1e-3
+#: Places whose transitions are summed at once.
+PLACES = 1 << 18
 
 
 def _soft(log_a: float, log_b: float, x: np.ndarray) -> np.ndarray:
@@ -74,13 +76,17 @@ class Chain:
 
     def pair_sums(self, e: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Expected numbers of the transitions 00, 01, 10, 11."""
-        a, c = self.forward(e, first), self.backward(e, first)
-        t = np.flatnonzero(~first)
-        a, c = a[t - 1], c[t]
-        scores = np.stack([np.full(len(t), self.t00, np.float32), self.t01 + c, self.t10 + a, self.t11 + a + c])
-        scores -= scores.max(axis=0)
-        p = np.exp(scores)
-        return (p / p.sum(axis=0)).sum(axis=1).astype(np.float64)
+        ahead, back = self.forward(e, first), self.backward(e, first)
+        out = np.zeros(4)
+        for k in range(1, len(e), PLACES):
+            here = slice(k, min(k + PLACES, len(e)))
+            t = ~first[here]
+            a, c = ahead[here.start - 1 : here.stop - 1][t], back[here][t]
+            scores = np.stack([np.full(len(a), self.t00, np.float32), self.t01 + c, self.t10 + a, self.t11 + a + c])
+            scores -= scores.max(axis=0)
+            p = np.exp(scores)
+            out += (p / p.sum(axis=0)).sum(axis=1)
+        return out
 
 
 def fit(features: np.ndarray, width: int, labels: np.ndarray, first: np.ndarray, epochs: int = 12, rate: float = 0.5, penalty: float = 1e-6) -> tuple[np.ndarray, Chain]:
@@ -97,7 +103,9 @@ def fit(features: np.ndarray, width: int, labels: np.ndarray, first: np.ndarray,
     seen = np.bincount(labels[follow - 1].astype(int) * 2 + labels[follow], minlength=4).astype(np.float64)
     n = max(1, int(y.sum()))
     for _ in range(epochs):
-        e = weight[features].sum(axis=1) + np.float32(bias)
+        e = np.full(len(features), bias, np.float32)
+        for k in range(features.shape[1]):
+            e += weight[features[:, k]]
         p = 1 / (1 + np.exp(-chain.marginals(e, first)))
         gap = (y - p) / n
         grad = -penalty * weight

@@ -207,27 +207,39 @@ def field_of(texts: list[bytes], toxic: np.ndarray, epochs: int) -> Tagger:
     empty = Tagger(np.zeros((1 << TABLE_BITS) + 1, np.float32), Chain(), np.zeros(0))
     if not toxic.any() or toxic.all():
         return empty
-    sizes, parts = [], []
-    for some in runs(texts):
-        raw = lower_case(np.frombuffer(b"".join(some), np.uint8))
-        starts, stops, before = tokens(raw, np.concatenate([[0], np.cumsum([len(t) for t in some])]))
-        sizes.append(np.diff(before))
-        parts.append(features(raw, starts, stops))
-    before = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-    hashes = [np.concatenate([p[:, k] for p in parts]) for k in range(1 + len(PREFIXES))]
-    del parts
+
+    def tokenised() -> Iterator[tuple[np.ndarray, ...]]:
+        for some in runs(texts, 1 << 19):
+            raw = lower_case(np.frombuffer(b"".join(some), np.uint8))
+            yield raw, *tokens(raw, np.concatenate([[0], np.cumsum([len(t) for t in some])]))
+
+    before = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b) for _, _, _, b in tokenised()]))])
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(before))
     evidence = np.zeros(len(owner), bool)
     n_toxic, n_clean = toxic.sum(), (~toxic).sum()
-    columns = np.empty((len(owner), len(hashes)), np.int32)
-    for k in range(len(hashes)):
-        columns[:, k] = slots(hashes[k])
-        kinds, ids = np.unique(hashes[k], return_inverse=True)
-        hashes[k] = None
-        pairs = np.unique(ids.astype(np.int64) * len(texts) + owner)
+    columns = np.empty((len(owner), 1 + len(PREFIXES)), np.int32)
+    for k in range(columns.shape[1]):  # one kind of feature at a time: the driver's memory holds no more
+        hashes = np.empty(len(owner), U64)
+        place = 0
+        for raw, starts, stops, _ in tokenised():
+            hashes[place : place + len(starts)] = features(raw, starts, stops)[:, k]
+            place += len(starts)
+        columns[:, k] = slots(hashes)
+        kinds, ids = np.unique(hashes, return_inverse=True)
+        del hashes
+        ids = ids.astype(np.int32)
+        pairs = ids.astype(np.int64)
+        pairs *= len(texts)
+        pairs += owner
+        pairs.sort()
+        new = np.ones(len(pairs), bool)
+        np.not_equal(pairs[1:], pairs[:-1], out=new[1:])
+        pairs = pairs[new]
         bad = toxic[pairs % len(texts)]
-        yes = np.bincount(pairs[bad] // len(texts), minlength=len(kinds))
-        no = np.bincount(pairs[~bad] // len(texts), minlength=len(kinds))
+        pairs //= len(texts)
+        yes = np.bincount(pairs[bad], minlength=len(kinds))
+        no = np.bincount(pairs[~bad], minlength=len(kinds))
+        del pairs, bad, new
         strong = (yes >= 3) & ((yes + 0.1) / n_toxic > 20 * (no + 0.1) / n_clean) & (kinds != 0)
         strong &= beyond_chance(surprise(yes, no, n_toxic / (n_toxic + n_clean)))
         evidence |= strong[ids]
@@ -236,8 +248,9 @@ def field_of(texts: list[bytes], toxic: np.ndarray, epochs: int) -> Tagger:
     use = (has | ~toxic)[owner]
     if not labels.any():
         return empty
-    first = is_first(before, len(owner))
-    weight, chain = fit(columns[use], 1 << TABLE_BITS, labels[use].astype(np.int8), first[use], epochs)
+    first, columns, labels = is_first(before, len(owner))[use], columns[use], labels[use].astype(np.int8)
+    del owner, ids, evidence, use
+    weight, chain = fit(columns, 1 << TABLE_BITS, labels, first, epochs)
     return Tagger(weight, chain, np.array([1.0, 0.0, 0.0]))
 
 
