@@ -20,6 +20,7 @@ from siftlake.plans import actions as T
 from siftlake.plans import scan as SC
 from siftlake.shipping import ship
 from siftlake.sources import inventory, stores
+from siftlake.storage import settled
 
 
 def session() -> SparkSession:
@@ -29,13 +30,9 @@ def session() -> SparkSession:
 
 
 def file_records(spark: SparkSession, roots: list[str], hidden: bool, exclusions: tuple[str, ...]) -> DataFrame:
-    """Records of folders with the hashes of their contents; codes of pictures need a decoder plug-in."""
-    listed = inventory.records(inventory.listing(spark, roots), include_hidden=hidden, exclusions=exclusions)
-    hashes = None
-    for r in roots:
-        one = inventory.binary_files(spark, r).select("path", "sha256", "partial_hash")
-        hashes = one if hashes is None else hashes.union(one)
-    known = listed.join(hashes.dropDuplicates(["path"]), "path", "left")
+    """Records of folders, with hashes where a size occurs again; codes of pictures need a decoder plug-in."""
+    listed = inventory.records(inventory.listing(spark, roots, include_hidden=hidden, exclusions=exclusions), include_hidden=hidden, exclusions=exclusions)
+    known = inventory.with_hashes(settled(listed, "listed"))
     missing = {name: kind for name, kind in (c.strip().split(" ", 1) for c in S.RECORD.split(", ")) if name not in known.columns}
     return known.withColumns({name: F.lit(None).cast(kind) for name, kind in missing.items()})
 

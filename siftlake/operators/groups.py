@@ -6,6 +6,10 @@ columns, is_keep, is_selected, is_reviewed, sel_ord (place among the selected).
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +17,7 @@ from pyspark.sql import functions as F
 from siftlake import schema as S
 from siftlake.functions.paths import depth
 from siftlake.functions.report import signature_version
+from siftlake.operators import places
 from siftlake.operators.cluster import keep_rank
 from siftlake.storage import settled
 
@@ -61,11 +66,21 @@ def build_groups(members: DataFrame, kind: str, first: Column | None = None) ->
 
 
 def independent_group(records: DataFrame, kind: str, wanted: Column, order: list[Column]) -> DataFrame:
-    """The one group of a review kind: the records that are wanted, in order, none selected and no keeper."""
-    chosen = records.where(wanted).dropDuplicates(["path"])
-    paths = chosen.agg(F.array_sort(F.collect_list("path")).alias("p"))
-    key = paths.select(F.substring(F.sha1(F.concat_ws("|", F.lit(kind), "p")), 1, 12).alias("group_id"))
-    numbered = chosen.withColumn("ord", F.row_number().over(W.orderBy(*order)).cast("bigint"))
+    """The one group of a review kind: the records that are wanted, in order, none selected and no keeper.
+
+    Its identifier is that of group_ids, from the sorted paths one after the other: one task reads them, and holds a batch.
+    """
+    chosen = settled(records.where(wanted).dropDuplicates(["path"]), "chosen")
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = hashlib.sha1(kind.encode(), usedforsecurity=False)
+        for batch in batches:
+            for p in batch.column("path").to_pylist():
+                h.update(b"|" + p.encode())
+        yield pa.RecordBatch.from_arrays([pa.array([h.hexdigest()[:12]])], names=["group_id"])
+
+    key = chosen.select("path").orderBy("path").coalesce(1).mapInArrow(digest, "group_id string")
+    numbered = places.numbered(chosen, order)
     flags = {"kind": F.lit(kind), "is_keep": F.lit(False), "is_selected": F.lit(False), "is_reviewed": F.lit(False), "sel_ord": F.col("ord")}
     return numbered.crossJoin(F.broadcast(key)).withColumns(flags)
 

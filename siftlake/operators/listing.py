@@ -10,6 +10,7 @@ from siftlake import schema as S
 from siftlake.functions.paths import path_matches
 from siftlake.functions.report import MIB
 from siftlake.operators.groups import reclaimable
+from siftlake.operators.places import ranged
 
 SORTS = ("reclaimable", "members", "newest", "media")
 
@@ -62,12 +63,24 @@ def page(states: DataFrame, sort: str = "reclaimable", offset: int = 0, limit: i
 
 
 def neighbours(states: DataFrame, sort: str = "reclaimable") -> DataFrame:
-    """group_id, previous and next in the view, and the next that needs attention (going round)."""
-    order = W.orderBy(*order_of(sort))
+    """group_id, previous and next in the view, and the next that needs attention (going round).
+
+    Each shard of the order finds its own; what lies beyond its ends is one row a shard.
+    """
+    rows = ranged(states, order_of(sort), "__pos")
+    own, line = W.partitionBy("__shard").orderBy("__pos"), W.orderBy("__shard")
     todo = F.when(F.col("needs_attention"), F.col("group_id"))
-    later = F.first(todo, ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing))
-    earliest = F.first(todo, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    return states.select("group_id", F.lag("group_id").over(order).alias("previous"), F.lead("group_id").over(order).alias("next"), F.coalesce(later, earliest).alias("next_attention"))
+    ends = rows.groupBy("__shard").agg(F.min_by("group_id", "__pos").alias("head"), F.max_by("group_id", "__pos").alias("tail"), F.min(F.when(F.col("needs_attention"), F.struct("__pos", "group_id"))).alias("t"))
+    open_ = F.col("t.group_id")
+    ends = ends.select(
+        "__shard", F.lag("tail").over(line).alias("before"), F.lead("head").over(line).alias("after"),
+        F.first(open_, ignorenulls=True).over(line.rowsBetween(1, W.unboundedFollowing)).alias("later"),
+        F.first(open_, ignorenulls=True).over(line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("earliest"),
+    )
+    here = F.first(todo, ignorenulls=True).over(own.rowsBetween(1, W.unboundedFollowing))
+    return rows.join(F.broadcast(ends), "__shard").select(
+        "group_id", F.coalesce(F.lag("group_id").over(own), "before").alias("previous"), F.coalesce(F.lead("group_id").over(own), "after").alias("next"), F.coalesce(here, "later", "earliest").alias("next_attention")
+    )
 
 
 def tab_counts(states: DataFrame) -> DataFrame:

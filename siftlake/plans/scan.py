@@ -6,7 +6,6 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftlake import schema as S
@@ -14,6 +13,7 @@ from siftlake.operators import groups as G
 from siftlake.operators.cluster import cluster, walk_rank
 from siftlake.operators.evaluate import diagnostics
 from siftlake.operators.joins import contained_groups, image_classes, image_edges, sequence_edges
+from siftlake.operators.places import numbered
 from siftlake.operators.selection import effective_selection
 from siftlake.storage import settled
 
@@ -66,13 +66,9 @@ def similar_video_members(records: DataFrame, threshold: int = 8) -> DataFrame:
 
 
 def ordered_groups(members: DataFrame) -> DataFrame:
-    """members with group_ord: groups by reclaimable bytes, largest first; equals by kind and identifier.
-
-    Ranked on one row a group.
-    """
-    sums = G.reclaimable(members)
-    rank = F.row_number().over(W.orderBy(F.col("reclaimable_bytes").desc(), "kind", "group_id")).cast("bigint")
-    return members.join(sums.withColumn("group_ord", rank).select("group_id", "kind", "group_ord"), ["group_id", "kind"])
+    """members with group_ord: groups by reclaimable bytes, largest first; equals by kind and identifier."""
+    ranks = numbered(G.reclaimable(members), [F.col("reclaimable_bytes").desc(), F.col("kind"), F.col("group_id")], "group_ord")
+    return members.join(ranks.select("group_id", "kind", "group_ord"), ["group_id", "kind"])
 
 
 def scan(records: DataFrame, options: Options | None = None, decisions: DataFrame | None = None, publish: Callable[[str, DataFrame], None] | None = None) -> DataFrame:

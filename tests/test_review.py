@@ -19,6 +19,13 @@ def test_header_sizes(spark, tmp_path):
     assert dimensions(png(7, 9)) == (7, 9) and dimensions(jpeg) == (40, 30)
     assert dimensions(b"GIF89a" + struct.pack("<HH", 3, 4)) == (3, 4)
     assert dimensions(b"BM" + b"\0" * 16 + struct.pack("<ii", 5, -6)) == (5, 6)
+    far = b"\xff\xd8" + 40 * (b"\xff\xe1" + struct.pack(">H", 60_000) + b"x" * 59_998) + jpeg[2:]
+    assert len(far) > 2_000_000 and dimensions(far) == (40, 30)
+    for order, mark in (("<", b"II*\0"), (">", b"MM\0*")):
+        entries = struct.pack(order + "HHIHH", 256, 3, 1, 31, 0) + struct.pack(order + "HHII", 257, 4, 1, 17)
+        assert dimensions(mark + struct.pack(order + "I", 5000) + b"\0" * 4992 + struct.pack(order + "H", 2) + entries) == (31, 17)
+    meta = b"\0" * 4 + b"".join(struct.pack(">I", 20) + b"ispe" + struct.pack(">III", 0, w, h) for w, h in ((320, 240), (4000, 3000)))
+    assert dimensions(struct.pack(">I", 16) + b"ftypheic" + b"\0" * 4 + struct.pack(">I", len(meta) + 8) + b"meta" + meta) == (4000, 3000)
     assert dimensions(b"") is None and dimensions(b"\x89PNG\r\n\x1a\n") is None
     (tmp_path / "a.png").write_bytes(png(7, 9))
     rows = [(str(tmp_path / "a.png"), None, None, None), (str(tmp_path / "gone.png"), None, 1, None), ("/kept", 2, 2, None)]
@@ -56,6 +63,6 @@ def test_scan_and_isolate_from_the_command_line(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["exact_groups"] == 1
     cli.main(["isolate", str(tmp_path / "out"), "--folder", str(tmp_path / "review"), "--execute"])
     copied = sorted(p.name for p in (tmp_path / "review").rglob("*.jpg"))
-    assert copied in (["KEEP_a.jpg", "b.jpg"], ["KEEP_b.jpg", "a.jpg"])
+    assert copied in (["KEEP__a.jpg", "b.jpg"], ["KEEP__b.jpg", "a.jpg"])
     cli.main(["doctor"])
     assert "spark" in capsys.readouterr().out
