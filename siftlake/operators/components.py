@@ -23,14 +23,14 @@ def parts_for(counts: DataFrame, n: str = "n") -> int:
     return max(1, min(PARTS, round(PARTS * row["top"] / row["all"]))) if row["all"] else 1
 
 
-def join_hot(rows: DataFrame, keyed: DataFrame, key: str, by: str, parts: int) -> DataFrame:
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str | list[str], by: str, parts: int) -> DataFrame:
     """rows joined with keyed, which has one row for each key. With parts, a key's rows are dealt by their column `by` to so many
     tasks, and each of these gets a copy of the key's one row."""
     if parts == 1:
         return rows.join(keyed, key)
     dealt = rows.withColumn("__part", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
     spread = keyed.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return dealt.join(spread, [key, "__part"]).drop("__part")
+    return dealt.join(spread, [*([key] if isinstance(key, str) else key), "__part"]).drop("__part")
 
 
 def components(edges: DataFrame, about: int | None = None, most_rounds: int = 100) -> DataFrame:
