@@ -27,11 +27,12 @@ from pyspark.sql import functions as F
 
 from siftlake.llm.shared import BASE_A, BASE_B, TILE, U64, bytes_of, free_name, mix, powers, prefix_sums, sized, slices, small_batches, span_hashes, text_or_empty, written
 from siftlake.llm.suffix_sort import repeated
+from siftlake.operators.components import join_hot, parts_for
 
 LENGTH = 200
 GRAM = 32
 #: Bytes of a block, and runs in a bucket beyond which it is cut into single windows.
-BLOCK_BYTES, MOST_RUNS = 1 << 20, 8_000
+BLOCK_BYTES, MOST_RUNS = 1 << 20, 50_000
 
 
 def gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
@@ -165,7 +166,8 @@ def marks(texts: DataFrame, length: int, gram: int, block_bytes: int, most_runs:
     size = runs.count()
     place = F.struct("doc_key", "first", "windows")
     spans = written(runs.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(place).alias("place")), "spans", size)
-    whole = runs.join(spans.where("n > 1").select("anchor", "span"), ["anchor", "span"]).select("doc_key", "first", "windows")
+    twice = spans.where("n > 1").select("anchor", "span")
+    whole = join_hot(runs, twice, ["anchor", "span"], "doc_key", parts_for(spans)).select("doc_key", "first", "windows")
     kinds = spans.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("rarest"))
     mixed = spans.join(kinds.where("kinds > 1 AND rarest = 1"), "anchor")
     mixed = written(mixed.select("anchor", "place.*", "kinds", (F.col("n") == 1).alias("single")), "mixed", size)
