@@ -373,7 +373,7 @@ SQL: dict[str, str] = {
             WHERE (a.duration > 0 AND b.duration > 0 AND least(a.duration, b.duration) >= 0.9 * greatest(a.duration, b.duration)) OR NOT (a.duration > 0) OR NOT (b.duration > 0)),
         q AS (
             SELECT *, [CAST(bit_count(xor(fa[CASE WHEN c = 1 THEN 1 ELSE CAST(round_even(i * (len(fa) - 1) / (c - 1), 0) AS BIGINT) + 1 END], fb[CASE WHEN c = 1 THEN 1 ELSE CAST(round_even(i * (len(fb) - 1) / (c - 1), 0) AS BIGINT) + 1 END])) AS INTEGER) for i in range(0, c)] AS d FROM p),
-        near AS (SELECT ka, kb FROM q WHERE bit_count(xor(fa[1], fb[1])) <= 44 AND bit_count(xor(fa[-1], fb[-1])) <= 44 AND list_max(d) <= 44 AND list_sum(d) <= 22 * len(d)), {clusters(False)}
+        near AS (SELECT ka, kb FROM q WHERE bit_count(xor(fa[1], fb[1])) <= 52 AND bit_count(xor(fa[-1], fb[-1])) <= 52 AND list_max(d) <= 52 AND list_sum(d) <= 26 * len(d)), {clusters(False)}
         SELECT group_id, path, is_keep FROM sim""",
     "errors_by_stage": """WITH e AS (SELECT ['sha256 failed: a', 'partial hash failed: b', 'image hash failed: c', 'video fingerprint failed: d', 'image hash: e'][doc_id % 5 + 1] AS error FROM documents WHERE doc_id % 3 = 0),
         s AS (SELECT CASE WHEN starts_with(error, 'sha256 failed') OR starts_with(error, 'partial hash failed') THEN 'exact' WHEN starts_with(error, 'image hash failed') THEN 'similar_image' WHEN starts_with(error, 'video fingerprint failed') THEN 'similar_video' END AS stage, error FROM e)

@@ -115,7 +115,7 @@ def similar_video_clusters(spark: SparkSession, sf: str) -> DataFrame:
     c = A.conversation_sequences(spark, sf)
     none = F.lit(None)
     rows = c.select(F.concat(F.lit("/c/"), F.lpad(F.col("id").cast("string"), 8, "0")).alias("path"), F.lit(S.VIDEO).alias("media_type"), "duration", "frames", F.col("duration").cast("bigint").alias("size"), none.cast("int").alias("width"), none.cast("int").alias("height"), F.lit(1.0).alias("mtime"), none.cast("bigint").alias("mtime_ns"))
-    return G.build_groups(SC.similar_video_members(rows, 22), S.SIMILAR, F.col("path").desc()).select("group_id", "path", "is_keep")
+    return G.build_groups(SC.similar_video_members(rows, 26), S.SIMILAR, F.col("path").desc()).select("group_id", "path", "is_keep")
 
 
 @query
