@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftlake.llm.shared import slices, small_batches, text_or_empty, written
+from siftlake.llm.shared import slices, small_batches, text_or_empty, trim, written
 
 WINDOW = 4096
 END_ID = 2
@@ -119,6 +119,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
                     before.append(served.get(q, 0))
                     served[q] = before[-1] + n
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("queue"), pa.array([part] * len(ids), pa.int64()), pa.array(before, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], schema=TOKENISED)
+        trim()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty("text").alias("text"), text_or_empty("source").alias("queue"))
     return written(rows.mapInArrow(run, "doc_id bigint, queue string, part bigint, before bigint, n_tokens bigint, ids binary"), "tokenised")

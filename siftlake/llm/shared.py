@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,11 +17,27 @@ __all__ = ["new_path", "written"]
 U64 = np.uint64
 
 
+#: Bytes of an Arrow batch on its way to Python, about.
+BATCH_BYTES = 8 << 20
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Rows of Arrow batches to 1,000, unless the session has chosen a number: texts are long, and a batch is held on both sides."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, "1000")
+    """Arrow batches of 1,000 rows and BATCH_BYTES, unless the session has chosen: texts are long, and a batch is held on both sides."""
+    chosen = {
+        "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
+        "spark.sql.execution.arrow.maxBytesPerBatch": (f"{64 << 20}b", f"{BATCH_BYTES}b"),
+    }
+    for key, (default, less) in chosen.items():
+        if spark.conf.get(key, None) == default:
+            spark.conf.set(key, less)
+
+
+def trim() -> None:
+    """Gives memory that Python and Arrow have freed back to the machine: workers live on, and executors count what they hold."""
+    pa.default_memory_pool().release_unused()
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if free:
+        free(0)
 
 
 #: Rows of texts that a task of a result holds at least.

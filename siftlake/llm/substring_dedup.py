@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm.shared import BASE_A, BASE_B, TILE, U64, bytes_of, free_name, mix, powers, prefix_sums, sized, slices, small_batches, span_hashes, text_or_empty, written
+from siftlake.llm.shared import BASE_A, BASE_B, TILE, U64, bytes_of, free_name, mix, powers, prefix_sums, sized, slices, small_batches, span_hashes, text_or_empty, trim, written
 from siftlake.llm.suffix_sort import repeated
 from siftlake.operators.components import join_hot, parts_for
 
@@ -133,7 +133,11 @@ def sorted_block(length: int):
         first = np.flatnonzero(new)
         who = owner[first]
         begin = starts[first] - at[who] + table.column("first").to_numpy()[who]
-        return pa.table({"doc_key": pa.array(table.column("doc_key").to_numpy()[who]), "first": pa.array(begin.astype(np.int32)), "windows": pa.array(np.diff(np.append(first, len(starts))).astype(np.int32))})
+        out = pa.table({"doc_key": pa.array(table.column("doc_key").to_numpy()[who]), "first": pa.array(begin.astype(np.int32)), "windows": pa.array(np.diff(np.append(first, len(starts))).astype(np.int32))})
+        if len(raw) > 2 * BLOCK_BYTES:  # of a bucket that is larger than a block
+            del table, column, raw, owner, starts, hit, counts
+            trim()
+        return out
 
     return run
 
