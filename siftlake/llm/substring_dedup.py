@@ -91,6 +91,7 @@ def anchored(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 text, first, windows, anchor, span = anchor_runs(*bytes_of(some.column("text")), length, gram)
                 keys = some.column("doc_key").to_numpy()[text]
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(first.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(span.view(np.int64))], schema=RUNS)
+        trim()
 
     return written(texts.mapInArrow(run, "doc_key bigint, first int, windows int, anchor bigint, span bigint"), "anchors")
 
@@ -108,6 +109,7 @@ def contexts(work: DataFrame, texts: DataFrame, length: int) -> DataFrame:
                         for c, v in zip(cols, (r["block"], r["anchor"], r["single"], key, r["first"], raw[r["first"] : r["first"] + r["windows"] + length - 1])):
                             c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.binary()))], names=["block", "anchor", "single", "doc_key", "first", "bytes"])
+        trim()
 
     grouped = work.groupBy("doc_key").agg(F.collect_list(F.struct("block", "anchor", "single", "first", "windows")).alias("runs"))
     return texts.join(grouped, "doc_key").select("doc_key", "text", "runs").mapInArrow(run, "block bigint, anchor bigint, single boolean, doc_key bigint, first int, bytes binary")
@@ -125,7 +127,8 @@ def sorted_block(length: int):
         raw, at = bytes_of(pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column)
         counts = np.maximum(np.diff(at) - length + 1, 0)
         owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
-        starts = (np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts - at[:-1], counts)).astype(np.int32)
+        starts = np.arange(len(owner), dtype=np.int32)
+        starts -= np.repeat((np.cumsum(counts) - counts - at[:-1]).astype(np.int32), counts)
         hit = repeated(raw, starts, length) & table.column("single").to_numpy()[owner]
         owner, starts = owner[hit], starts[hit]
         new = np.ones(len(starts), bool)
@@ -155,6 +158,7 @@ def single_windows(rows: DataFrame, length: int) -> DataFrame:
                 start = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
                 here = start + at[:-1][owner]
                 yield pa.RecordBatch.from_arrays([pa.array(some.column("doc_key").to_numpy()[owner]), pa.array((start + some.column("first").to_numpy()[owner]).astype(np.int32)), pa.array(some.column("single").to_numpy(zero_copy_only=False)[owner]), pa.array(a[here].view(np.int64)), pa.array(b[here].view(np.int64))], names=["doc_key", "first", "single", "h1", "h2"])
+        trim()
 
     return rows.mapInArrow(run, "doc_key bigint, first int, single boolean, h1 bigint, h2 bigint")
 
@@ -234,6 +238,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, blo
                 sizes = [len(x) for x in before]
                 cols = [some.column(c) for c in names] + [pa.array(after, pa.binary()), pa.array(sizes, pa.int64()), pa.array([a - len(b) for a, b in zip(sizes, after)], pa.int64()), pa.array(n_spans, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, names=[*names, "kept", "n_bytes", "n_removed", "n_spans"])
+        trim()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
     return joined.mapInArrow(run, f"{schema}, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")

@@ -35,18 +35,28 @@ def words8(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The 8 bytes from each place as one big-endian number, which orders as the bytes do."""
     out = np.zeros(len(at), U64)
     for k in range(8):
-        out = (out << U64(8)) | text[at + k].astype(U64)
+        out <<= U64(8)
+        out |= text[at + k]
     return out
 
 
 def dense(key: np.ndarray) -> np.ndarray:
-    """Ranks from 0 of the values of key; equal values share a rank."""
+    """Ranks from 0 of the values of key, in 32 bits; equal values share a rank."""
     order = np.argsort(key, kind="stable")
     sorted_key = key[order]
-    step = np.zeros(len(key), np.uint64)
-    step[1:] = sorted_key[1:] != sorted_key[:-1]
-    out = np.empty(len(key), np.uint64)
-    out[order] = np.cumsum(step, dtype=np.uint64)
+    step = np.zeros(len(key), bool)
+    np.not_equal(sorted_key[1:], sorted_key[:-1], out=step[1:])
+    del sorted_key
+    out = np.empty(len(key), np.uint32)
+    out[order] = np.cumsum(step, dtype=np.uint32)
+    return out
+
+
+def paired(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Two 32-bit ranks as one 64-bit key."""
+    out = high.astype(U64)
+    out <<= U64(32)
+    out |= low
     return out
 
 
@@ -54,12 +64,12 @@ def prefix_ranks(text: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     """Ranks of the places by their first `size` bytes, eight bytes at a time."""
     rank = dense(words8(text, at))
     for k in range(8, size, 8):
-        rank = dense(rank << U64(32) | dense(words8(text, at + k)))
+        rank = dense(paired(rank, dense(words8(text, at + k))))
     return rank
 
 
 def sample_ranks(text: np.ndarray, size: int, period: int) -> np.ndarray:
-    """At each sampled place below size, the rank of its suffix among those of all sampled places; -1 elsewhere.
+    """At each sampled place below size, the rank of its suffix among those of all sampled places; -1 elsewhere and for a period beyond.
 
     text: size bytes and padding. Ranks double their depth by pairing a place with the sampled place one depth further on,
     until no two are equal: only then do comparisons at different shifts agree with one order.
@@ -67,12 +77,13 @@ def sample_ranks(text: np.ndarray, size: int, period: int) -> np.ndarray:
     inside = np.zeros(period, bool)
     inside[list(cover(period))] = True
     at = np.flatnonzero(np.resize(inside, size))
-    rank = np.full(size, -1, np.int32)
+    at = at.astype(np.int32 if size < 1 << 30 else np.int64)
+    rank = np.full(size + period, -1, np.int32)
     rank[at] = prefix_ranks(text, at, period)
     seen = period
     while len(at) and rank[at].max() + 1 < len(at):
         later = np.where(at + seen < size, rank[np.minimum(at + seen, size - 1)] + 1, 0)
-        rank[at] = dense(rank[at].astype(U64) << U64(32) | later.astype(U64))
+        rank[at] = dense(paired(rank[at], later.astype(np.uint32)))
         seen *= 2
     return rank
 
@@ -120,7 +131,7 @@ def repeated(text: np.ndarray, starts: np.ndarray, depth: int, period: int = PER
         return out
     size = len(text)
     padded = np.concatenate([text, np.zeros(2 * period + depth, np.uint8)])
-    rank = np.concatenate([sample_ranks(padded, size, period), np.full(period, -1, np.int32)])
+    rank = sample_ranks(padded, size, period)
     lead = padded[starts].astype(np.uint16) << 8 | padded[starts + 1]
     upto = np.cumsum(np.bincount(lead, minlength=1 << 16))
     a = 0
