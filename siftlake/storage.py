@@ -27,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Rows of a file of a table whose size is known beforehand.
 FILE_ROWS = 50_000
+#: Bytes of a row group: a task that writes, or reads, holds one, and these tables hold long texts.
+GROUP_BYTES = 16 << 20
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -41,7 +43,7 @@ def settled(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     out = df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))
-    out.write.option("compression", "zstd").parquet(path)
+    out.write.option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
