@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.operators.components import components, join_hot, parts_for
-from siftlake.llm.shared import U64, bytes_of, free_name, mix, one_of_each, sized, slices, small_batches, span_hashes, text_or_empty, words_of, written
+from siftlake.llm.shared import U64, bytes_of, enter, free_name, mix, one_of_each, sized, slices, small_batches, span_hashes, text_or_empty, trim, words_of, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -97,12 +97,14 @@ def signed(docs: DataFrame, banding: Banding, n: int) -> DataFrame:
     """doc_id, text_key, node (null without words), grams, bands of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("ngram_join")
         for batch in batches:
             for some in slices(batch, "text", 1 << 20):
                 sets = shingles(*bytes_of(some.column("text")), n)
                 nodes = [node_of(s) if len(s) else None for s in sets]
                 bands = [banding.of(s).view(np.int64) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("text_key"), pa.array(nodes, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))], schema=SIGNED)
+        trim()
 
     return written(docs.mapInArrow(run, "doc_id bigint, text_key bigint, node binary, grams bigint, bands array<bigint>"), "signed")
 
@@ -200,6 +202,7 @@ def ngram_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, re
     work = work.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")}).drop("other")
 
     def verify(table: pa.Table) -> pa.Table:
+        enter("ngram_join")
         table = table.combine_chunks()
         ids = table.column("node").to_pylist()
         chunk = table.column("chunk").to_numpy()
@@ -220,6 +223,9 @@ def ngram_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, re
             sets = shingles(*bytes_of(texts_here), n)
             bands = np.array([banding.of(s) for s in sets])
             count, parent = links(sets, bands, table.column("n_copies").to_numpy()[picks], left, threshold)
+            del sets, bands
+            if len(picks) > CHUNK_NODES // 4:  # each block's arrays are as wide as the group
+                trim()
         many = len(picks) and table.column("chunks")[0].as_py() > 1
         return pa.table({"node": pa.array([ids[k] for k in picks], pa.binary()), "links": pa.array(count, pa.int64()), "parent": pa.array([ids[picks[p]] for p in parent], pa.binary()), "many": pa.array([bool(many)] * len(picks), pa.bool_())})
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftlake.llm.shared import slices, small_batches, text_or_empty, trim, written
+from siftlake.llm.shared import enter, slices, small_batches, text_or_empty, trim, written
 
 WINDOW = 4096
 END_ID = 2
@@ -108,6 +108,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
     """doc_id, queue, part, before, n_tokens, ids: each document's ids with end_id, and the tokens of its queue before it in its partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("packing", _coders.clear)
         coder, end = WordCoder.at(tokenizer), np.array([end_id], "<u2").tobytes()
         part, served = TaskContext.get().partitionId(), {}
         for batch in batches:

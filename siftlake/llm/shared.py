@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,26 @@ def trim() -> None:
         free(0)
 
 
+#: What drops the tables that an operator keeps in a worker from task to task, by operator.
+_kept: dict[str, Callable[[], None]] = {}
+#: Bytes from which malloc takes memory by itself and gives it back at once (M_MMAP_THRESHOLD, by default up to 32 MiB).
+LARGE, M_MMAP_THRESHOLD = 4 << 20, -3
+
+
+def enter(operator: str, drop: Callable[[], None] | None = None) -> None:
+    """A task of the operator begins in this worker: what others keep here goes, since workers live on over stages."""
+    others = [k for k in _kept if k != operator]
+    for k in others:
+        _kept.pop(k)()
+    if drop:
+        _kept[operator] = drop
+    limit = getattr(ctypes.CDLL(None), "mallopt", None)
+    if limit:
+        limit(M_MMAP_THRESHOLD, LARGE)
+    if others:
+        trim()
+
+
 #: Rows of texts that a task of a result holds at least.
 TEXT_ROWS = 10_000
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm.shared import BASE_A, BASE_B, TILE, U64, bytes_of, free_name, mix, powers, prefix_sums, sized, slices, small_batches, span_hashes, text_or_empty, trim, written
+from siftlake.llm.shared import BASE_A, BASE_B, TILE, U64, bytes_of, enter, free_name, mix, powers, prefix_sums, sized, slices, small_batches, span_hashes, text_or_empty, trim, written
 from siftlake.llm.suffix_sort import repeated
 from siftlake.operators.components import join_hot, parts_for
 
@@ -86,6 +86,7 @@ RUNS = pa.schema([("doc_key", pa.int64()), ("first", pa.int32()), ("windows", pa
 
 def anchored(texts: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("substring_dedup")
         for batch in batches:
             for some in slices(batch, "text", 1 << 19):
                 text, first, windows, anchor, span = anchor_runs(*bytes_of(some.column("text")), length, gram)
@@ -100,6 +101,7 @@ def contexts(work: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     """The bytes of each run of work, from the texts: block, anchor, single, doc_key, first, bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("substring_dedup")
         for batch in batches:
             for some in slices(batch, "text", 1 << 20):
                 cols: list[list] = [[] for _ in range(6)]
@@ -122,6 +124,7 @@ def sorted_block(length: int):
     """Of a block's runs, the windows of single runs that stand elsewhere in the block, as marks."""
 
     def run(table: pa.Table) -> pa.Table:
+        enter("substring_dedup")
         table = table.combine_chunks()
         column = table.column("bytes").combine_chunks()
         raw, at = bytes_of(pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column)
@@ -149,6 +152,7 @@ def single_windows(rows: DataFrame, length: int) -> DataFrame:
     """doc_key, first, single and two hashes of every window of the runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("substring_dedup")
         for batch in batches:
             for some in slices(batch, "bytes", 1 << 18):
                 raw, at = bytes_of(some.column("bytes"))
@@ -226,6 +230,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, blo
     joined = sized(base.join(spans, own, "left").select(*names, "kept", windows), docs.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("substring_dedup")
         for batch in batches:
             for some in slices(batch, "kept", 1 << 21):
                 before, n_spans, after = some.column("kept").to_pylist(), [], []

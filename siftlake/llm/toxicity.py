@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftlake.llm.crf import Chain, fit, rising
-from siftlake.llm.shared import U64, bytes_of, mix, slices, small_batches, span_hashes, text_or_empty
+from siftlake.llm.shared import U64, bytes_of, enter, mix, slices, small_batches, span_hashes, text_or_empty, trim
 
 #: Labelled rows of each class that training reads at most, chosen by the hash of doc_id, and their bytes in all; rows of more
 #: than ROW_BYTES are not trained on.
@@ -294,6 +294,7 @@ def toxicity(docs: DataFrame, tagger: Tagger, with_text: bool = False) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("toxicity")
         tagger = shared.value
         span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         for batch in batches:
@@ -315,6 +316,7 @@ def toxicity(docs: DataFrame, tagger: Tagger, with_text: bool = False) -> DataFr
                         spans[o].append({"start": b, "stop": c})
                 cols = [some.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(spans, span)], names=[*names, "score", "predicted", "spans"])
+        trim()
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in names)
     return docs.select(*names, *(["text"] if not with_text else [])).mapInArrow(run, schema + "score double, predicted int, spans array<struct<start: bigint, stop: bigint>>")
