@@ -129,10 +129,11 @@ def sorted_block(length: int):
         column = table.column("bytes").combine_chunks()
         raw, at = bytes_of(pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column)
         counts = np.maximum(np.diff(at) - length + 1, 0)
-        owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
-        starts = np.arange(len(owner), dtype=np.int32)
+        starts = np.arange(int(counts.sum()), dtype=np.int32)
         starts -= np.repeat((np.cumsum(counts) - counts - at[:-1]).astype(np.int32), counts)
-        hit = repeated(raw, starts, length) & table.column("single").to_numpy()[owner]
+        starts = starts[repeated(raw, starts, length)]
+        owner = np.searchsorted(at, starts, side="right") - 1
+        hit = table.column("single").to_numpy()[owner]
         owner, starts = owner[hit], starts[hit]
         new = np.ones(len(starts), bool)
         new[1:] = (starts[1:] != starts[:-1] + 1) | (owner[1:] != owner[:-1])

@@ -68,23 +68,38 @@ def prefix_ranks(text: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return rank
 
 
+@functools.cache
+def slots(period: int) -> np.ndarray:
+    """For each residue the number of smaller ones in the cover."""
+    inside = np.zeros(period, bool)
+    inside[list(cover(period))] = True
+    return np.cumsum(inside) - inside
+
+
+def slot(at: np.ndarray, period: int) -> np.ndarray:
+    """The number of sampled places before each of the (sampled) places."""
+    return at // period * len(cover(period)) + slots(period)[at % period]
+
+
 def sample_ranks(text: np.ndarray, size: int, period: int) -> np.ndarray:
-    """At each sampled place below size, the rank of its suffix among those of all sampled places; -1 elsewhere and for a period beyond.
+    """The rank of each sampled place's suffix among those of all sampled places, in the order of the places; -1 for those in a period beyond size.
 
     text: size bytes and padding. Ranks double their depth by pairing a place with the sampled place one depth further on,
     until no two are equal: only then do comparisons at different shifts agree with one order.
     """
     inside = np.zeros(period, bool)
     inside[list(cover(period))] = True
-    at = np.flatnonzero(np.resize(inside, size))
-    at = at.astype(np.int32 if size < 1 << 30 else np.int64)
-    rank = np.full(size + period, -1, np.int32)
-    rank[at] = prefix_ranks(text, at, period)
-    seen = period
-    while len(at) and rank[at].max() + 1 < len(at):
-        later = np.where(at + seen < size, rank[np.minimum(at + seen, size - 1)] + 1, 0)
-        rank[at] = dense(paired(rank[at], later.astype(np.uint32)))
-        seen *= 2
+    at = np.flatnonzero(np.resize(inside, size)).astype(np.int32 if size < 1 << 30 else np.int64)
+    n = len(at)
+    rank = np.full(n + 2 * len(cover(period)), -1, np.int32)
+    rank[:n] = prefix_ranks(text, at, period)
+    del at
+    step = len(cover(period))  # sampled places in a period, so that a depth of whole periods is a number of places
+    while n and rank[:n].max() + 1 < n:
+        later = np.zeros(n, np.uint32)
+        later[: max(0, n - step)] = rank[step:n] + 1
+        rank[:n] = dense(paired(rank[:n], later))
+        step *= 2
     return rank
 
 
@@ -108,7 +123,7 @@ def merge_ties(tied: np.ndarray, first: np.ndarray, last: np.ndarray, rank: np.n
             mid = (lo[live] + hi[live]) // 2
             x, y = tied[mid], tied[live]
             d = shift[x % period, y % period]
-            a, b = rank[x + d], rank[y + d]
+            a, b = rank[slot(x + d, period)], rank[slot(y + d, period)]
             right = (a < b) | ((a == b) & ~left[live])
             lo[live] = np.where(right, mid + 1, lo[live])
             hi[live] = np.where(right, hi[live], mid)
