@@ -33,6 +33,8 @@ LENGTH = 200
 GRAM = 32
 #: Bytes of a block, and runs in a bucket beyond which it is cut into single windows.
 BLOCK_BYTES, MOST_RUNS = 1 << 20, 50_000
+#: Bytes of the runs that are cut out of texts at a time, about.
+PIECE_BYTES = 1 << 19
 
 
 def gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
@@ -104,13 +106,22 @@ def contexts(work: DataFrame, texts: DataFrame, length: int) -> DataFrame:
         enter("substring_dedup")
         for batch in batches:
             for some in slices(batch, "text", 1 << 20):
-                cols: list[list] = [[] for _ in range(6)]
-                for key, text, runs in zip(some.column("doc_key").to_pylist(), some.column("text"), some.column("runs").to_pylist()):
-                    raw = memoryview(text.as_buffer())
-                    for r in runs:
-                        for c, v in zip(cols, (r["block"], r["anchor"], r["single"], key, r["first"], raw[r["first"] : r["first"] + r["windows"] + length - 1])):
-                            c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.binary()))], names=["block", "anchor", "single", "doc_key", "first", "bytes"])
+                raw, at = bytes_of(some.column("text"))
+                runs = some.column("runs")
+                block, anchor, single, first, windows = runs.flatten().flatten()
+                owner = np.repeat(np.arange(len(runs)), runs.value_lengths().to_numpy())
+                sizes = windows.to_numpy().astype(np.int64) + length - 1
+                starts, keys = at[owner] + first.to_numpy(), some.column("doc_key").to_numpy()[owner]
+                upto = np.cumsum(sizes)
+                i = 0
+                while i < len(sizes):  # in pieces: runs overlap, and a text may be long
+                    j = max(i + 1, int(np.searchsorted(upto, upto[i] + PIECE_BYTES)))
+                    ends = np.concatenate([[0], upto[i:j] - upto[i] + sizes[i]])
+                    data = raw[np.arange(ends[-1]) + np.repeat(starts[i:j] - ends[:-1], sizes[i:j])]
+                    found = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+                    part = [x.slice(i, j - i) for x in (block, anchor, single)]
+                    yield pa.RecordBatch.from_arrays([*part, pa.array(keys[i:j]), first.slice(i, j - i), found], names=["block", "anchor", "single", "doc_key", "first", "bytes"])
+                    i = j
         trim()
 
     grouped = work.groupBy("doc_key").agg(F.collect_list(F.struct("block", "anchor", "single", "first", "windows")).alias("runs"))
