@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from siftlake import schema as S
 from siftlake.operators.components import components
 from siftlake.operators.groups import of_group, trusted_no_person
+from siftlake.operators.places import SHARDS
+from siftlake.storage import settled
 
 
 def vetoed(members: DataFrame) -> DataFrame:
@@ -126,11 +128,18 @@ def routed(selected: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def next_unreviewed(members: DataFrame) -> DataFrame:
-    """group_id, ord, next_ord: the first member not reviewed after each one, going round; null if all are."""
-    todo = W.partitionBy("group_id").orderBy("ord")
-    later = F.min(F.when(~F.col("is_reviewed"), F.col("ord"))).over(todo.rowsBetween(1, W.unboundedFollowing))
-    earliest = F.min(F.when(~F.col("is_reviewed"), F.col("ord"))).over(of_group())
-    return members.select("group_id", "ord", F.coalesce(later, earliest).alias("next_ord"))
+    """group_id, ord, next_ord: the first member not reviewed after each one, going round; null if all are.
+
+    A review group may hold most of the records: its rows are ranged into shards, a row of each shard and group says where
+    the later ones go on, and frames grow from the end on, so that a row is looked at once.
+    """
+    rows = members.select("group_id", "ord", F.when(~F.col("is_reviewed"), F.col("ord")).alias("__open"))
+    rows = settled(rows.repartitionByRange(SHARDS, "group_id", "ord").withColumn("__shard", F.spark_partition_id()), "in-order")
+    after = lambda w: F.min("__open").over(w.rowsBetween(W.unboundedPreceding, -1))
+    ends = rows.groupBy("group_id", "__shard").agg(F.min("__open").alias("__open"))
+    ends = ends.select("group_id", "__shard", after(W.partitionBy("group_id").orderBy(F.col("__shard").desc())).alias("__later"), F.min("__open").over(of_group()).alias("__first"))
+    own = rows.withColumn("__next", after(W.partitionBy("group_id", "__shard").orderBy(F.col("ord").desc())))
+    return own.join(ends, ["group_id", "__shard"]).select("group_id", "ord", F.coalesce("__next", "__later", "__first").alias("next_ord"))
 
 
 def bulk_in_view(members: DataFrame, view: DataFrame, operation: str, criteria: dict | None = None) -> DataFrame:

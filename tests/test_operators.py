@@ -14,7 +14,7 @@ from siftlake.operators.cluster import cluster, cluster_reviewed
 from siftlake.operators.components import components, join_hot, parts_for
 from siftlake.operators.joins import hamming_join, range_ratio_join, sequence_edges, unknown_pairs
 from siftlake.operators.ranking import over_budget, unique_names
-from siftlake.operators.selection import apply_decisions, effective_selection
+from siftlake.operators.selection import apply_decisions, effective_selection, next_unreviewed
 from siftlake.plans.scan import ordered_groups
 from siftlake.storage import settled
 
@@ -225,3 +225,22 @@ def test_hot_keys_are_dealt_out(spark):
     edges = spark.createDataFrame([(f"m{k:04d}", "hub") for k in range(500)] + [("x", "y"), ("y", "z"), ("z", "z")], "a string, b string")
     roots = {r["node"]: r["root"] for r in components(edges).collect()}
     assert roots == {"hub": "hub", "x": "x", "y": "x", "z": "x"} | {f"m{k:04d}": "hub" for k in range(500)}
+
+
+def test_next_unreviewed_goes_round_in_groups_of_any_size(spark):
+    rng = random.Random(3)
+    rows = [(g, k, rng.random() < p) for g, n, p in (("a", 300, 0.9), ("b", 3, 1.0), ("c", 40, 0.0), ("d", 1, 0.0)) for k in range(1, n + 1)]
+    want = set()
+    for g, k, _ in rows:
+        todo = [o for h, o, seen in rows if h == g and not seen]
+        want.add((g, k, next((o for o in todo if o > k), todo[0] if todo else None)))
+    got = [tuple(r) for r in next_unreviewed(spark.createDataFrame(rows, "group_id string, ord bigint, is_reviewed boolean")).collect()]
+    assert len(got) == len(rows) and set(got) == want
+
+
+def test_next_unreviewed_looks_at_each_row_of_a_large_group_once(spark):
+    n = 120_000
+    rows = spark.range(1, n + 1).select(F.lit("g").alias("group_id"), F.col("id").alias("ord"), (F.col("id") % 3 != 0).alias("is_reviewed"))
+    found = next_unreviewed(rows)
+    assert "RowFrame, 1, unboundedfollowing" not in found._jdf.queryExecution().toString()
+    assert found.where("next_ord = CASE WHEN ord = 120000 THEN 3 ELSE ord + 3 - ord % 3 END").count() == n
