@@ -6,42 +6,94 @@ Joins pair classes of equal codes, not rows: a class with many rows costs one.
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.functions.codes import hamming, sequences_agree, tiles_agree
+from siftlake.storage import settled
 
-#: Beyond this threshold bands get too narrow to select anything.
+#: Beyond this threshold codes that differ at random begin to match.
 WIDEST_BANDED = 15
+#: Up to this threshold pairs of blocks select better than looking at every pair of codes.
+WIDEST_BLOCKS = 8
+#: Blocks that must agree at once. Codes within the threshold differ in so many of threshold + AGREEING blocks at most.
+AGREEING = 2
+#: Codes of a chunk, and chunks at most, where every pair is looked at.
+CHUNK, MOST_CHUNKS = 16_384, 64
+
+
+def blocks(threshold: int) -> list[tuple[int, int]]:
+    """First bit and end of threshold + AGREEING blocks of a code."""
+    n = threshold + AGREEING
+    edges = [round(i * 64 / n) for i in range(n + 1)]
+    return list(zip(edges, edges[1:]))
 
 
 def bands(code: Column, threshold: int) -> Column:
-    """Band number and bits of threshold + 1 bands: codes within the threshold share one at least."""
-    edges = [round(i * 64 / (threshold + 1)) for i in range(threshold + 2)]
-    out = []
-    for k, (a, b) in enumerate(zip(edges, edges[1:])):
-        bits = F.shiftrightunsigned(code, a) if b - a == 64 else F.shiftrightunsigned(code, a).bitwiseAND(F.lit((1 << (b - a)) - 1))
-        out.append(F.struct(F.lit(k).alias("band"), bits.alias("bits")))
-    return F.array(*out)
+    """Band and bits of all pairs of blocks: codes within the threshold share one at least. A band is named by the blocks' places as bits."""
+    cut = blocks(threshold)
+    part = lambda k: F.shiftrightunsigned(code, cut[k][0]).bitwiseAND(F.lit((1 << (cut[k][1] - cut[k][0])) - 1))
+    join = lambda i, j: F.shiftleft(part(i), cut[j][1] - cut[j][0]).bitwiseOR(part(j))
+    return F.array(*(F.struct(F.lit(1 << i | 1 << j).alias("band"), join(i, j).alias("bits")) for i, j in combinations(range(len(cut)), AGREEING)))
+
+
+def first_band(a: Column, b: Column, threshold: int) -> Column:
+    """The first band that two codes share: the least two blocks that agree. Lambdas keep a join's condition small enough to be compiled."""
+    mask = lambda lo, hi: F.lit((1 << hi) - (1 << lo) - (1 << 64 if hi == 64 else 0)).cast("bigint")
+    known = F.array(*(F.struct(mask(lo, hi).alias("mask"), F.lit(1 << k).alias("place")) for k, (lo, hi) in enumerate(blocks(threshold))))
+    agree = F.filter(known, lambda s: a.bitwiseXOR(b).bitwiseAND(s["mask"]) == 0)
+    return F.aggregate(F.slice(agree, 1, AGREEING), F.lit(0), lambda found, s: found.bitwiseOR(s["place"]))
 
 
 def hamming_join(codes: DataFrame, threshold: int, code: str = "code") -> DataFrame:
     """code_a < code_b and distance of all pairs of different codes within the threshold.
 
-    Codes are made distinct first. A band's bucket is an equi-join; a pair that shares several bands comes from the first one
-    only, so nothing needs to be made distinct afterwards. Null codes pair with nothing. The threshold may be 0 to 15.
+    Codes are made distinct and written first. Near thresholds: codes that agree in a pair of blocks are an equi-join; a pair
+    that shares several comes from the first only, so nothing needs to be made distinct afterwards. Wide thresholds: blocks get
+    too narrow to select, so chunks of codes are compared with each other, every pair of chunks a task's work. Null codes pair
+    with nothing. The threshold may be 0 to 15.
     """
     if not 0 <= threshold <= WIDEST_BANDED:
         raise ValueError(f"a banded join takes thresholds from 0 to {WIDEST_BANDED}")
-    one = codes.where(F.col(code).isNotNull()).select(F.col(code).alias("c")).distinct()
+    one = settled(codes.where(F.col(code).isNotNull()).select(F.col(code).cast("bigint").alias("c")).distinct(), "codes")
+    if threshold > WIDEST_BLOCKS:
+        return compared(one, threshold)
     cut = one.select("c", F.explode(bands(F.col("c"), threshold)).alias("x")).select("c", "x.band", "x.bits")
     a, b = cut.alias("a"), cut.alias("b")
     close = (F.col("a.c") < F.col("b.c")) & (hamming(F.col("a.c"), F.col("b.c")) <= threshold)
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.bits") == F.col("b.bits")) & close)
-    same = F.zip_with(bands(F.col("a.c"), threshold), bands(F.col("b.c"), threshold), lambda x, y: x["bits"] == y["bits"])
-    first = pairs.where(F.array_position(same, F.lit(True)) - 1 == F.col("a.band"))
-    return first.select(F.col("a.c").alias("code_a"), F.col("b.c").alias("code_b"), hamming(F.col("a.c"), F.col("b.c")).cast("bigint").alias("distance"))
+    first = first_band(F.col("a.c"), F.col("b.c"), threshold) == F.col("a.band")
+    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.bits") == F.col("b.bits")) & close).where(first)
+    return pairs.select(F.col("a.c").alias("code_a"), F.col("b.c").alias("code_b"), hamming(F.col("a.c"), F.col("b.c")).cast("bigint").alias("distance"))
+
+
+def compared(one: DataFrame, threshold: int) -> DataFrame:
+    """hamming_join of distinct codes (c) by looking at every pair: all pairs of chunks, dealt out."""
+    n = max(1, min(MOST_CHUNKS, -(-one.count() // CHUNK)))
+    mine = F.pmod(F.xxhash64("c"), F.lit(n)).cast("int")
+    dealt = one.withColumn("chunk", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    tiles = dealt.select((F.least("chunk", "other") * n + F.greatest("chunk", "other")).alias("tile"), "chunk", "c")
+
+    def compare(table: pa.Table) -> pa.Table:
+        c, chunk = table["c"].to_numpy().view(np.uint64), table["chunk"].to_numpy()  # of a signed number the bits of its amount would count
+        lo, hi = divmod(table["tile"][0].as_py(), n)
+        a, b = c[chunk == lo], c[chunk == hi]
+        left, right = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+        for k, x in enumerate(a):  # a row at a time: its distances stay in the processor's cache
+            near = np.flatnonzero(np.bitwise_count((b[k + 1 :] if lo == hi else b) ^ x) <= threshold)
+            if len(near):
+                left.append(np.full(len(near), x))
+                right.append(b[near + (k + 1 if lo == hi else 0)])
+        p, q = np.concatenate(left), np.concatenate(right)
+        far = np.bitwise_count(p ^ q).astype(np.int64)
+        p, q = p.view(np.int64), q.view(np.int64)
+        return pa.table({"code_a": np.minimum(p, q), "code_b": np.maximum(p, q), "distance": far})
+
+    # as many partitions as tiles: few bytes hold much work, and the size of partitions would put all of it into one task
+    return tiles.repartition(n * (n + 1) // 2, "tile").groupBy("tile").applyInArrow(compare, "code_a bigint, code_b bigint, distance bigint")
 
 
 def aspect(width: Column, height: Column) -> Column:

@@ -12,7 +12,7 @@ from siftlake.operators import groups as G
 from siftlake.operators.cache import lookup, upsert
 from siftlake.operators.cluster import cluster, cluster_reviewed
 from siftlake.operators.components import components, join_hot, parts_for
-from siftlake.operators.joins import hamming_join, range_ratio_join, sequence_edges, unknown_pairs
+from siftlake.operators.joins import bands, hamming_join, range_ratio_join, sequence_edges, unknown_pairs
 from siftlake.operators.ranking import over_budget, unique_names
 from siftlake.operators.selection import apply_decisions, effective_selection, next_unreviewed
 from siftlake.plans.scan import ordered_groups
@@ -83,6 +83,23 @@ def test_hamming_join_is_brute_force(spark, threshold):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_bands_select_few_pairs(spark):
+    rng, n = random.Random(9), 4000
+    codes = spark.createDataFrame([(rng.getrandbits(63),) for _ in range(n)], "c bigint")
+    held = codes.select(F.explode(bands(F.col("c"), 6)).alias("x")).groupBy("x").count()
+    assert held.agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).head()[0] < n * n / 1000
+
+
+def test_wide_thresholds_join_no_buckets_of_codes(spark):
+    rng = random.Random(10)
+    values = [rng.getrandbits(64) - (1 << 63) for _ in range(20_000)]
+    values += [v ^ (1 << k | 1 << 5 + k) for k, v in enumerate(values[:40])]
+    found = hamming_join(spark.createDataFrame([(v,) for v in values], "code bigint"), 12)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    x = np.array(values, np.int64).view(np.uint64)
+    assert found.count() == sum(int((np.bitwise_count(x[k + 1 :] ^ x[k]) <= 12).sum()) for k in range(len(x)))
+
+
 def test_range_join_is_brute_force(spark):
     rng = random.Random(5)
     rows = [(k, rng.uniform(0.01, 300)) for k in range(120)] + [(500, None), (501, 0.0)]
