@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake import schema as S
-from siftlake.functions.codes import simhash
+from siftlake.functions.codes import simhash, text_codes
+from siftlake.storage import settled
 
 TOKEN = r"[^\p{L}\p{N}]+"
 
@@ -28,6 +29,8 @@ def tokens(text: Column) -> Column:
 
 
 KINDS = tuple(range(7))
+#: Kinds 2 to 6, in quarters of the characters.
+MIDDLE = [(0, 1), (1, 2), (2, 3), (3, 4), (1, 3)]
 
 
 def parts(text: Column, kinds: tuple[int, ...] = KINDS) -> Column:
@@ -37,21 +40,46 @@ def parts(text: Column, kinds: tuple[int, ...] = KINDS) -> Column:
     most = F.greatest(F.size(words) - 1, F.lit(0))
     pairs = F.zip_with(F.slice(words, F.lit(1), most), F.slice(words, F.lit(2), most), lambda a, b: F.concat_ws(" ", a, b))
     cut = lambda a, b: tokens(F.substring(text, F.floor(n * a / 4).cast("int") + 1, F.floor(n * b / 4).cast("int") - F.floor(n * a / 4).cast("int")))
-    middle = [(0, 1), (1, 2), (2, 3), (3, 4), (1, 3)]
-    own = lambda k: words if k == 0 else pairs if k == 1 else cut(*middle[k - 2])
+    own = lambda k: words if k == 0 else pairs if k == 1 else cut(*MIDDLE[k - 2])
     return F.array(*(F.struct(F.lit(k).alias("kind"), own(k).alias("tokens")) for k in kinds))
 
 
+def spaced(text: Column) -> Column:
+    """The words of tokens in order, with a space between."""
+    return F.regexp_replace(F.lower(text), TOKEN, " ")
+
+
 def document_codes(spark: SparkSession, folder: str, kinds: tuple[int, ...] = KINDS, langs: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, phash, dhash, tiles; null where a part has no words. Only codes of kinds are computed, for documents of langs (none: of
-    all); the others are null."""
+    all); the others are null. Documents without words have no row."""
     docs = table(spark, folder, "documents").where(F.col("lang").isin(*langs) if langs else F.lit(True)).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    each = docs.select("doc_id", F.explode(parts(F.col("text"), kinds)).alias("p")).select("doc_id", "p.kind", "p.tokens")
+    twice = settled(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("again")), "doc-ids-twice", 1)
+    if twice.isEmpty():
+        wide = row_codes(docs, kinds)
+    else:  # rows of one doc_id are one document: what they share counts once
+        same = F.col("doc_id").eqNullSafe(F.col("again"))
+        wide = row_codes(docs.join(twice, same, "left_anti"), kinds).union(merged_codes(docs.join(twice, same, "left_semi"), kinds))
+    whole = F.when(F.greatest(*(F.col(f"t{k}").isNull().cast("int") for k in range(2, 7))) == 0, F.array(*(f"t{k}" for k in range(2, 7))))
+    return wide.where(F.coalesce("phash", "dhash", *(f"t{k}" for k in range(2, 7))).isNotNull()).select("doc_id", "phash", "dhash", whole.alias("tiles"))
+
+
+def row_codes(docs: DataFrame, kinds: tuple[int, ...]) -> DataFrame:
+    """doc_id, phash, dhash, t2 to t6 of each row."""
+    n, text = F.length("text"), F.col("text")
+    edge = lambda a: F.floor(n * a / 4).cast("int")
+    part = {k: F.substring(text, edge(a) + 1, edge(b) - edge(a)) for k, (a, b) in zip(range(2, 7), MIDDLE)}
+    name = {0: "phash", 1: "dhash"} | {k: f"t{k}" for k in range(2, 7)}
+    cut = docs.select("doc_id", *(spaced(part.get(k, text)).alias(name[k]) for k in kinds))
+    coded = text_codes(cut, ["doc_id"], [name[k] for k in kinds if k != 1], [name[k] for k in kinds if k == 1])
+    return coded.select("doc_id", *(F.col(c) if k in kinds else F.lit(None).cast("bigint").alias(c) for k, c in name.items()))
+
+
+def merged_codes(docs: DataFrame, kinds: tuple[int, ...]) -> DataFrame:
+    """row_codes of the rows of each doc_id together."""
+    each = docs.select("doc_id", F.explode(parts(F.col("text"), kinds)).alias("p")).groupBy("doc_id", "p.kind").agg(F.flatten(F.collect_list("p.tokens")).alias("tokens"))
     codes = simhash(each, ["doc_id", "kind"])
     of = lambda k: F.max(F.when(F.col("kind") == k, F.col("code")))
-    wide = codes.groupBy("doc_id").agg(of(0).alias("phash"), of(1).alias("dhash"), *(of(k).alias(f"t{k}") for k in range(2, 7)))
-    whole = F.when(F.greatest(*(F.col(f"t{k}").isNull().cast("int") for k in range(2, 7))) == 0, F.array(*(f"t{k}" for k in range(2, 7))))
-    return wide.select("doc_id", "phash", "dhash", whole.alias("tiles"))
+    return codes.groupBy("doc_id").agg(of(0).alias("phash"), of(1).alias("dhash"), *(of(k).alias(f"t{k}") for k in range(2, 7)))
 
 
 def base_records(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from siftlake import adapters
 from siftlake import schema as S
 from siftlake.functions import codes, fingerprints, paths, report
 from siftlake.operators import groups as G
@@ -261,3 +262,22 @@ def test_next_unreviewed_looks_at_each_row_of_a_large_group_once(spark):
     found = next_unreviewed(rows)
     assert "RowFrame, 1, unboundedfollowing" not in found._jdf.queryExecution().toString()
     assert found.where("next_ord = CASE WHEN ord = 120000 THEN 3 ELSE ord + 3 - ord % 3 END").count() == n
+
+
+def test_codes_of_rows_are_those_of_their_tokens(spark, tmp_path):
+    rng = random.Random(4)
+    odd = [None, "", " .,", "one", "Ünï İX ß ﬁ x٣ 漢字 áb 😀 q", "a a a b", "\n\ttab\x00zero", " ".join(f"w{k}" for k in range(70_000))]
+    texts = odd + [" ".join(rng.choice("the cat Sat; on. a-mat 12 x".split(" ")) for _ in range(rng.randrange(60))) for _ in range(80)]
+    spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/a/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/a/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = adapters.row_codes(docs, adapters.KINDS)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    known = lambda df: {r["doc_id"]: tuple(r)[1:] for r in df.collect() if any(v is not None for v in tuple(r)[1:])}
+    assert known(rows) == known(adapters.merged_codes(docs, adapters.KINDS))
+
+
+def test_codes_of_repeated_doc_ids_are_one(spark, tmp_path):
+    rows = [(1, "a b c", "en"), (1, "c d", "en"), (2, "a b c d", "en"), (None, "x", "en"), (None, "y", "en")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/b/documents.parquet")
+    got = {r["doc_id"]: r["phash"] for r in adapters.document_codes(spark, f"{tmp_path}/b", (0,)).collect()}
+    assert len(got) == 3 and got[1] == got[2]
