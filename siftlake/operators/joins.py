@@ -10,10 +10,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.functions.codes import hamming, sequences_agree, tiles_agree
+from siftlake.functions.codes import hamming, tiles_agree
 from siftlake.storage import settled
 
 #: Beyond this threshold codes that differ at random begin to match.
@@ -26,6 +27,10 @@ AGREEING = 2
 CHUNK, MOST_CHUNKS = 16_384, 64
 
 
+#: Sequences of a chunk (more in a bucket that would have over BUCKET_CHUNKS) and of a block within it, and tasks at most.
+SEQUENCES, BUCKET_CHUNKS, SEQUENCE_ROWS, MOST_TASKS = 2048, 16, 128, 400
+
+
 def blocks(threshold: int) -> list[tuple[int, int]]:
     """First bit and end of threshold + AGREEING blocks of a code."""
     n = threshold + AGREEING
@@ -152,12 +157,77 @@ def unknown_pairs(items: DataFrame, key: str = "id", value: str = "duration") ->
 def sequence_edges(items: DataFrame, threshold: int = 8, ratio: float = 0.9, key: str = "id") -> DataFrame:
     """id_a < id_b of items (key, duration, frames) whose durations are near or unknown and whose code sequences agree.
 
+    Durations fall into buckets as in range_ratio_join, and buckets into chunks; chunks of the same or neighbouring buckets are
+    compared in arrays, each pair of chunks in one group, and those without a duration with all. Only pairs that match are rows.
     Items with equal duration and frames should be one row: they agree by definition.
     """
-    near = range_ratio_join(items, ratio, key).union(unknown_pairs(items, key))
-    side = lambda s: items.select(F.col(key).alias(f"id_{s}"), F.col("frames").alias(f"frames_{s}"))
-    both = near.join(side("a"), "id_a").join(side("b"), "id_b")
-    return both.where(sequences_agree(F.col("frames_a"), F.col("frames_b"), threshold)).select("id_a", "id_b")
+    spark = items.sparkSession
+    some = items.where(F.size("frames") > 0).select(F.col(key).alias("id"), F.when(F.col("duration") > 0, F.col("duration").cast("double")).alias("v"), F.col("frames").cast("array<bigint>").alias("frames"))
+    some = settled(some.withColumn("bucket", F.floor(F.log("v") / -math.log(ratio)).cast("bigint")), "sequences")
+    counts = {r["bucket"]: r["n"] for r in some.groupBy("bucket").agg(F.count("*").alias("n")).collect()}  # a row a bucket, by the logarithm of the range
+    chunks = {b: min(BUCKET_CHUNKS, -(-n // SEQUENCES)) for b, n in counts.items()}
+    places = [(b, k) for b in chunks for k in range(chunks[b])]
+    with_it = lambda b: chunks if b is None else [x for x in (b, b + 1) if x in chunks]
+    sides, n = [], 0
+    for x in places:
+        for b in with_it(x[0]):
+            for k in range(chunks[b]):
+                if b != x[0] or k >= x[1]:
+                    sides += [(n, *x, 0)] + [(n, b, k, 1)] * ((b, k) != x)
+                    n += 1
+    tiles = spark.createDataFrame(sides, "tile bigint, bucket bigint, chunk int, side int")
+    many = spark.createDataFrame(list(chunks.items()), "bucket bigint, chunks int")
+    same = lambda a, b: F.col(f"{a}.bucket").eqNullSafe(F.col(f"{b}.bucket"))
+    chunked = some.alias("s").join(F.broadcast(many).alias("m"), same("s", "m")).select("s.*", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"))
+    dealt = chunked.alias("s").join(tiles.alias("t"), same("s", "t") & (F.col("s.chunk") == F.col("t.chunk"))).select("tile", "side", "id", "v", "frames")
+
+    def compare(table: pa.Table) -> pa.Table:
+        return near_sequences(table.combine_chunks(), threshold, ratio)
+
+    kind = some.schema["id"].dataType.simpleString()
+    # as many partitions as there is work for: few bytes hold much of it, and the size of partitions would put it into few tasks
+    return dealt.repartition(max(1, min(n, MOST_TASKS)), "tile").groupBy("tile").applyInArrow(compare, f"id_a {kind}, id_b {kind}")
+
+
+def near_sequences(table: pa.Table, threshold: int, ratio: float) -> pa.Table:
+    """id_a < id_b of the rows (side, id, v, frames) that match: those of side 0 with those of side 1, if there are any, else with each other."""
+    side, ids = table["side"].to_numpy(), table["id"].combine_chunks()
+    v = table["v"].to_numpy(zero_copy_only=False).astype(float)  # unknown: NaN
+    frames = table["frames"].combine_chunks()
+    size = pc.list_value_length(frames).to_numpy().astype(np.int64)
+    flat = frames.flatten()
+    known, codes = flat.is_valid().to_numpy(zero_copy_only=False), flat.fill_null(0).to_numpy().view(np.uint64)
+    first, alone = np.cumsum(size) - size, not (side == 1).any()
+    cap = max(4, 2 * threshold)
+    found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    of = lambda s: {n: np.flatnonzero((side == s) & (size == n)) for n in np.unique(size[side == s])}
+    left, right = of(0), of(0 if alone else 1)
+    for p, all_a in left.items():
+        for q, b in right.items():
+            n = min(p, q)
+            pick = lambda m: np.rint(np.arange(n) * (m - 1) / max(n - 1, 1)).astype(np.int64)
+            at = lambda rows, m: first[rows][:, None] + np.r_[pick(m), 0, m - 1]
+            b = b[known[at(b, q)].all(axis=1)]
+            right_codes = np.ascontiguousarray(codes[at(b, q)].T)
+            for k in range(0, len(all_a), SEQUENCE_ROWS):
+                a = all_a[k : k + SEQUENCE_ROWS]
+                a = a[known[at(a, p)].all(axis=1)]
+                far, near = v[a][:, None], v[b][None]
+                good = ~(np.minimum(far, near) < ratio * np.maximum(far, near))  # NaN is near to all
+                if alone:
+                    good &= a[:, None] < b[None]
+                total, left_codes = np.zeros(good.shape, np.int64), codes[at(a, p)]
+                for f in range(n + 2):  # the last two are the ends
+                    d = np.bitwise_count(left_codes[:, f, None] ^ right_codes[f])
+                    good &= d <= cap
+                    if f < n:
+                        total += d
+                x, y = np.nonzero(good & (total <= threshold * n))
+                found_a.append(a[x])
+                found_b.append(b[y])
+    x, y = ids.take(pa.array(np.concatenate(found_a))), ids.take(pa.array(np.concatenate(found_b)))
+    less = pc.less(x, y)
+    return pa.table({"id_a": pc.if_else(less, x, y), "id_b": pc.if_else(less, y, x)})
 
 
 def drop_reviewed(edges: DataFrame, pairs: DataFrame, a: str = "path_a", b: str = "path_b") -> DataFrame:

@@ -118,6 +118,21 @@ def test_duration_gate_of_sequences(spark):
     assert [tuple(r) for r in sequence_edges(df).collect()] == [(1, 2)]
 
 
+def test_sequences_agree_as_the_columns_say(spark):
+    rng = random.Random(12)
+    base = [[rng.getrandbits(63) for _ in range(9)] for _ in range(4)]
+    rows = [(f"i{k:03d}", rng.choice([None, 0.0, 10.0, 90.0, 95.0, 101.0, 130.0]), [c ^ rng.getrandbits(63) & rng.getrandbits(63) & rng.getrandbits(63) for c in rng.choice(base)[: rng.randrange(0, 10)]]) for k in range(140)]
+    rows += [("n1", 95.0, None), ("n2", 95.0, [None, 1]), ("n3", None, base[0][:3] + [None] + base[0][4:])]
+    items = spark.createDataFrame(rows, "id string, duration double, frames array<bigint>")
+    side = lambda s: items.where("size(frames) > 0").select(*(F.col(c).alias(f"{c}_{s}") for c in items.columns))
+    pairs = range_ratio_join(items).union(unknown_pairs(items)).join(side("a"), "id_a").join(side("b"), "id_b")
+    want = pairs.where(codes.sequences_agree(F.col("frames_a"), F.col("frames_b"), 16)).select("id_a", "id_b").collect()
+    found = sequence_edges(items, 16)
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == {tuple(r) for r in want} and len(got) > 100
+
+
 def test_keeper_prefers_pixels_then_size_then_time(spark):
     rows = records(spark, [("/a/small.jpg", 5000, 10, 100, 100, "x"), ("/b/big.jpg", 5000, 5, 4000, 3000, "x"), ("/c/none.jpg", 5000, 99, None, 3, "x")])
     found = G.build_groups(G.exact_members(rows), S.EXACT)
