@@ -59,7 +59,7 @@ def similar_image_members(records: DataFrame, threshold: int = 6, per_root: bool
 
 def similar_video_members(records: DataFrame, threshold: int = 8) -> DataFrame:
     """group_key and record columns of clusters of videos with near durations and agreeing frames."""
-    pool = records.where((F.col("media_type") == S.VIDEO) & F.col("frames").isNotNull()).dropDuplicates(["path"])
+    pool = settled(records.where((F.col("media_type") == S.VIDEO) & F.col("frames").isNotNull()).dropDuplicates(["path"]), "videos")
     edges = sequence_edges(pool.select(F.col("path").alias("id"), "duration", "frames"), threshold)
     found = cluster(pool.select(F.col("path").alias("node"), walk_rank().alias("rank")), edges.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
     return pool.join(found, pool["path"] == found["node"]).withColumnRenamed("keeper", "group_key").drop("node")
