@@ -71,7 +71,8 @@ def hamming_join(codes: DataFrame, threshold: int, code: str = "code") -> DataFr
     a, b = cut.alias("a"), cut.alias("b")
     close = (F.col("a.c") < F.col("b.c")) & (hamming(F.col("a.c"), F.col("b.c")) <= threshold)
     first = first_band(F.col("a.c"), F.col("b.c"), threshold) == F.col("a.band")
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.bits") == F.col("b.bits")) & close).where(first)
+    # never broadcast: the optimiser takes a side for as large as the codes, but it has a row for each band of each code
+    pairs = a.hint("merge").join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.bits") == F.col("b.bits")) & close).where(first)
     return pairs.select(F.col("a.c").alias("code_a"), F.col("b.c").alias("code_b"), hamming(F.col("a.c"), F.col("b.c")).cast("bigint").alias("distance"))
 
 

@@ -91,6 +91,14 @@ def test_bands_select_few_pairs(spark):
     assert held.agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).head()[0] < n * n / 1000
 
 
+def test_bands_are_not_broadcast(spark):
+    codes = settled(spark.range(1000).select(F.xxhash64("id").alias("code")), "few-codes")
+    found = hamming_join(codes, 6)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_wide_thresholds_join_no_buckets_of_codes(spark):
     rng = random.Random(10)
     values = [rng.getrandbits(64) - (1 << 63) for _ in range(20_000)]
