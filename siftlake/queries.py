@@ -120,14 +120,23 @@ def similar_video_clusters(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def near_dup_reviewed_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Clusters of documents by code alone, where pairs of one language and different sources were reviewed as distinct."""
-    codes = A.document_codes(spark, sf, (0,)).where("phash IS NOT NULL").join(A.base_records(spark, sf).select("doc_id", "path", "root", "width", "height", "size", "mtime", "mtime_ns", "extension"), "doc_id")
-    heads = codes.groupBy("phash").agg(F.max(walk_rank()).alias("rank"))
-    nodes = settled(heads.select(to_hex(F.col("phash")).alias("node"), "rank", "phash", F.col("rank.path").alias("path")), "heads")
-    pairs = settled(J.hamming_join(nodes.withColumnRenamed("phash", "code"), 6), "pairs")
-    edges = pairs.select(to_hex(F.col("code_a")).alias("a"), to_hex(F.col("code_b")).alias("b"))
-    apart = pairs.where("distance >= 5").select(to_hex(F.col("code_a")).alias("node_a"), to_hex(F.col("code_b")).alias("node_b"))
-    return cluster_reviewed(nodes.select("node", "rank"), edges, apart)
+    """All pairs of near_dup_edges, whether they were reviewed as distinct, and the keepers of both codes (its own where a code is in
+    no cluster). Clusters are of codes alone; a code's best document stands for it, and pairs of one language and different sources
+    were reviewed as distinct. near_dup_classes has the documents of a code."""
+    codes = A.document_codes(spark, sf, (0,)).where("phash IS NOT NULL").withColumnRenamed("doc_id", "id")
+    known = A.base_records(spark, sf).select("doc_id", "path", "root", "width", "height", "size", "mtime", "mtime_ns", "extension")
+    heads = codes.join(known, F.col("id").eqNullSafe(F.col("doc_id"))).groupBy("phash").agg(F.max(F.struct(walk_rank().alias("rank"), "root", "extension")).alias("head"))
+    # documents of equal rank are told apart by their codes
+    nodes = settled(heads.select(to_hex(F.col("phash")).alias("node"), F.struct("head.rank", "phash").alias("rank"), "phash", "head.root", "head.extension"), "heads")
+    near = J.hamming_join(nodes.withColumnRenamed("phash", "code"), 6)
+    side = lambda s: nodes.select(F.col("phash").alias(f"code_{s}"), F.col("node").alias(f"node_{s}"), F.col("root").alias(f"root_{s}"), F.col("extension").alias(f"extension_{s}"))
+    distinct = F.col("extension_a").eqNullSafe(F.col("extension_b")) & ~F.col("root_a").eqNullSafe(F.col("root_b"))
+    pairs = settled(near.join(side("a"), "code_a").join(side("b"), "code_b").select("node_a", "node_b", "distance", distinct.alias("reviewed")), "pairs")
+    edges = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    found = settled(cluster_reviewed(nodes.select("node", "rank"), edges, pairs.where("reviewed")), "clusters")
+    keeper = lambda s: found.select(F.col("node").alias(f"node_{s}"), F.col("keeper").alias(f"keeper_{s}"))
+    both = pairs.join(keeper("a"), "node_a", "left").join(keeper("b"), "node_b", "left")
+    return both.select("node_a", "node_b", "distance", "reviewed", F.coalesce("keeper_a", "node_a").alias("keeper_a"), F.coalesce("keeper_b", "node_b").alias("keeper_b"))
 
 
 @query

@@ -17,6 +17,7 @@ from siftlake.operators.joins import bands, hamming_join, range_ratio_join, sequ
 from siftlake.operators.ranking import over_budget, unique_names
 from siftlake.operators.selection import apply_decisions, effective_selection, next_unreviewed
 from siftlake.plans.scan import ordered_groups
+from siftlake.queries import QUERIES
 from siftlake.storage import settled
 
 RECORD = "path string, size bigint, mtime double, mtime_ns bigint, width int, height int, media_type string, sha256 string, partial_hash string, human_detection_status string, human_detection_signature string, error string"
@@ -304,3 +305,32 @@ def test_codes_of_repeated_doc_ids_are_one(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/b/documents.parquet")
     got = {r["doc_id"]: r["phash"] for r in adapters.document_codes(spark, f"{tmp_path}/b", (0,)).collect()}
     assert len(got) == 3 and got[1] == got[2]
+
+
+def test_reviewed_pairs_are_all_pairs_and_clusters_leave_out_only_reviewed_ones(spark, tmp_path):
+    rng, words = random.Random(21), [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(60):
+        text = list(words)
+        for at in rng.sample(range(60), rng.randrange(4)):
+            text[at] = f"x{rng.randrange(1000)}"
+        d = 1 + k + k // 16  # none divisible by 17
+        rows.append((d, " ".join(text), rng.choice(["en", "de"]), rng.choice(["src1", "src2"]), 6 * (100 + k) // (1 + d % 3)))  # the later, the more pixels
+    rows.append((None, " ".join([*words[:-1], "unnamed"]), "en", "src1", 5))
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0)], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    code = {r["doc_id"]: r["phash"] & (1 << 64) - 1 for r in adapters.document_codes(spark, str(tmp_path), (0,)).collect()}
+    head = {}
+    for row in [rows[-1], *rows[:-1]]:
+        head[f"{code[row[0]]:016x}"] = row
+    order = sorted(head, key=lambda c: (head[c][0] is not None, head[c][0] or 0), reverse=True)
+    far = {(a, b): (int(a, 16) ^ int(b, 16)).bit_count() for a in order for b in order if a < b}
+    pairs = {p: d for p, d in far.items() if d <= 6}
+    apart = {(a, b) for a, b in pairs if head[a][2] == head[b][2] and head[a][3] != head[b][3]}
+    keeper = walk(order, pairs, apart)
+    want = {(a, b): (d, (a, b) in apart, keeper.get(a, a), keeper.get(b, b)) for (a, b), d in pairs.items()}
+    got = [r.asDict() for r in QUERIES["near_dup_reviewed_pairs"](spark, str(tmp_path)).collect()]
+    name = lambda r: (r["node_a"], r["node_b"], r["keeper_a"], r["keeper_b"]) if r["node_a"] < r["node_b"] else (r["node_b"], r["node_a"], r["keeper_b"], r["keeper_a"])
+    assert len(got) == len(want) and {name(r)[:2]: (r["distance"], r["reviewed"], *name(r)[2:]) for r in got} == want
+    assert any(r["distance"] >= 5 and r["keeper_a"] == r["keeper_b"] for r in got) and any(r["reviewed"] for r in got)
+    assert any(f"{code[None]:016x}" in p for p in pairs)
